@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import prepared
 from ..sources.tables import table
-from . import leaks, splits
+from . import leaks, overlaps, splits
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +43,15 @@ def p5_clean_documents(spark: SparkSession, d: str) -> DataFrame:
     return leaks.clean_documents(docs, _leaks(spark, d)).select("doc_id", "source", "n_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    o = overlaps.cross_split_overlaps(table(spark, d, "sft_records"))
+    return o.select(F.least("train_row", "eval_row").alias("row_a"), F.greatest("train_row", "eval_row").alias("row_b"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_counts(overlaps.cross_split_overlaps(table(spark, d, "sft_records")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: prepared(f) for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 ORACLES: dict[str, str] = {}
