@@ -18,10 +18,10 @@ from .words import Words, hashes, mix, split
 EVALUATION = ("validation", "holdout", "test")
 #: Document counts are kept by hash in a table of this fixed size.
 BUCKETS = 1 << 18
-#: Weight of a plain word against one of a number, a quoted name or a run of these.
-PLAIN = 0.5
-#: Successive numbers and quoted names that make up one further term.
-RUN = 4
+#: Weights of a plain word and of a quoted name against that of a number, a pair of numbers or a run.
+PLAIN, QUOTED = 0.3, 0.5
+#: Successive numbers and quoted names that make up one further term; numbers of a text of which all pairs are terms.
+RUN, NUMBERS = 4, 6
 #: A context that was seen less often says nothing about its words.
 SEEN = 8
 
@@ -47,20 +47,27 @@ class Terms:
         w: Words = split(texts)
         self.words = w
         h = hashes(w.vocab)
-        hard = np.fromiter((x.startswith("qq") or any(c.isdigit() for c in x) for x in w.vocab), bool, len(w.vocab))
-        owner = w.owners()
-        is_hard = hard[w.codes] if len(w.codes) else np.zeros(0, bool)
-        parts = [(owner, h[w.codes] if len(w.codes) else np.zeros(0, np.uint64), np.where(is_hard, 1.0, PLAIN))]
-        at = np.flatnonzero(is_hard)
-        ho, hh = owner[at], parts[0][1][at]
-        for run in (2, RUN):
-            if len(at) >= run:
-                same = ho[: len(ho) - run + 1] == ho[run - 1 :]
-                key = np.zeros(len(ho) - run + 1, np.uint64)
+        quoted = np.fromiter((x.startswith("qq") for x in w.vocab), bool, len(w.vocab))
+        number = np.fromiter((any(c.isdigit() for c in x) for x in w.vocab), bool, len(w.vocab)) & ~quoted
+        owner, n = w.owners(), len(w.offsets) - 1
+        code = h[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
+        q, d = (x[w.codes] if len(w.codes) else np.zeros(0, bool) for x in (quoted, number))
+        parts = [(owner, code, np.where(d, 1.0, np.where(q, QUOTED, PLAIN)))]
+        # Runs of quoted names and numbers, where names are quoted.
+        named = np.bincount(owner[q], minlength=n) > 0
+        at = np.flatnonzero((q | d) & named[owner])
+        parts.append(self._runs(owner[at], code[at], RUN))
+        # Elsewhere pairs of numbers, whatever their order; where these are many, only successive ones.
+        at = np.flatnonzero(d & ~named[owner])
+        many = np.bincount(owner[at], minlength=n) > NUMBERS
+        far = NUMBERS if len(at) else 1
+        for k in range(1, far):
+            if len(at) > k:
+                a, b = at[:-k], at[k:]
+                ok = (owner[a] == owner[b]) & ((k == 1) | ~many[owner[a]])
+                x, y = code[a[ok]], code[b[ok]]
                 with np.errstate(over="ignore"):
-                    for k in range(run):
-                        key = key * np.uint64(0x100000001B3) + hh[k : len(hh) - run + 1 + k]
-                parts.append((ho[: len(ho) - run + 1][same], mix(key[same], run), np.ones(int(same.sum()))))
+                    parts.append((owner[a[ok]], mix(mix(np.minimum(x, y), 2) + np.maximum(x, y), 3), np.ones(int(ok.sum()))))
         owner, term, scale = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((term, owner))
         owner, term, scale = owner[order], term[order], scale[order]
@@ -76,10 +83,20 @@ class Terms:
         weight = np.log(1 + total / df) * scale[start] * (1 + np.log(tf))
         order = np.lexsort((self.term, df, self.owner))
         self.owner, self.term, weight = self.owner[order], self.term[order], weight[order]
-        n = len(w.offsets) - 1
         norm = np.sqrt(np.bincount(self.owner, weights=weight**2, minlength=n))
         self.weight = weight / norm[self.owner]
 
+    @staticmethod
+    def _runs(owner: np.ndarray, code: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(owner) < run:
+            return owner[:0], code[:0], np.ones(0)
+        same = owner[: len(owner) - run + 1] == owner[run - 1 :]
+        key = np.zeros(len(owner) - run + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(run):
+                key = key * np.uint64(0x100000001B3) + code[k : len(code) - run + 1 + k]
+        return owner[: len(owner) - run + 1][same], mix(key[same], run), np.ones(int(same.sum()))
+
     def prefixes(self, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Terms to index; of each text the norm, largest weight and, over all its terms, sum of weights of what isn't indexed."""
         n = len(self.words.offsets) - 1
@@ -210,7 +227,7 @@ def compared(pairs: DataFrame, counts: np.ndarray, total: int, least: float) ->
     return pairs.mapInArrow(run, "a binary, b binary, cosine double, odd array<array<long>>")
 
 
-def same_questions(reps: DataFrame, least: float = 0.55) -> DataFrame:
+def same_questions(reps: DataFrame, least: float = 0.75) -> DataFrame:
     """a, b: classes of train and evaluation texts that differ in wording only.
 
     ``reps`` holds one row per distinct canonical text: cls, canon, train,
@@ -237,7 +254,7 @@ def same_questions(reps: DataFrame, least: float = 0.55) -> DataFrame:
     return close.select("a", "b").join(other, ["a", "b"], "left_anti")
 
 
-def cross_split_overlaps(records: DataFrame, least: float = 0.55) -> DataFrame:
+def cross_split_overlaps(records: DataFrame, least: float = 0.75) -> DataFrame:
     """train_row, eval_row, split_name, source: rows whose first user messages put the same question.
 
     Exact copies are joined as classes and expanded at the end, so a text that
