@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import prepared
 from ..sources.tables import table
-from . import leaks, overlaps, splits
+from . import leaks, overlaps, splits, truncation
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,18 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlap_counts(overlaps.cross_split_overlaps(table(spark, d, "sft_records")))
 
 
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_outputs(truncation.outputs(table(spark, d, "candidates"), table(spark, d, "traces")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).select("tab", "row_ord")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(_cut(spark, d), table(spark, d, "candidates"), table(spark, d, "traces"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: prepared(f) for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 ORACLES: dict[str, str] = {}

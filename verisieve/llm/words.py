@@ -36,11 +36,11 @@ def split(texts: pa.Array, keep_marks: bool = False) -> Words:
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    t = pc.utf8_lower(pc.utf8_normalize(pc.fill_null(texts.cast(pa.large_string()), ""), form="NFKC"))
+    t = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     if keep_marks:
-        t = pc.replace_substring_regex(t, r"([^\pL\pN\s])", r" \1 ")
+        t = pc.replace_substring_regex(t, r"([^\pL\pN\pM\s_])", r" \1 ")
     else:
-        t = pc.replace_substring_regex(t, r"[^\pL\pN]+", " ")
+        t = pc.replace_substring_regex(t, r"[^\pL\pN\pM]+", " ")
     parts = pc.utf8_split_whitespace(t)
     flat = pc.list_flatten(parts).cast(pa.large_string())
     owner = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
