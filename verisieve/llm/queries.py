@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import prepared
 from ..sources.tables import table
-from . import leaks, overlaps, splits, truncation
+from . import defects, leaks, overlaps, splits, truncation
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +64,14 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_cut(spark, d), table(spark, d, "candidates"), table(spark, d, "traces"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defective_pairs(table(spark, d, "sft_records"), table(spark, d, "candidates"))
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p1_found(spark, d).groupBy("tab", "defect").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: prepared(f) for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 ORACLES: dict[str, str] = {}
