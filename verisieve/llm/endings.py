@@ -33,7 +33,7 @@ EXT2, EXT1 = 5, 6
 def emptied(texts: pa.Array) -> np.ndarray:
     """Texts that no answer could be read from: null, blank, bare marks, stand-ins for a missing value."""
     t = pc.fill_null(texts.cast(pa.large_string()), "")
-    short = pc.less(pc.utf8_length(t), 60).to_numpy(zero_copy_only=False)
+    short = pc.less(pc.binary_length(t), 60).to_numpy(zero_copy_only=False)
     out = np.zeros(len(t), bool)
     at = np.flatnonzero(short)
     if len(at):
@@ -41,17 +41,43 @@ def emptied(texts: pa.Array) -> np.ndarray:
         out[at] = [x == "" or x in STAND_INS for x in bare.to_pylist()]
     at = np.flatnonzero(~short)
     if len(at):
-        out[at] = np.array(pc.invert(pc.match_substring_regex(t.take(pa.array(at)), r"[\pL\pN]")).to_pylist(), bool)
+        out[at] = ~pc.match_substring_regex(t.take(pa.array(at)), r"[\pL\pN]").to_numpy(zero_copy_only=False).astype(bool)
     return out
 
 
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, end to end, and where each begins; null texts are empty."""
+    t = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
+    offsets = np.frombuffer(t.buffers()[1], np.int64, len(t) + 1, t.offset * 8)
+    data = np.frombuffer(t.buffers()[2], np.uint8) if t.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def opened(texts: pa.Array) -> np.ndarray:
     """Texts with a bracket, fence or list number that nothing closes, a broken character or an ellipsis at the end."""
+    data, offsets = _bytes(texts)
+    n = len(texts)
+
+    def count(char: str) -> np.ndarray:
+        at = np.flatnonzero(data == ord(char))
+        return np.bincount(np.searchsorted(offsets, at, "right") - 1, minlength=n)[:n] if len(at) else np.zeros(n, np.int64)
+
+    odd = (count("{") > count("}")) | (count("[") > count("]")) | (count("(") > count(")"))
+    ticks = np.flatnonzero(count("`"))
     t = pc.fill_null(texts.cast(pa.large_string()), "")
-    n = lambda s: pc.count_substring(t, s).to_numpy(zero_copy_only=False)
-    odd = (n("{") > n("}")) | (n("[") > n("]")) | (n("(") > n(")")) | (n("```") % 2 == 1)
-    ends = pc.match_substring_regex(t, r"(?:(?:^|\n)\s*(?:\d{1,4}[.)]|[-*])|\x{FFFD}|\x{2026}|\.\.\.|\[\.\.\.\]|[^`]`{1,2})\s*$")
-    return odd | ends.to_numpy(zero_copy_only=False).astype(bool)
+    if len(ticks):
+        odd[ticks] |= pc.count_substring(t.take(pa.array(ticks)), "```").to_numpy(zero_copy_only=False) % 2 == 1
+    end = pc.utf8_slice_codeunits(pc.utf8_rtrim_whitespace(t), -24)
+    # A list number stands at the start of a line.
+    ends = pc.match_substring_regex(end, r"(?:\n\s*(?:\d{1,4}[.)]|[-*])|\x{FFFD}|\x{2026}|\.\.\.|\[\.\.\.\]|[^`]`{1,2})$")
+    alone = pc.match_substring_regex(end, r"^\s*(?:\d{1,4}[.)]|[-*])$")
+    return odd | ends.to_numpy(zero_copy_only=False).astype(bool) | alone.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def closed(texts: pa.Array) -> np.ndarray:
+    """Texts whose last character closes a sentence or structure."""
+    end = pc.utf8_slice_codeunits(pc.utf8_rtrim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")), -1)
+    return pc.match_substring_regex(end, r"[.!?}`]").to_numpy(zero_copy_only=False).astype(bool)
 
 
 def prose(texts: pa.Array) -> pa.Array:
@@ -85,7 +111,7 @@ def _low(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys if bits == BITS else (keys >> BITS) << BITS | (keys & ((1 << bits) - 1))
 
 
-def _runs(h: np.ndarray, owner: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+def _runs(h: np.ndarray, owner: np.ndarray, at: np.ndarray, masked_only: bool = False) -> list[np.ndarray]:
     """Buckets of the runs of words that end at the positions ``at``, by family."""
     back = []
     for k in range(4):
@@ -96,6 +122,9 @@ def _runs(h: np.ndarray, owner: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         back.append(x)
     low = np.uint64((1 << BITS) - 1)
     with np.errstate(over="ignore"):
+        if masked_only:
+            key = mix(back[1], 2) + mix(back[2], 3) + mix(back[3], 4)
+            return [(mix(key, 24) & low).astype(np.int64) + (4 << BITS)]
         m = [mix(x, k + 1) for k, x in enumerate(back)]
         keys = [m[0] + m[1] + m[2] + m[3], m[0] + m[1] + m[2], m[0] + m[1], m[0], m[1] + m[2] + m[3]]
     return [(mix(x, 20 + k) & low).astype(np.int64) + (k << BITS) for k, x in enumerate(keys)]
@@ -137,6 +166,7 @@ def closing_counts(texts: DataFrame) -> dict[str, np.ndarray]:
         kept: dict[int, int] = {}
         for b in batches:
             t = b.column(0)
+            t = t.filter(pa.array(~closed(t)))
             t = t.filter(pa.array(~opened(t) & ~emptied(t)))
             _, runs, _, ext = _closing(t)
             keys, n = np.unique(np.concatenate([*runs, *ext]), return_counts=True)
@@ -177,8 +207,13 @@ def closing_counts(texts: DataFrame) -> dict[str, np.ndarray]:
             at = np.arange(len(h))
             last = np.zeros(len(h), bool)
             last[w.offsets[1:][w.counts > 0] - 1] = True
-            for x in _runs(h, owner, at[~last]):
-                add(x)
+            # Runs that end with a word that ends no text are none of those wanted.
+            single = (mix(mix(h, 1), 23) & np.uint64((1 << BITS) - 1)).astype(np.int64) + (3 << BITS)
+            ends_some = wanted[fold(_low(single, bits))] & ~last
+            for k, x in enumerate(_runs(h, owner, at[ends_some])):
+                if k < 4:
+                    add(x)
+            add(_runs(h, owner, at[~last], masked_only=True)[0])
             # Beginnings of longer words, after the word before; words at an end may be cut themselves.
             before = np.zeros(len(h), np.uint64)
             same = np.flatnonzero(owner[1:] == owner[:-1]) + 1
@@ -226,8 +261,10 @@ class Terminality:
         run with any last word, ends a text. fragment: the last word is the
         beginning of longer words that go on here and hardly stands there itself.
         """
-        has, runs, last, ext = _closing(texts)
         score, fragment = np.ones(len(texts)), np.zeros(len(texts), bool)
+        rest = np.flatnonzero(~closed(texts))
+        has, runs, last, ext = _closing(texts.take(pa.array(rest)))
+        has = rest[has]
         if not len(has):
             return score, fragment
         got = [self._look(x) for x in runs]
@@ -244,10 +281,8 @@ class Terminality:
         i2, i1 = got[2][1], got[3][1]
         alpha = np.array([x[0].isalpha() for x in last])
         fragment[has] = alpha & (((x2 >= 2) & (x2 > 2 * i2) & (x2 > e2)) | ((i1 == 0) & (x1 >= 1) & (x1 > e1)))
-        closed = np.array([x in ".!?}`§" for x in last])
         best[np.array([x in ",;:([{<-–—/&+*=" for x in last])] = 0.0
-        # A closing mark ends a sentence or structure by itself.
-        best[closed] = 1.0
+        best[np.array([x == "§" for x in last])] = 1.0
         score[has] = best
         return score, fragment
 
