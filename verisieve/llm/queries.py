@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import prepared
-from ..sources.tables import table
-from . import defects, leaks, overlaps, splits, truncation
+from ..sources.tables import stage, table
+from . import defects, leaks, mixture, overlaps, reading, splits, truncation
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +72,41 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("tab", "defect").agg(F.count("*").alias("n"))
 
 
+def _mixture(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    sizes = stage(mixture.token_counts(table(spark, d, "documents")), "tokens")
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0 if whole else None
+    rates = stage(mixture.plan_rates(sizes, table(spark, d, "mix_targets"), total), "rates")
+    return mixture.balanced_mixture(sizes, rates), rates
+
+
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.reached_shares(*_mixture(spark, d))
+
+
+def p6_shares_at_corpus_size(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.reached_shares(*_mixture(spark, d, whole=True))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where("level >= 4").select("doc_id")
+
+
+def p7_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "level")
+
+
+def p7_source_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.source_profile(_levels(spark, d), table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: prepared(f) for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 ORACLES: dict[str, str] = {}
