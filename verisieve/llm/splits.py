@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running
 from ..sources.tables import drop_stage, stage
 
 #: Authors that stand for "not known", after normalising.
@@ -121,23 +122,6 @@ def bound_families(records: DataFrame, families: DataFrame) -> DataFrame:
     return a.join(b, "root").where("family_a < family_b").select("family_a", "family_b").distinct()
 
 
-def cumulative(df: DataFrame, order: list, weight: str) -> DataFrame:
-    """Adds ``before``: the weight of all rows that come before in the order.
-
-    The rows are spread by ranges of the order; only one sum a partition
-    reaches the driver, no task holds more than its range.
-    """
-    from pyspark.sql import Window
-
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = stage(ranged, "ranged")
-    sums = ranged.groupBy("_part").agg(F.sum(weight).alias("w"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_part", F.coalesce(F.sum("w").over(w), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(offsets), "_part").withColumn("before", F.col("_offset") + F.coalesce(F.sum(weight).over(local), F.lit(0))).drop("_part", "_offset")
-
-
 def assign_splits(records: DataFrame, families: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """row_ord, id, root, split_name: every record with its new split.
 
@@ -167,28 +151,22 @@ def assign_splits(records: DataFrame, families: DataFrame, targets: DataFrame, s
         taken = min(left, s * total)
         left -= taken
         room.append(s * total - taken)
-    edge, split = 0.0, F.lit(goal[0][0])
-    cuts = []
+    edge, cuts = 0.0, []
     for (n, _), size in zip(goal, room):
         edge += size
         cuts.append((n, edge))
-    light = cumulative(sizes.where(~heavy).withColumn("_h", F.xxhash64("root", F.lit(seed))), ["_h", "root"], "weight")
+    light = running(sizes.where(~heavy).withColumn("_h", F.xxhash64("root", F.lit(seed))), ["_h", "root"], "weight")
     middle = F.col("before") + F.col("weight") / 2
     pick = F.lit(cuts[-1][0])
     for n, e in reversed(cuts[:-1]):
         pick = F.when(middle < e, F.lit(n)).otherwise(pick)
     chosen = light.select("root", pick.alias("split_name"))
     # Heavy components fill the splits in the same order, by size.
-    order = cumulative(sizes.where(heavy), [F.desc("weight"), F.asc("root")], "weight")
-    edge, heavy_pick = 1.0, F.lit(goal[0][0])
-    edge = 0.0
-    steps = []
-    for n, s in goal:
-        edge += s * total
-        steps.append((n, edge))
-    for n, e in reversed(steps[:-1]):
-        split = F.when(middle < e, F.lit(n)).otherwise(F.lit(steps[-1][0]) if n == steps[-2][0] else split)
-    heavy_pick = split if len(steps) > 1 else F.lit(goal[0][0])
+    order = running(sizes.where(heavy), [F.desc("weight"), F.asc("root")], "weight")
+    heavy_pick = F.lit(goal[-1][0])
+    for n, _ in reversed(goal[:-1]):
+        edge = sum(x for _, x in goal[: [m for m, _ in goal].index(n) + 1]) * total
+        heavy_pick = F.when(middle < edge, F.lit(n)).otherwise(heavy_pick)
     chosen = chosen.unionByName(order.select("root", heavy_pick.alias("split_name")))
     return r.join(chosen, "root").select("row_ord", "id", "root", "split_name")
 
