@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.actions import plan
+from .settle import settled
 from .world import replay
 
 #: Weights of the scored components and the score from which a verdict passes (fixed values).
@@ -43,7 +44,7 @@ def component_verdicts(df: DataFrame, prediction: str) -> DataFrame:
         .when(wrong, _verdict(F.lit("failed"), F.lit("state_contradiction"), F.lit(0.0)))
         .otherwise(_verdict(F.lit("passed"), F.lit("state_consistent"), F.lit(1.0)))
     )
-    return d.withColumn("schema", schema).withColumn("legality_verdict", infra(legality)).withColumn("goal_verdict", infra(goal)).withColumn("consistency_verdict", infra(consistency))
+    return settled(d, schema=schema, legality_verdict=infra(legality), goal_verdict=infra(goal), consistency_verdict=infra(consistency))
 
 
 def hybrid(gate: Column, components: dict[str, tuple[Column, float]], required: tuple[str, ...], threshold: float = PASS) -> Column:
@@ -78,7 +79,7 @@ def world_verdicts(df: DataFrame, prediction: str) -> DataFrame:
     """Adds the components' verdicts and ``verdict``, their aggregate with the world's fixed weights."""
     d = component_verdicts(df, prediction)
     parts = {"legality": "legality_verdict", "goal": "goal_verdict", "state_consistency": "consistency_verdict"}
-    return d.withColumn("verdict", hybrid(F.col("schema"), {k: (F.col(c), WEIGHTS[k]) for k, c in parts.items()}, tuple(parts)))
+    return settled(d, verdict=hybrid(F.col("schema"), {k: (F.col(c), WEIGHTS[k]) for k, c in parts.items()}, tuple(parts)))
 
 
 def exact_answers(df: DataFrame, prediction: str, gold: str, out: str = "verdict") -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 WORLD = (
     "struct<locations array<string>, edges array<array<string>>, resources array<struct<resource_id string, location_id string, collect_cost int>>, "
     "move_cost int, rest_gain int, max_energy int, inventory_capacity int, deposit_location string>"
@@ -25,15 +27,18 @@ def quoted(text: str) -> str:
     return f"'{text}'"
 
 
-def scenario_columns(text: Column) -> tuple[Column, Column, Column]:
-    """World, state and goal of a question that holds them as three lines of JSON; nulls where it holds none."""
+def scenario_columns(text: Column, collect_cost: int = DEFAULTS["collect_cost"]) -> tuple[Column, Column, Column]:
+    """World, state and goal of a question that holds them as three lines of JSON; nulls where it holds none.
+
+    collect_cost: of goods that name none.
+    """
     lines = F.regexp_extract_all(text, F.lit(r"(\{[^\n]*\})"), F.lit(1))
     line = lambda k, ddl: F.from_json(F.get(lines, F.lit(k)), ddl)
     w, s, g = line(0, WORLD), line(1, STATE), line(2, GOAL)
     fill = lambda c, k: F.coalesce(c[k], F.lit(DEFAULTS[k]))
     world = F.when(w["locations"].isNotNull(), F.struct(
         w["locations"].alias("locations"), F.coalesce(w["edges"], F.expr("cast(array() as array<array<string>>)")).alias("edges"),
-        F.coalesce(F.transform(w["resources"], lambda r: F.struct(r["resource_id"].alias("resource_id"), r["location_id"].alias("location_id"), F.coalesce(r["collect_cost"], F.lit(DEFAULTS["collect_cost"])).alias("collect_cost"))), F.expr("cast(array() as array<struct<resource_id string, location_id string, collect_cost int>>)")).alias("resources"),
+        F.coalesce(F.transform(w["resources"], lambda r: F.struct(r["resource_id"].alias("resource_id"), r["location_id"].alias("location_id"), F.coalesce(r["collect_cost"], F.lit(collect_cost)).alias("collect_cost"))), F.expr("cast(array() as array<struct<resource_id string, location_id string, collect_cost int>>)")).alias("resources"),
         *(fill(w, k).alias(k) for k in ("move_cost", "rest_gain", "max_energy", "inventory_capacity")), w["deposit_location"].alias("deposit_location"),
     ))
     state = F.when(s["location"].isNotNull(), F.struct(s["location"].alias("location"), s["energy"].alias("energy"), F.coalesce(s["inventory"], F.expr(EMPTY)).alias("inventory"), F.coalesce(s["deposited"], F.expr(EMPTY)).alias("deposited"), F.coalesce(s["turn"], F.lit(0)).alias("turn")))
@@ -96,36 +101,35 @@ def replay(df: DataFrame) -> DataFrame:
     """
     acc = "named_struct('state', {state}, 'done', {done}, 'reason', {reason}, 'steps', {steps})"
     keep = lambda **k: acc.format(**({"state": "x.state", "done": "true", "reason": "x.reason", "steps": "x.steps"} | k))
+    # The reason of an action is bound once as `r`, the new state as `n`.
+    why = f"case when x.done then 'done' when x.steps >= goal.step_limit then 'step_limit_exceeded' else {reason_sql('x.state', 'a')} end"
+    go = (
+        f"transform(array({next_sql('x.state', 'a')}), n -> case when {satisfied_sql('n')} then {keep(state='n', reason=quoted('goal_reached'), steps='x.steps + 1')} "
+        f"else {keep(state='n', done='false', reason=quoted('episode_ended'), steps='x.steps + 1')} end)[0]"
+    )
     step = (
-        f"case when x.done then x when x.steps >= goal.step_limit then {keep(reason=quoted('step_limit_exceeded'))} "
-        f"when ({reason_sql('x.state', 'a')}) <> 'legal' then {keep(reason='(' + reason_sql('x.state', 'a') + ')', steps='x.steps + 1')} "
-        f"else {acc.format(state='(' + next_sql('x.state', 'a') + ')', done='false', reason=quoted('episode_ended'), steps='x.steps + 1')} end"
+        f"transform(array({why}), r -> case when r = 'done' then x when r = 'legal' then {go} "
+        f"when r = 'step_limit_exceeded' then {keep(reason='r')} else {keep(reason='r', steps='x.steps + 1')} end)[0]"
     )
-    # The goal is tested on the new state: the fold carries it as part of `done`.
-    after = f"transform(array({step}), y -> case when not y.done and ({satisfied_sql('y.state')}) then {acc.format(state='y.state', done='true', reason=quoted('goal_reached'), steps='y.steps')} else y end)[0]"
     start = acc.format(state="state0", done="false", reason="'episode_ended'", steps="0")
-    episode = f"aggregate(actions, {start}, (x, a) -> {after}, x -> named_struct('reached', x.reason = 'goal_reached', 'reason', x.reason, 'state', x.state, 'steps', x.steps))"
+    episode = f"aggregate(actions, {start}, (x, a) -> {step}, x -> named_struct('reached', x.reason = 'goal_reached', 'reason', x.reason, 'state', x.state, 'steps', x.steps))"
     walk = "named_struct('state', {state}, 'legal', {legal}, 'reason', {reason})"
     first = walk.format(state="state0", legal="0", reason="'legal'")
-    go = f"case when x.reason <> 'legal' then x when ({reason_sql('x.state', 'a')}) = 'legal' then {walk.format(state='(' + next_sql('x.state', 'a') + ')', legal='x.legal + 1', reason=quoted('legal'))} else {walk.format(state='x.state', legal='x.legal', reason='(' + reason_sql('x.state', 'a') + ')')} end"
-    legality = f"aggregate(actions, {first}, (x, a) -> {go}, x -> named_struct('legal', x.legal, 'reason', x.reason))"
+    on = f"transform(array(case when x.reason <> 'legal' then 'done' else {reason_sql('x.state', 'a')} end), r -> case when r = 'done' then x when r = 'legal' then {walk.format(state='(' + next_sql('x.state', 'a') + ')', legal='x.legal + 1', reason='r')} else {walk.format(state='x.state', legal='x.legal', reason='r')} end)[0]"
+    legality = f"aggregate(actions, {first}, (x, a) -> {on}, x -> named_struct('legal', x.legal, 'reason', x.reason))"
     whole = "world is not null and state0 is not null and goal is not null and actions is not null"
-    return df.withColumn("episode", F.expr(f"case when {whole} then {episode} end")).withColumn("legality", F.expr(f"case when {whole} then {legality} end"))
+    return settled(df, episode=F.expr(f"case when {whole} then {episode} end"), legality=F.expr(f"case when {whole} then {legality} end"))
 
 
 def step_trace(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, step, legal, reason: a row per action up to where the episode stops."""
     acc = "named_struct('state', {state}, 'done', {done}, 'trace', {trace})"
-    reason, met = reason_sql("x.state", "a"), satisfied_sql("y.state")
-    row = f"array(named_struct('legal', ({reason}) = 'legal', 'reason', ({reason})))"
-    step = (
-        f"case when x.done or size(x.trace) >= goal.step_limit then {acc.format(state='x.state', done='true', trace='x.trace')} "
-        f"when ({reason}) <> 'legal' then {acc.format(state='x.state', done='true', trace=f'concat(x.trace, {row})')} "
-        f"else {acc.format(state='(' + next_sql('x.state', 'a') + ')', done='false', trace=f'concat(x.trace, {row})')} end"
-    )
-    after = f"transform(array({step}), y -> {acc.format(state='y.state', done=f'y.done or ({met})', trace='y.trace')})[0]"
+    row = "concat(x.trace, array(named_struct('legal', r = 'legal', 'reason', r)))"
+    why = f"case when x.done or size(x.trace) >= goal.step_limit then 'done' else {reason_sql('x.state', 'a')} end"
+    go = f"transform(array({next_sql('x.state', 'a')}), n -> {acc.format(state='n', done=satisfied_sql('n'), trace=row)})[0]"
+    step = f"transform(array({why}), r -> case when r = 'done' then {acc.format(state='x.state', done='true', trace='x.trace')} when r = 'legal' then {go} else {acc.format(state='x.state', done='true', trace=row)} end)[0]"
     start = acc.format(state="state0", done="false", trace="cast(array() as array<struct<legal boolean, reason string>>)")
-    e = f"aggregate(actions, {start}, (x, a) -> {after}, x -> x.trace)"
+    e = f"aggregate(actions, {start}, (x, a) -> {step}, x -> x.trace)"
     d = df.where("world is not null and state0 is not null and goal is not null and actions is not null")
     return d.select(*keys, F.posexplode(F.expr(e)).alias("step", "t")).select(*keys, "step", "t.legal", "t.reason")
 

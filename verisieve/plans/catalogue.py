@@ -227,7 +227,8 @@ def training_rows(spark, d):
 def _scenarios(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sft_records")
     user = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
-    w, s0, g = world.scenario_columns(F.col("question"))
+    # The questions name no cost of collecting, and their answers count none.
+    w, s0, g = world.scenario_columns(F.col("question"), collect_cost=0)
     q = s.select("id", "row_ord", user.alias("question")).where(F.col("question").contains('"locations"'))
     q = q.groupBy("id").agg(F.min_by("question", "row_ord").alias("question"))
     return q.select(F.col("id").alias("source_record_id"), w.alias("world"), s0.alias("state0"), g.alias("goal")).where("world is not null and state0 is not null and goal is not null")
