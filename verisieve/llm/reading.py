@@ -30,6 +30,10 @@ ACADEMIC = frozenset(
     "mientras empero conque asimismo mediante salvo puesto siempre cuyo cuya cuyos no obstante pese".split()
 )
 SUBORDINATORS = frozenset("which that whose whom where while although though since unless der die das dass deren dessen welche obwohl während qui que dont où bien lorsque que quien cual donde aunque cuyo".split())
+#: Standard deviations beyond which a feature says no more: unpunctuated or very long texts are no evidence of their own.
+CLIP = 2.0
+#: Penalties by feature, times ``ridge``: what words mean is trusted before what lengths are.
+PENALTY = (0.3, 0.3, 3.0, 3.0, 20.0, 20.0, 20.0, 40.0, 20.0, 10.0, 5.0, 3.0)
 FEATURES = ("demanding_share", "graded_mean", "rarity", "rare_share", "diversity", "word_length", "long_words", "sentence_length", "clauses", "subordination", "everyday", "academic")
 
 
@@ -150,8 +154,9 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     their differences' logarithms. Fitted by Newton-scaled gradient steps.
     """
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = (x - mean) / scale
+    z = np.clip((x - mean) / scale, -CLIP, CLIP)
     n, d = z.shape
+    penalty = ridge * np.array(PENALTY if d == len(PENALTY) else (1.0,) * d)
     above = (y[:, None] > np.arange(1, LEVELS)[None, :]).astype(float)
     share = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
     cuts = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(LEVELS - 1) * 1e-3)
@@ -164,7 +169,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
         g = p - above
         gc = -g.sum(0)
         gp = np.empty_like(params)
-        gp[:d] = z.T @ g.sum(1) + ridge * params[:d]
+        gp[:d] = z.T @ g.sum(1) + penalty * params[:d]
         gp[d] = gc.sum()
         tail = np.cumsum(gc[::-1])[::-1]
         gp[d + 1 :] = tail[1:] * np.exp(params[d + 1 :])
@@ -176,7 +181,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 def predicted(model: tuple, t: Text, df: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Level and P(level > 3) of each text."""
     (mean, scale, w, cuts), grades = model
-    s = (t.features(df, total, *grades) - mean) / scale @ w
+    s = np.clip((t.features(df, total, *grades) - mean) / scale, -CLIP, CLIP) @ w
     p = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts[None, :], -40, 40)))
     return 1 + (p > 0.5).sum(1), p[:, 2]
 
@@ -217,9 +222,10 @@ def reading_levels(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
         got = known.mapInArrow(run, "level double, x array<double>").toArrow()
         return fit_ordinal(np.array(got.column(1).to_pylist()), np.round(got.column(0).to_numpy() + 1e-9), ridge)
 
-    first = fitted(grades, True)
-    all_grades = word_grades(docs.select("text", F.lit(0.0).alias("level")).where("text is not null"), (first, grades), counts)
-    model = spark.sparkContext.broadcast((fitted(all_grades, False), all_grades, counts))
+    fit = fitted(grades, True)
+    grades = word_grades(docs.select("text", F.lit(0.0).alias("level")).where("text is not null"), (fit, grades), counts)
+    fit = fitted(grades, False)
+    model = spark.sparkContext.broadcast((fit, grades, counts))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, g, (df, total) = model.value
