@@ -618,11 +618,11 @@ def trace_stream(spark, d):
     """Episodes of the trace table as a stream: each once, pass rates by suite and day."""
     import uuid
 
-    from ..sources.tables import shared_dir
+    from ..sources.tables import stage_home
     from ..streaming import traces as live
 
     source = table(spark, d, "traces").select("suite", "run_id", "id", "finished_at", (F.col("verdict.status") == "passed").alias("passed"))
-    home = f"{shared_dir(spark)}/verisieve/stream-{uuid.uuid4().hex}"
+    home = f"{stage_home(spark)}/stream-{uuid.uuid4().hex}"
     source.where("finished_at is not null").write.parquet(f"{home}/in")
     s = live.stream(spark, f"{home}/in", spark.read.parquet(f"{home}/in").schema)
     once = live.first_seen(s, ["run_id", "suite", "id"], "finished_at", "36500 days")

@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def stage_home(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/verisieve/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all that this application staged; call it once results are written, since they read staged tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -36,7 +47,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     follows starts from files instead of from a long plan.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verisieve/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_home(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
