@@ -215,19 +215,20 @@ def closing_counts(texts: DataFrame) -> dict[str, np.ndarray]:
                     add(x)
             add(_runs(h, owner, at[~last], masked_only=True)[0])
             # Beginnings of longer words, after the word before; words at an end may be cut themselves.
-            before = np.zeros(len(h), np.uint64)
+            size = len(w.vocab)
+            before = np.zeros(len(h), np.int64)  # the word before, 0 for none
             same = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-            before[same] = h[same - 1]
-            code = w.codes[~last]
-            pair, n = np.unique(np.stack([before[~last], code.astype(np.uint64)]), axis=1, return_counts=True) if len(code) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+            before[same] = w.codes[same - 1] + 1
+            pair, n = np.unique((before * size + w.codes)[~last], return_counts=True)
+            of = np.concatenate([np.zeros(1, np.uint64), hashes(["#" if x[0].isdigit() else x for x in w.vocab])])
             begin = [[x[:k] for k in range(1, len(x))] if x[0].isalpha() and len(x) < 40 else [] for x in w.vocab]
             flat = hashes([p for ps in begin for p in ps]) if any(begin) else np.zeros(0, np.uint64)
             count = np.array([len(ps) for ps in begin], np.int64)
             start = np.concatenate([[0], np.cumsum(count)])[:-1]
-            c = pair[1].astype(np.int64)
+            c = pair % size
             times = count[c]
             where = np.repeat(start[c] - np.concatenate([[0], np.cumsum(times)[:-1]]) if len(c) else start[c], times) + np.arange(times.sum())
-            e2, e1 = _extension_key(np.repeat(pair[0], times), flat[where] if len(where) else np.zeros(0, np.uint64))
+            e2, e1 = _extension_key(np.repeat(of[pair // size], times), flat[where] if len(where) else np.zeros(0, np.uint64))
             add(e2, np.repeat(n, times))
             add(e1, np.repeat(n, times))
         at = np.flatnonzero(sums)
