@@ -55,6 +55,25 @@ def test_truncated_outputs(spark):
     assert truncation.cut_outputs(truncation.outputs(c.limit(0), t)).isEmpty()
 
 
+def test_copies_meet_every_longer_text(spark):
+    """The longest text of a bucket lacks a copy's end; the true whole is a shorter one."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for i in range(40):
+        words_ = [f"w{rng.randrange(1000, 9999)}" for _ in range(60)]
+        whole, copy = " ".join(words_), " ".join(words_[:54])[:-2]
+        # Ever longer texts that differ from the whole in the word that is cut.
+        hubs = [" ".join([*words_[:53], f"other{k}", *words_[54:59], "xyz"[k] * (20 + k)]) for k in range(3)]
+        rows += [(10 * i, whole), (10 * i + 1, copy), *((10 * i + 2 + k, h) for k, h in enumerate(hubs))]
+        a = truncation.band_keys(pa.array([whole, copy]))
+        if (a[0] == a[1]).any() and truncation.near(copy, whole):
+            want.add(10 * i + 1)
+    assert len(want) > 30
+    c = spark.createDataFrame(rows, "row_ord long, text string").withColumn("tab", F.lit("candidates")).select("tab", "row_ord", "text")
+    got = {r.row_ord for r in truncation.cut_outputs(c).where("how = 'copy'").collect()}
+    assert got >= want and not got - {r[0] for r in rows if r[0] % 10 == 1}
+
+
 def test_bands_find_near_copies():
     rng = random.Random(3)
     base = [" ".join(str(rng.randrange(5000)) for _ in range(80)) for _ in range(60)]

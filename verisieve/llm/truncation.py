@@ -33,8 +33,12 @@ def _plain_words(texts: pa.Array) -> Words:
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), coded.dictionary.to_pylist())
 
 
-def band_keys(texts: pa.Array) -> np.ndarray:
-    """BANDS hashes of each text's shingle minima; texts of fewer than WIDTH words have one shingle."""
+def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's BANDS hashes of shingle minima, parity sketch and number of distinct shingles; texts of fewer than WIDTH words have one shingle.
+
+    The sketch has a bit for the parity of the shingles that fall on it, so two
+    sketches differ in no more bits than the sets differ in shingles.
+    """
     w = _plain_words(texts)
     n = len(texts)
     h = hashes(w.vocab)[w.codes]
@@ -57,7 +61,19 @@ def band_keys(texts: pa.Array) -> np.ndarray:
                 x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
                 key = key * np.uint64(0x100000001B3) + mix(np.minimum.reduceat(x, starts)) if n else key
         out[:, b] = mix(key, b)
-    return out
+    order = np.lexsort((run, owner))
+    run, owner = run[order], owner[order]
+    new = np.ones(total, bool)
+    new[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
+    run, owner = run[new], owner[new]
+    odd = np.bincount(owner * 64 + (mix(run, 77) % np.uint64(64)).astype(np.int64), minlength=n * 64) % 2
+    sketch = np.packbits(odd.astype(bool).reshape(n, 64), axis=1).view(np.int64).ravel()
+    return out, sketch, np.bincount(owner, minlength=n)
+
+
+def band_keys(texts: pa.Array) -> np.ndarray:
+    """BANDS hashes of each text's shingle minima."""
+    return signed(texts)[0]
 
 
 def jaccard(a: str, b: str) -> float:
@@ -104,9 +120,10 @@ def cut_outputs(texts: DataFrame) -> DataFrame:
     where the closing words hardly ever end a text.
 
     Near-copies come from min-hash bands over five-word shingles. In each band
-    bucket every text meets the longest text only, equal texts count once, so
-    a bucket of any size yields no more pairs than it has texts. Null, blank
-    and empty outputs are no cases; repeated rows are cases of their own.
+    bucket every text whose end may be a cut meets all longer texts; equal
+    texts count once. Sketches drop the pairs that can't be similar enough
+    before any text is fetched. Null, blank and empty outputs are no cases;
+    repeated rows are cases of their own.
     """
     spark = texts.sparkSession
     texts = texts.where(F.col("text").isNotNull())
@@ -128,19 +145,27 @@ def cut_outputs(texts: DataFrame) -> DataFrame:
             for k in np.flatnonzero(digit):
                 if shortened_number(strip[int(k)].as_py()):
                     how[k] = 2
-            keys = band_keys(t).view(np.int64)
-            cols = [b.column(0), b.column(1), b.column(3), pa.array(pc.utf8_length(t).cast(pa.int32())), pa.array(how.astype(np.int8)), pa.array(score >= CLOSED)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["tab", "row_ord", "cls", "size", "how", "closes", "bands"])
+            keys, sketch, n = signed(t)
+            closes = score >= CLOSED
+            # Only a cut inside a word or an unlikely end can be a copy's; the others are wholes only.
+            asks = ~closes | np.fromiter((x.rstrip()[-1:].isalnum() for x in t.to_pylist()), bool, len(t))
+            mark = pc.utf8_length(t).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | n << 2 | closes * 2 | asks
+            cols = [b.column(0), b.column(1), b.column(3), pa.array(mark), pa.array(sketch), pa.array(how.astype(np.int8))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))], ["tab", "row_ord", "cls", "mark", "sketch", "how", "bands"])
 
     hashed = texts.select("tab", "row_ord", "text", F.xxhash64("text").alias("cls"))
-    rows = stage(hashed.mapInArrow(scan, "tab string, row_ord long, cls long, size int, how byte, closes boolean, bands array<long>"), "outputs")
+    rows = stage(hashed.mapInArrow(scan, "tab string, row_ord long, cls long, mark long, sketch long, how byte, bands array<long>"), "outputs")
     # One row per distinct text; the bands of equal texts are equal.
-    # A text's size and whether its end closes it share a number, since what is shuffled here is most of all.
-    mark = F.first("size") * 2 + F.first("closes").cast("int")
-    bands = rows.groupBy("cls").agg(mark.alias("mark"), F.first("bands").alias("bands")).select("cls", "mark", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.max("mark").alias("most"), F.max_by("cls", "mark").alias("whole"))
-    longer = F.shiftright("most", 1) > F.shiftright("mark", 1)
-    pairs = bands.join(hubs, "key").where(longer).select("cls", "whole", (F.col("mark") % 2 == 1).alias("closes")).distinct()
+    # A text's size, its number of shingles, whether its end closes it and whether it may be a copy share a number, since what is shuffled here is most of all.
+    bands = rows.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("mark", "sketch", "bands"))).select("cls", "mark", "sketch", F.explode("bands").alias("key"))
+    copies = bands.where(F.col("mark") % 2 == 1)
+    wholes = bands.select("key", F.col("cls").alias("whole"), F.col("mark").alias("most"), F.col("sketch").alias("other"))
+    longer = F.shiftright("most", 32) > F.shiftright("mark", 32)
+    shingles = lambda c: F.shiftright(F.col(c).bitwiseAND((1 << 32) - 1), 2)
+    # Sets of a and b shingles that differ in d of them are SIMILAR up to 9 d = a + b; ``near`` lets two more pass for beginnings.
+    differ = F.greatest(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other"))), F.abs(shingles("mark") - shingles("most")))
+    alike = differ * 9 <= shingles("mark") + shingles("most") + 18
+    pairs = copies.join(wholes, "key").where(longer & alike).select("cls", "whole", (F.col("mark").bitwiseAND(2) == 2).alias("closes")).distinct()
     pairs = stage(pairs, "near")
     need = pairs.select("cls").union(pairs.select("whole")).distinct()
     text = hashed.select("cls", "text").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
@@ -148,20 +173,19 @@ def cut_outputs(texts: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, inside = [], []
-            for k, (x, y, closes) in enumerate(zip(*(b.column(j).to_pylist() for j in (1, 2, 3)))):
-                rest = goes_on(x, y)
+            found: set[int] = set()  # one whole is enough
+            for cls, x, y, closes in zip(*(b.column(j).to_pylist() for j in range(4))):
+                rest = None if cls in found else goes_on(x, y)
                 mid = bool(rest) and x.rstrip()[-1].isalnum() and rest[0].isalnum()
                 # Between words, a longer copy may just have gone on after a sound end.
                 if rest and (mid or not closes) and near(x, y):
-                    keep.append(k)
-                    inside.append(mid)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(inside, pa.bool_())], ["cls", "inside"])
+                    found.add(cls)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64())], ["cls"])
 
     whole = text.select(F.col("cls").alias("whole"), F.col("text").alias("whole_text"))
-    early = pairs.join(text, "cls").join(whole, "whole").select("cls", "text", "whole_text", "closes").mapInArrow(verify, "cls long, inside boolean")
-    early = early.groupBy("cls").agg(F.max("inside").alias("inside"))
-    out = rows.select("tab", "row_ord", "cls", "how", "closes").join(early, "cls", "left").withColumn("copy", F.col("inside").isNotNull())
+    early = pairs.join(whole, "whole").join(text, "cls").select("cls", "text", "whole_text", "closes").mapInArrow(verify, "cls long")
+    early = early.distinct().withColumn("copy", F.lit(True))
+    out = rows.select("tab", "row_ord", "cls", "how").join(early, "cls", "left")
     name = F.when(F.col("copy"), "copy").when(F.col("how") == 1, "structure").when(F.col("how") == 2, "word").when(F.col("how") == 3, "sentence")
     return out.select("tab", "row_ord", name.alias("how")).where("how is not null")
 
