@@ -4,7 +4,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from verisieve.functions import draws
 from verisieve.operators import audit, corpus, ordering, selection, stats
+from verisieve.plans import catalogue
 
 
 def test_running_sums_match_plain_ones(spark):
@@ -46,6 +48,28 @@ def test_intervals_hold_the_mean(spark):
         stats.classic_bootstrap([])
 
 
+def test_draws_are_those_of_md5():
+    import hashlib
+
+    for seed, n, key in (("42", 1200, "7"), ("flip42", 10_000, "suite/é-12"), ("42", 30, None), ("42", 120, "k" * 60), ("42", 1, ""), ("flip42", 100, "k" * 45)):
+        want = [int(hashlib.md5("-".join([seed, str(b), *([key] if key is not None else [])]).encode()).hexdigest()[:8], 16) for b in range(n)]
+        assert draws.heads(seed, n, key).tolist() == want
+        assert draws.weights(seed, n, key).tolist() == [sum(x / 2**32 >= c for c in draws.POISSON) for x in want]
+
+
+def test_resamples_in_pieces(spark, monkeypatch):
+    d = run_pair(spark).withColumn("g", F.lit("x"))
+    whole = stats.paired_tests(d, ["g"], "a", "b", "id", 300).collect(), stats.poisson_bootstrap(d, [], F.col("a"), "id", 300).collect()
+    monkeypatch.setattr(stats, "PIECE", 7)
+    assert whole == (stats.paired_tests(d, ["g"], "a", "b", "id", 300).collect(), stats.poisson_bootstrap(d, [], F.col("a"), "id", 300).collect())
+
+
+def test_registered_resamples_can_tell_many_runs_apart(spark, data):
+    """269 tests at 0.05 need p-values below 0.0002."""
+    p = [r.p_value for r in catalogue.QUERIES["compare_runs"](spark, data).collect()]
+    assert catalogue._B == 10_000 and all(abs(x * 10_001 - round(x * 10_001)) < 0.006 for x in p)
+
+
 def test_holm(spark):
     d = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5)], "n string, p double")
     assert {r.n: r.adjusted for r in stats.holm(d, "p", "n").collect()} == {"a": 0.04, "c": 0.09, "b": 0.09, "d": 0.5}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import poisson, uniform
+from ..functions import draws
 from .verify import eligible
 
 
@@ -27,22 +30,71 @@ def failure_taxonomy(traces: DataFrame, by: list[str], order: str, verdict: str
     return d.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "_first"))).drop("_first")
 
 
+#: Rows of a group that are resampled in one piece.
+PIECE = 2_000
+
+
+def _resampled(d: DataFrame, by: list[str], resamples: int, alpha: float, seed: int, flips: bool) -> DataFrame:
+    """by, low, high, hits of the groups' values ``_v`` with keys ``_k``.
+
+    Each group, or piece of a large one, adds its rows' draws into arrays of
+    ``resamples`` sums; only pieces' arrays are shuffled, never a row a resample.
+    """
+    spark = d.sparkSession
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    pieces = F.least(F.ceil(F.col("_n") / PIECE), F.lit(slots)).cast("int")
+    counts = d.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, pieces.alias("_of"))
+    d = d.join(counts, by).withColumn("_part", F.pmod(F.xxhash64("_k"), F.col("_of")).cast("int")).repartition(slots, *by, "_part")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*by).schema)
+
+    def ends(w: np.ndarray, wv: np.ndarray, flipped: np.ndarray, total: float) -> tuple[float | None, float | None, int]:
+        m = np.sort(wv[w > 0] / w[w > 0])
+        at = lambda q: float(m[min(math.floor(q * len(m)), len(m) - 1)]) if len(m) else None
+        return at(alpha / 2), at(1 - alpha / 2), int((np.abs(flipped) >= abs(total) - 1e-9).sum())
+
+    def row(first: pa.Table, got: dict) -> pa.Table:
+        kind = {"low": pa.float64(), "high": pa.float64(), "hits": pa.int64(), "total": pa.float64(), "sums": pa.binary()}
+        return pa.table([*(first.column(c) for c in by), *(pa.array([got.get(c)], t) for c, t in kind.items())], names=[*by, *kind])
+
+    def piece(t: pa.Table) -> pa.Table:
+        w, wv, below = np.zeros((3, resamples))
+        total = 0.0
+        for k, v in zip(t.column("_k").to_pylist(), t.column("_v").to_pylist()):
+            x = draws.weights(str(seed), resamples, k)
+            w += x
+            if v:
+                wv += x * v
+                total += v
+                if flips:
+                    below += draws.lower_half(f"flip{seed}", resamples, k) * v
+        if t.column("_of")[0].as_py() > 1:
+            return row(t.slice(0, 1), {"total": total, "sums": np.stack([w, wv, below]).tobytes()})
+        return row(t.slice(0, 1), dict(zip(("low", "high", "hits"), ends(w, wv, 2 * below - total, total))))
+
+    def merged(t: pa.Table) -> pa.Table:
+        if t.column("sums")[0].as_py() is None:
+            return t.select([*by, "low", "high", "hits"])
+        sums, total = np.zeros((3, resamples)), sum(t.column("total").to_pylist())
+        for x in t.column("sums"):
+            sums += np.frombuffer(x.as_buffer()).reshape(3, resamples)
+        return row(t.slice(0, 1), dict(zip(("low", "high", "hits"), ends(sums[0], sums[1], 2 * sums[2] - total, total)))).select([*by, "low", "high", "hits"])
+
+    parts = d.groupBy(*by, "_part").applyInArrow(piece, f"{kinds}, low double, high double, hits long, total double, sums binary")
+    return parts.groupBy(*by).applyInArrow(merged, f"{kinds}, low double, high double, hits long")
+
+
 def poisson_bootstrap(df: DataFrame, by: list[str], value: Column, key: str, resamples: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """by, n, mean, ci_low, ci_high: percentile bootstrap whose weights are Poisson(1) draws by row and resample.
 
-    Rows needn't be gathered or joined: each adds its weighted value to every
-    resample's partial sums, so that only ``resamples`` rows a group are
-    shuffled. The percentiles stand at floor(q * resamples). ``key`` is
-    unique; null values are left out.
+    The percentiles stand at floor(q * resamples). ``key`` is unique; null
+    values are left out.
     """
     d = df.select(*by, F.col(key).cast("string").alias("_k"), value.cast("double").alias("_v")).where("_v is not null")
-    r = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", poisson(uniform(F.lit(str(seed)), F.col("_b").cast("string"), "_k")))
-    means = r.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
-    ends = means.groupBy(*by).agg(F.sort_array(F.collect_list("_m")).alias("_s"))
-    at = lambda q: F.get("_s", F.least(F.floor(F.lit(q) * F.size("_s")), F.size("_s") - 1).cast("int"))
-    point = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
-    joined = point.join(ends, by) if by else point.crossJoin(ends)
-    return joined.select(*by, "n", F.round("mean", 6).alias("mean"), F.round(at(alpha / 2), 6).alias("ci_low"), F.round(at(1 - alpha / 2), 6).alias("ci_high"))
+    groups = by or ["_all"]
+    d = d if by else d.withColumn("_all", F.lit(1))
+    point = d.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    joined = point.join(_resampled(d, groups, resamples, alpha, seed, False), groups)
+    return joined.select(*by, "n", *(F.round(c, 6).alias(name) for c, name in (("mean", "mean"), ("low", "ci_low"), ("high", "ci_high"))))
 
 
 def classic_bootstrap(values: list[float], resamples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> tuple[float, float, float]:
@@ -79,14 +131,10 @@ def paired_tests(pairs: DataFrame, by: list[str], a: str, b: str, key: str, resa
     from random sign flips, (1 + hits) / (1 + resamples); both draw by key and
     resample.
     """
-    d = pairs.select(*by, F.col(key).cast("string").alias("_k"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), (F.col(a) - F.col(b)).cast("double").alias("_d")).where("_d is not null")
-    point = d.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("_a"), 6).alias("mean_a"), F.round(F.avg("_b"), 6).alias("mean_b"), F.sum("_d").alias("_sum"))
-    ci = poisson_bootstrap(d, by, F.col("_d"), "_k", resamples, seed=seed).drop("n")
-    r = d.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_s", F.when(uniform(F.lit(f"flip{seed}"), F.col("_r").cast("string"), "_k") < 0.5, F.col("_d")).otherwise(-F.col("_d")))
-    flips = r.groupBy(*by, "_r").agg(F.sum("_s").alias("_f"))
-    hits = flips.join(point.select(*by, "_sum"), by).groupBy(*by).agg(F.count_if(F.abs("_f") >= F.abs("_sum") - 1e-9).alias("_h"))
-    out = point.join(ci.withColumnRenamed("mean", "delta"), by).join(hits, by)
-    return out.select(*by, "n", "mean_a", "mean_b", "delta", "ci_low", "ci_high", (~F.lit(0.0).between(F.col("ci_low"), F.col("ci_high"))).alias("significant"), F.round((1 + F.col("_h")) / F.lit(1 + resamples), 6).alias("p_value"))
+    d = pairs.select(*by, F.col(key).cast("string").alias("_k"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), (F.col(a) - F.col(b)).cast("double").alias("_v")).where("_v is not null")
+    point = d.groupBy(*by).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(name) for c, name in (("_a", "mean_a"), ("_b", "mean_b"), ("_v", "delta"))))
+    out = point.join(_resampled(d.select(*by, "_k", "_v"), by, resamples, 0.05, seed, True), by).withColumns({"ci_low": F.round("low", 6), "ci_high": F.round("high", 6)})
+    return out.select(*by, "n", "mean_a", "mean_b", "delta", "ci_low", "ci_high", (~F.lit(0.0).between(F.col("ci_low"), F.col("ci_high"))).alias("significant"), F.round((1 + F.col("hits")) / F.lit(1 + resamples), 6).alias("p_value"))
 
 
 def accuracy(df: DataFrame, family: str, verdict: str = "verdict") -> DataFrame:

@@ -401,7 +401,8 @@ def failure_taxonomy(spark, d):
     return stats.failure_taxonomy(table(spark, d, "traces"), ["suite"], "row_ord").withColumn("place", F.col("place").cast("long"))
 
 
-_B = 100
+#: The reference's resamples and sign flips.
+_B = 10_000
 
 
 @query(f"""WITH v AS (SELECT suite, row_ord::VARCHAR AS k, (verdict.status = 'passed')::INT::DOUBLE AS v FROM traces WHERE verdict.status IN ('passed', 'failed')),
