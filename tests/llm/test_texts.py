@@ -55,6 +55,17 @@ def test_truncated_outputs(spark):
     assert truncation.cut_outputs(truncation.outputs(c.limit(0), t)).isEmpty()
 
 
+def test_closing_counts_are_the_same_in_passes(spark, monkeypatch):
+    d = spark.createDataFrame([(t[: 40 + k % 60],) for k, t in enumerate(outputs())], "text string")
+    (want,) = endings.closing_counts(d)
+    monkeypatch.setattr(endings, "KEYS", 150)
+    parts = endings.closing_counts(d)
+    got = np.concatenate(endings.Terminality(parts).parts, axis=1)
+    assert len(parts) > 1 and (got[:, np.argsort(got[0])] == want).all() and want[2].sum() > 0
+    t = d.toArrow().column(0).combine_chunks()
+    assert all((a == b).all() for a, b in zip(endings.Terminality([want]).score(t), endings.Terminality(parts).score(t)))
+
+
 def test_copies_meet_every_longer_text(spark):
     """The longest text of a bucket lacks a copy's end; the true whole is a shorter one."""
     rng = random.Random(11)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +25,9 @@ STAND_INS = frozenset(
 )
 #: Characters of the tail that hold the closing words.
 TAIL = 160
-#: Bits of a hashed run, and those that are left where the closing runs are more than KEYS.
-BITS, FEW_BITS = 44, 19
-#: Closing runs that are counted and broadcast one by one; FAMILIES << FEW_BITS is less.
+#: Bits of a hashed run.
+BITS = 44
+#: Closing runs that are counted and broadcast at once; more are counted in passes and sent as files.
 KEYS = 4_000_000
 FAMILIES = 7  # runs of 4, 3, 2 and 1 closing words, runs of 3 before any word, longer words after the word before, longer words
 EXT2, EXT1 = 5, 6
@@ -106,11 +109,6 @@ def _coded(texts: pa.Array) -> tuple[Words, np.ndarray]:
     return w, hashes(vocab)[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
 
 
-def _low(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Keys with fewer bits of hash."""
-    return keys if bits == BITS else (keys >> BITS) << BITS | (keys & ((1 << bits) - 1))
-
-
 def _runs(h: np.ndarray, owner: np.ndarray, at: np.ndarray, masked_only: bool = False) -> list[np.ndarray]:
     """Buckets of the runs of words that end at the positions ``at``, by family."""
     back = []
@@ -152,13 +150,15 @@ def _closing(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[str],
     return has, runs, last, np.stack(_extension_key(before, part)) if len(has) else np.zeros((2, 0), np.int64)
 
 
-def closing_counts(texts: DataFrame) -> dict[str, np.ndarray]:
+def closing_counts(texts: DataFrame) -> list[np.ndarray | str]:
     """How often the closing runs of the column ``text`` end a text and how often they go on.
 
     The first pass gathers the closing runs, the second counts them inside all
-    texts, whole texts as they are. Both tables are kept by hash in a fixed
-    number of buckets, so that neither the driver nor a task holds more than
-    that whatever the input.
+    texts, whole texts as they are. Each part of the result has sorted keys and
+    both counts as its rows and holds the keys of one remainder by the number
+    of parts. Beyond KEYS runs each part is counted in a pass of its own and
+    becomes a file that the executors map, so that neither the driver nor a
+    task holds more than one part.
     """
     spark = texts.sparkSession
 
@@ -175,25 +175,38 @@ def closing_counts(texts: DataFrame) -> dict[str, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.int64())], ["key", "n"])
 
     closing = stage(texts.select("text").mapInArrow(ends, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "closing")
-    bits = BITS
-    if closing.count() > KEYS:
-        bits = FEW_BITS
-        cut = F.shiftleft(F.shiftright("key", BITS), BITS).bitwiseOR(F.col("key").bitwiseAND((1 << bits) - 1))
-        closing = closing.groupBy(cut.alias("key")).agg(F.sum("n").alias("n"))
-    got = closing.toArrow()
-    keys, n_end = got.column(0).to_numpy(), got.column(1).to_numpy()
-    order = np.argsort(keys)
-    keys, n_end = keys[order], n_end[order]
-    sent = spark.sparkContext.broadcast(keys)
+    parts = max(1, -(-closing.count() // KEYS))
+    fold = lambda keys: (keys >> BITS) << 20 | (keys & ((1 << 20) - 1))
+    # Words that end some text, of all parts.
+    words = np.zeros(FAMILIES << 20, bool)
+    ends_with = closing.where(F.shiftright("key", BITS) == 3).select(F.col("key").bitwiseAND((1 << 20) - 1).alias("low")).distinct()
+    words[(3 << 20) + ends_with.toArrow().column(0).to_numpy()] = True
+    sent_words = spark.sparkContext.broadcast(words)
+    out: list[np.ndarray | str] = []
+    for part in range(parts):
+        got = closing.where(F.pmod("key", F.lit(parts)) == part).toArrow()
+        keys, n_end = got.column(0).to_numpy(), got.column(1).to_numpy()
+        order = np.argsort(keys)
+        counted = np.stack([keys[order], n_end[order], _inside(texts, keys[order], sent_words, fold)])
+        if parts > 1:
+            path = f"{tempfile.mkdtemp(prefix='verisieve-')}/closing-{uuid.uuid4().hex}.npy"
+            np.save(path, counted)
+            spark.sparkContext.addFile(path)
+            counted = path.rsplit("/", 1)[1]
+        out.append(counted)
+    return out
+
+
+def _inside(texts: DataFrame, keys: np.ndarray, sent_words: Broadcast, fold: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each of the sorted keys goes on inside the texts."""
+    sent = texts.sparkSession.sparkContext.broadcast(keys)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = lambda keys: (keys >> BITS) << 20 | (keys & ((1 << 20) - 1))
         wanted = np.zeros(FAMILIES << 20, bool)
         wanted[fold(sent.value)] = True
         sums = np.zeros(len(sent.value), np.int64)
 
         def add(buckets: np.ndarray, weight: np.ndarray | None = None) -> None:
-            buckets = _low(buckets, bits)
             ok = np.flatnonzero(wanted[fold(buckets)])
             at = np.minimum(np.searchsorted(sent.value, buckets[ok]), len(sums) - 1)
             hit = sent.value[at] == buckets[ok]
@@ -209,7 +222,7 @@ def closing_counts(texts: DataFrame) -> dict[str, np.ndarray]:
             last[w.offsets[1:][w.counts > 0] - 1] = True
             # Runs that end with a word that ends no text are none of those wanted.
             single = (mix(mix(h, 1), 23) & np.uint64((1 << BITS) - 1)).astype(np.int64) + (3 << BITS)
-            ends_some = wanted[fold(_low(single, bits))] & ~last
+            ends_some = sent_words.value[fold(single)] & ~last
             for k, x in enumerate(_runs(h, owner, at[ends_some])):
                 if k < 4:
                     add(x)
@@ -238,22 +251,27 @@ def closing_counts(texts: DataFrame) -> dict[str, np.ndarray]:
     if len(keys):
         got = texts.select("text").mapInArrow(inside, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         n_in[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return {"keys": keys, "end": n_end, "in": n_in, "bits": bits}
+    return n_in
 
 
 class Terminality:
     """Scores of endings by the counts of ``closing_counts``."""
 
-    def __init__(self, counts: dict[str, np.ndarray], support: int = 4):
-        self.keys, self.end, self.inn, self.bits, self.support = counts["keys"], counts["end"], counts["in"], counts["bits"], support
+    def __init__(self, counts: list[np.ndarray | str], support: int = 4):
+        self.parts = [np.load(SparkFiles.get(x), mmap_mode="r") if isinstance(x, str) else x for x in counts]
+        self.support = support
 
     def _look(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys) or not len(buckets):
-            return np.zeros(len(buckets), np.int64), np.zeros(len(buckets), np.int64)
-        buckets = _low(buckets, self.bits)
-        at = np.minimum(np.searchsorted(self.keys, buckets), len(self.keys) - 1)
-        hit = self.keys[at] == buckets
-        return np.where(hit, self.end[at], 0), np.where(hit, self.inn[at], 0)
+        end, inn = np.zeros(len(buckets), np.int64), np.zeros(len(buckets), np.int64)
+        of = buckets % len(self.parts)
+        for part, (keys, ends, ins) in enumerate(self.parts):
+            mine = np.flatnonzero(of == part)
+            if not len(keys) or not len(mine):
+                continue
+            at = np.minimum(np.searchsorted(keys, buckets[mine]), len(keys) - 1)
+            hit = keys[at] == buckets[mine]
+            end[mine], inn[mine] = np.where(hit, ends[at], 0), np.where(hit, ins[at], 0)
+        return end, inn
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(terminality, fragment) of each text; 1 and False where there are no words.
