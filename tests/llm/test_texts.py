@@ -217,6 +217,29 @@ def test_ordinal_regression_on_held_out_rows():
     assert (abs(level - y[600:]) <= 1).mean() > 0.97 and (level == y[600:]).mean() > 0.7
 
 
+def test_calibration_is_held_out():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 3))
+    y = np.clip(np.digitize(x @ [1.5, -1.0, 0.0] + rng.normal(size=1200) * 0.4, [-2, -0.7, 0.7, 2]) + 1, 1, 5).astype(float)
+    held = np.arange(1200) % 5 == 0
+    fit, ridge = reading.calibrated(x[:1000], y[:1000], held[:1000])
+    p = reading.above(fit, x[1000:])
+    assert ridge in reading.RIDGES and (np.diff(p, axis=1) <= 0).all()
+    assert abs(p[:, 2].mean() - (y[1000:] > 3).mean()) < 0.04 and ((p[:, 2] > 0.5) == (y[1000:] > 3)).mean() > 0.9
+    few, _ = reading.calibrated(x[:40], y[:40], held[:40])
+    assert np.isfinite(few[2]).all()
+
+
+def test_word_counts_are_exact(spark):
+    texts = ["a b a 7", "b c", None, "", "B, c! d"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = reading.word_counts(d)
+    assert counts.of(words.hashes(["a", "b", "c", "d", "7", "z"]).view(np.int64)).tolist() == [1, 3, 2, 1, 0, 0] and counts.total == 5
+    assert len(reading.word_counts(d, 0.4).keys) == 2
+    w = words.split(pa.array(texts))
+    assert all([x.tolist() for x in words.distinct_words(w, n)] == [[0, 0, 0, 1, 1, 4, 4, 4], [0, 1, 2, 1, 3, 1, 3, 4]] for n in (1, 11, 1 << 20))
+
+
 def test_reading_levels(spark):
     rng = random.Random(4)
     easy = "The dog runs home. It is tired and sits down. Can you see the bag? Now it is your turn.".split(". ")

@@ -54,6 +54,21 @@ def split(texts: pa.Array, keep_marks: bool = False) -> Words:
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary.to_pylist())
 
 
+def distinct_words(words: Words, cells: int = 1 << 25) -> tuple[np.ndarray, np.ndarray]:
+    """(text, code) of each distinct word of each text, in order; marked in tables of at most ``cells`` places, some texts at a time."""
+    n, size = len(words.offsets) - 1, max(1, len(words.vocab))
+    owner, rows = words.owners(), max(1, cells // size)
+    out = []
+    for a in range(0, n, rows):
+        z = min(n, a + rows)
+        seen = np.zeros((z - a) * size, bool)
+        part = slice(words.offsets[a], words.offsets[z])
+        seen[(owner[part] - a) * size + words.codes[part]] = True
+        out.append(np.flatnonzero(seen) + a * size)
+    flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return flat // size, flat % size
+
+
 def hashes(vocab: list[str]) -> np.ndarray:
     """A stable 64-bit hash of each word."""
     import xxhash
