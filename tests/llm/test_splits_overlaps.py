@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -87,19 +88,23 @@ def test_cosine_join_loses_no_pair(spark):
         base = texts[rng.randrange(len(texts))].split() if texts and rng.random() < 0.5 else [rng.choice(["qqa", "qqb", "qqc", "alpha", "beta", "gamma", str(rng.randrange(300))]) for _ in range(20)]
         for _ in range(rng.randrange(4)):
             base[rng.randrange(len(base))] = str(rng.randrange(300))
+        if i % 3 == 0 and texts:  # the numbers and names of an earlier text, other words
+            base = [rng.choice(["alpha", "beta", "gamma", "delta"]) if x.isalpha() and x[:2] != "qq" and rng.random() < 0.5 else x for x in rng.choice(texts).split()]
+            rng.shuffle(base)
         texts.append(" ".join(base))
     d = spark.createDataFrame([(str(i).encode(), t, i % 3 > 0, i % 3 == 0) for i, t in enumerate(texts)], "cls binary, canon string, train boolean, eval boolean")
-    counts, total = overlaps.document_counts(d)
-    assert total == 160
-    least = 0.7
-    got = {(int(r.a), int(r.b)) for r in overlaps.cosine_candidates(d, counts, total, least).collect()}
-    t = overlaps.Terms(pa.array(texts), counts, total)
+    counts = overlaps.document_counts(d)
+    assert counts.total == 160
+    t = overlaps.Terms(pa.array(texts), counts)
     vec = [dict(zip(t.term[t.owner == i].tolist(), t.weight[t.owner == i].tolist())) for i in range(160)]
     cos = lambda a, b: sum(w * vec[b].get(k, 0) for k, w in vec[a].items())
-    want = {(a, b) for a in range(160) for b in range(160) if a % 3 > 0 and b % 3 == 0 and cos(a, b) >= least}
-    assert want and want <= got
-    exact = {(int(r.a), int(r.b)): r.cosine for r in overlaps.compared(spark.createDataFrame([(str(a).encode(), str(b).encode(), texts[a], texts[b]) for a, b in sorted(want)], "a binary, b binary, x string, y string"), counts, total, least).collect()}
-    assert all(np.isclose(c, cos(*k)) for k, c in exact.items())
+    hard = [Counter(x for x in z.split() if x[:2] == "qq" or x[0].isdigit()) for z in texts]
+    for least in (0.4, 0.7, 0.9):
+        got = {(int(r.a), int(r.b)) for r in overlaps.cosine_candidates(d, counts, least).collect()}
+        want = {(a, b) for a in range(160) for b in range(160) if a % 3 > 0 and b % 3 == 0 and cos(a, b) >= least and hard[a] == hard[b]}
+        assert want and want <= got
+        exact = {(int(r.a), int(r.b)): r.cosine for r in overlaps.compared(spark.createDataFrame([(str(a).encode(), str(b).encode(), texts[a], texts[b]) for a, b in sorted(want)], "a binary, b binary, x string, y string"), counts, least).collect()}
+        assert set(exact) == want and all(np.isclose(c, cos(*k)) for k, c in exact.items())
 
 
 def question(k, split, text):
@@ -115,6 +120,6 @@ def test_overlaps(spark):
     d = spark.createDataFrame(rows, SFT).withColumn("canon", F.lit("clash")).withColumn("cls", F.lit(1))
     got = {(r.train_row, r.eval_row) for r in overlaps.cross_split_overlaps(d).collect()}
     assert got == {(3, 100), (107, 100), (4, 101)}
-    counts = {r.split_name: (r.n_pairs, r.n_rows) for r in overlaps.overlap_counts(overlaps.cross_split_overlaps(d)).collect()}
+    counts = {r.split_name: (r.n_pairs, r.n_rows) for r in overlaps.overlap_counts(d).collect()}
     assert counts == {"test": (2, 1), "validation": (1, 1)}
     assert overlaps.cross_split_overlaps(d.limit(0)).isEmpty()

@@ -13,17 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage
-from .words import Words, hashes, mix, split
+from .words import Counts, Words, hashes, mix, split
 
 EVALUATION = ("validation", "holdout", "test")
-#: Document counts are kept by hash in a table of this fixed size.
-BUCKETS = 1 << 18
+#: Share of texts from which on a term's own frequency counts; rarer terms weigh alike.
+COMMON = 1 / 2000
 #: Weights of a plain word and of a quoted name against that of a number, a pair of numbers or a run.
-PLAIN, QUOTED = 0.3, 0.5
+PLAIN, QUOTED = 0.5, 0.5
+#: Cosine from which on two questions are compared.
+LEAST = 0.55
 #: Successive numbers and quoted names that make up one further term; numbers of a text of which all pairs are terms.
 RUN, NUMBERS = 4, 6
 #: A context that was seen less often says nothing about its words.
 SEEN = 8
+#: Bits of the filter that keeps contexts nobody asks for out of the shuffle; it changes no result.
+FILTER = 24
 
 
 def canonical(text: Column) -> Column:
@@ -43,7 +47,7 @@ def questions(records: DataFrame) -> DataFrame:
 class Terms:
     """Weighted terms of a batch of canonical texts, rarest first within a text."""
 
-    def __init__(self, texts: pa.Array, counts: np.ndarray | None = None, total: int = 0):
+    def __init__(self, texts: pa.Array, counts: Counts | None = None):
         w: Words = split(texts)
         self.words = w
         h = hashes(w.vocab)
@@ -52,6 +56,13 @@ class Terms:
         owner, n = w.owners(), len(w.offsets) - 1
         code = h[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
         q, d = (x[w.codes] if len(w.codes) else np.zeros(0, bool) for x in (quoted, number))
+        # What must agree: numbers and quoted names, however often and in whatever order.
+        self.hard = np.zeros(n, np.uint64)
+        at = np.flatnonzero(q | d)
+        if len(at):
+            begin = np.flatnonzero(np.append(True, owner[at][1:] != owner[at][:-1]))
+            with np.errstate(over="ignore"):
+                self.hard[owner[at][begin]] = np.add.reduceat(mix(code[at], 9), begin)
         parts = [(owner, code, np.where(d, 1.0, np.where(q, QUOTED, PLAIN)))]
         # Runs of quoted names and numbers, where names are quoted.
         named = np.bincount(owner[q], minlength=n) > 0
@@ -75,13 +86,13 @@ class Terms:
         first[1:] = (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])
         start = np.flatnonzero(first)
         tf = np.diff(np.append(start, len(term)))
-        self.owner, self.term = owner[start], term[start]
-        self.bucket = (self.term & np.uint64(BUCKETS - 1)).astype(np.int64)
+        self.owner, self.term = owner[start], term[start].view(np.int64)
         if counts is None:
             return
-        df = np.maximum(1, counts[self.bucket])
-        weight = np.log(1 + total / df) * scale[start] * (1 + np.log(tf))
-        order = np.lexsort((self.term, df, self.owner))
+        distinct, back = np.unique(self.term, return_inverse=True)
+        share = np.maximum(counts.of(distinct) / max(1, counts.total), COMMON)[back]
+        weight = np.log(1 + 1 / share) * scale[start] * (1 + np.log(tf))
+        order = np.lexsort((self.term, share, self.owner))
         self.owner, self.term, weight = self.owner[order], self.term[order], weight[order]
         norm = np.sqrt(np.bincount(self.owner, weights=weight**2, minlength=n))
         self.weight = weight / norm[self.owner]
@@ -98,107 +109,112 @@ class Terms:
         return owner[: len(owner) - run + 1][same], mix(key[same], run), np.ones(int(same.sum()))
 
     def prefixes(self, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Terms to index; of each text the norm, largest weight and, over all its terms, sum of weights of what isn't indexed."""
-        n = len(self.words.offsets) - 1
-        square = self.weight**2
-        done = np.cumsum(square)
-        base = np.concatenate([[0], done])[np.searchsorted(self.owner, np.arange(n))]
-        left = 1 - (done - square - base[self.owner])  # squared norm from this term on
-        inside = left >= (least - 1e-9) ** 2
-        rest = np.sqrt(np.bincount(self.owner[~inside], weights=square[~inside], minlength=n))
-        top = np.zeros(n)
-        np.maximum.at(top, self.owner[~inside], self.weight[~inside])
-        return inside, rest, top, np.bincount(self.owner, weights=self.weight, minlength=n)
-
-
-def document_counts(reps: DataFrame) -> tuple[np.ndarray, int]:
-    """Texts that each term occurs in, by hash bucket; a table of BUCKETS numbers whatever the input."""
+        """Terms to index; of each term the norm, the largest and the sum of its text's weights from it on."""
+        if not len(self.owner):
+            return np.zeros(0, bool), np.zeros(0), np.zeros(0), np.zeros(0)
+        begin = np.append(True, self.owner[1:] != self.owner[:-1])
+        first = np.flatnonzero(begin)[np.cumsum(begin) - 1]
+
+        def onward(x: np.ndarray) -> np.ndarray:
+            done = np.cumsum(x)
+            return np.add.reduceat(x, np.flatnonzero(begin))[np.cumsum(begin) - 1] - (done - x - (done[first] - x[first]))
+
+        left = np.maximum(onward(self.weight**2), 0)
+        lift = (self.owner.max() - self.owner[::-1]) * 2.0
+        top = (np.maximum.accumulate(self.weight[::-1] + lift) - lift)[::-1]
+        return left >= (least - 1e-6) ** 2, np.sqrt(left), top, onward(self.weight)
+
+
+def document_counts(reps: DataFrame) -> Counts:
+    """Texts that each term occurs in, exact; only terms of the share COMMON of all texts or more.
+
+    No more than (mean terms of a text) / COMMON terms reach the driver,
+    whatever the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, texts = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            sums += np.bincount(Terms(b.column(0)).bucket, minlength=BUCKETS)
-            texts += b.num_rows
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], texts))], ["bucket", "n"])
-
-    got = reps.select("canon").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out, total = np.zeros(BUCKETS, np.int64), 0
-    for k, n in zip(got.column(0).to_numpy(), got.column(1).to_numpy()):
-        if k < 0:
-            total = int(n)
-        else:
-            out[k] = n
-    return out, total
-
-
-def cosine_candidates(reps: DataFrame, counts: np.ndarray, total: int, least: float) -> DataFrame:
-    """a (train class), b (evaluation class): pairs whose cosine may reach ``least``.
-
-    Inverted lists hold only the rarest terms of a vector, up to where the norm
-    of the rest falls under ``least``; a pair is kept when the products seen
-    plus the most that the rest can add (by its norm, or its largest weight
-    times the other side's sum of weights) reach it.
+            terms, n = np.unique(Terms(b.column(0)).term, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    total = reps.count()
+    got = reps.select("canon").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * total).toArrow()
+    return Counts(got.column(0).to_numpy(), got.column(1).to_numpy(), total)
+
+
+def cosine_candidates(reps: DataFrame, counts: Counts, least: float) -> DataFrame:
+    """a (train class), b (evaluation class): pairs of equal numbers and quoted names whose cosine may reach ``least``.
+
+    Inverted lists hold the terms of a vector, rarest first, up to where the
+    norm of the rest falls under ``least``. All that two vectors share comes
+    from their first common term on, so a meeting in a list is dropped at once
+    where the norms from there on, or the largest weight of one times the sum
+    of the other, multiply to less than ``least``; only what is left is
+    shuffled as a pair. The exact check that numbers and names agree is part
+    of the join, which splits the lists of frequent terms.
     """
-    sent = reps.sparkSession.sparkContext.broadcast((counts, total))
+    sent = reps.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = Terms(b.column(1), *sent.value)
-            inside, rest, top, whole = t.prefixes(least)
+            t = Terms(b.column(1), sent.value)
+            inside, left, top, whole = t.prefixes(least)
             o = t.owner[inside]
-            cols = [b.column(0).take(pa.array(o)), b.column(2).take(pa.array(o)), b.column(3).take(pa.array(o)), pa.array(t.term[inside].view(np.int64)), *(pa.array(x.astype(np.float32)) for x in (t.weight[inside], rest[o], top[o], whole[o]))]
-            yield pa.RecordBatch.from_arrays(cols, ["cls", "train", "eval", "term", "w", "rest", "top", "whole"])
+            cols = [*(b.column(k).take(pa.array(o)) for k in (0, 2, 3)), pa.array(t.term[inside]), pa.array(t.hard.view(np.int64)[o]), *(pa.array(x[inside].astype(np.float32)) for x in (left, top, whole))]
+            yield pa.RecordBatch.from_arrays(cols, ["cls", "train", "eval", "term", "hard", "left", "top", "whole"])
+
+    lists = stage(reps.select("cls", "canon", "train", "eval").mapInArrow(run, "cls binary, train boolean, eval boolean, term long, hard long, left float, top float, whole float"), "lists")
+    side = lambda c, k: lists.where(c).select("term", "hard", *(F.col(x).alias(f"{k}_{x}") for x in ("cls", "left", "top", "whole")))
+    pairs = side("train", "a").join(side("eval", "b"), ["term", "hard"]).where("a_cls <> b_cls")
+    most = F.least(F.col("a_left") * F.col("b_left"), F.col("a_top") * F.col("b_whole"), F.col("b_top") * F.col("a_whole"))
+    return pairs.where(most >= least - 1e-4).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
 
-    lists = stage(reps.select("cls", "canon", "train", "eval").mapInArrow(run, "cls binary, train boolean, eval boolean, term long, w float, rest float, top float, whole float"), "lists")
-    side = lambda c, k: lists.where(c).select("term", *(F.col(x).alias(f"{k}_{x}") for x in ("cls", "w", "rest", "top", "whole")))
-    # Terms that only one side has in its lists meet nothing.
-    pairs = side("train", "a").join(side("eval", "b"), "term").where("a_cls <> b_cls")
-    bound = F.greatest(F.least("a_rest", F.col("a_top") * F.col("b_whole")), F.least("b_rest", F.col("b_top") * F.col("a_whole")))
-    pairs = pairs.groupBy("a_cls", "b_cls").agg(F.sum(F.col("a_w") * F.col("b_w")).alias("seen"), F.max(bound).alias("bound"))
-    return pairs.where(F.col("seen") + F.col("bound") >= least - 1e-4).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
 
+def context_counts(reps: DataFrame, asked: DataFrame) -> DataFrame:
+    """ctx, n, top, kinds: how often a context occurs, its commonest word, how many words fill it; of the contexts in ``asked``.
 
-def context_counts(reps: DataFrame) -> DataFrame:
-    """ctx, n, top, kinds: how often a context occurs, its commonest word, how many words fill it."""
+    A bit table of fixed size keeps most other contexts out of the shuffle; the
+    join that follows is exact.
+    """
+    wanted = np.zeros(1 << FILTER, bool)
+    low = F.col("ctx").bitwiseAND((1 << FILTER) - 1)
+    wanted[asked.select(low.alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
+    sent = reps.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).astype(bool)
         for b in batches:
             w = split(b.column(0))
-            vocab = np.array(["#" if any(c.isdigit() for c in x) else x for x in w.vocab], object)
-            h = hashes(list(vocab)) if len(vocab) else np.zeros(0, np.uint64)
-            code = h[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
-            o = w.owners()
-            near = [np.zeros(len(code), np.uint64) for _ in range(4)]  # two before, before, after, two after
-            for k, step in enumerate((-2, -1, 1, 2)):
-                at = np.arange(len(code)) + step
-                same = (at >= 0) & (at < len(code))
-                same[same] = o[at[same]] == o[same]
-                near[k][same] = code[at[same]]
-            plain = np.fromiter((not x.startswith("qq") and x != "#" for x in vocab), bool, len(vocab))[w.codes] if len(w.codes) else np.zeros(0, bool)
-            keys = np.concatenate(_keys(*near))[np.tile(plain, 5)]
-            pairs, n = np.unique(np.stack([keys, np.tile(code[plain], 5)]), axis=1, return_counts=True) if len(keys) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+            masked = ["#" if any(c.isdigit() for c in x) else x for x in w.vocab]
+            code = hashes(masked)[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
+            plain = np.fromiter((not x.startswith("qq") and x != "#" for x in masked), bool, len(masked))[w.codes] if len(w.codes) else np.zeros(0, bool)
+            keys = np.concatenate(_contexts(code, w.owners()))
+            keep = np.flatnonzero(bits[(keys & np.uint64((1 << FILTER) - 1)).astype(np.int64)] & np.tile(plain, 5)) if len(keys) else np.zeros(0, np.int64)
+            pairs, n = np.unique(np.stack([keys[keep], np.tile(code, 5)[keep]]), axis=1, return_counts=True) if len(keep) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64)), pa.array(n.astype(np.int64))], ["ctx", "word", "n"])
 
     each = reps.select("canon").mapInArrow(run, "ctx long, word long, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
     return each.groupBy("ctx").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("kinds"))
 
 
-def _keys(before2: np.ndarray, before: np.ndarray, after: np.ndarray, after2: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the five contexts of a word: both neighbours, either one, the two before, the two after."""
+def _contexts(code: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the five contexts of every word: both neighbours, either one, the two before, the two after."""
+    near = []
+    for step in (-2, -1, 1, 2):
+        at = np.arange(len(code)) + step
+        same = (at >= 0) & (at < len(code))
+        same[same] = owner[at[same]] == owner[same]
+        x = np.zeros(len(code), np.uint64)
+        x[same] = code[at[same]]
+        near.append(x)
+    before2, before, after, after2 = near
     with np.errstate(over="ignore"):
         return [mix(before, 1) + mix(after, 2), mix(before, 3), mix(after, 4), mix(before2, 5) + mix(before, 6), mix(after, 7) + mix(after2, 8)]
 
 
-def _context_keys(words: list[str], k: int) -> list[int]:
-    around = [words[i] if 0 <= i < len(words) else None for i in (k - 2, k - 1, k + 1, k + 2)]
-    h = [np.zeros(1, np.uint64) if x is None else hashes(["#" if any(c.isdigit() for c in x) else x]) for x in around]
-    return [int(x.view(np.int64)[0]) for x in _keys(*h)]
-
-
-def compared(pairs: DataFrame, counts: np.ndarray, total: int, least: float) -> DataFrame:
+def compared(pairs: DataFrame, counts: Counts, least: float) -> DataFrame:
     """Pairs of equal numbers and quoted names whose exact cosine reaches ``least``; ``odd``: the side and contexts of words that only one side has, if names aren't quoted."""
-    sent = pairs.sparkSession.sparkContext.broadcast((counts, total))
+    sent = pairs.sparkSession.sparkContext.broadcast(counts)
     hard = lambda c: {k: n for k, n in c.items() if k.startswith("qq") or any(x.isdigit() for x in k)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,28 +222,30 @@ def compared(pairs: DataFrame, counts: np.ndarray, total: int, least: float) ->
             n = b.num_rows
             if not n:
                 continue
-            t = Terms(pa.concat_arrays([b.column(2), b.column(3)]), *sent.value)
+            t = Terms(pa.concat_arrays([b.column(2), b.column(3)]), sent.value)
             order = np.lexsort((t.term, t.owner % n))
             o, term, w = (t.owner % n)[order], t.term[order], t.weight[order]
             twin = (o[1:] == o[:-1]) & (term[1:] == term[:-1])
             dot = np.bincount(o[1:][twin], weights=(w[1:] * w[:-1])[twin], minlength=n)
+            masked = hashes(["#" if any(c.isdigit() for c in x) else x for x in t.words.vocab])
+            contexts = np.stack(_contexts(masked[t.words.codes], t.words.owners())).view(np.int64)
             keep, odd = [], []
             for i in np.flatnonzero(dot >= least):
-                x, y = b.column(2)[i].as_py().split(), b.column(3)[i].as_py().split()
-                cx, cy = Counter(x), Counter(y)
-                if hard(cx) != hard(cy):
+                spans = [range(t.words.offsets[k], t.words.offsets[k + 1]) for k in (i, n + i)]
+                x, y = (Counter(t.words.vocab[t.words.codes[k]] for k in span) for span in spans)
+                if hard(x) != hard(y):
                     continue
                 keep.append(i)
                 # Where names stand in quotes, the running text around them is framing.
-                quoted = any(k.startswith("qq") for k in cx)
-                odd.append([] if quoted else [[side, *_context_keys(z, k)] for side, (z, only) in enumerate(((x, cx - cy), (y, cy - cx))) for k, word in enumerate(z) if word in only])
+                quoted = any(k.startswith("qq") for k in x)
+                odd.append([] if quoted else [[side, *contexts[:, k].tolist()] for side, (span, only) in enumerate(zip(spans, (x - y, y - x))) for k in span if t.words.vocab[t.words.codes[k]] in only])
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(dot[keep] if keep else [], pa.float64()), pa.array(odd, pa.list_(pa.list_(pa.int64())))], ["a", "b", "cosine", "odd"])
 
     return pairs.mapInArrow(run, "a binary, b binary, cosine double, odd array<array<long>>")
 
 
-def same_questions(reps: DataFrame, least: float = 0.75) -> DataFrame:
+def same_questions(reps: DataFrame, least: float = LEAST) -> DataFrame:
     """a, b: classes of train and evaluation texts that differ in wording only.
 
     ``reps`` holds one row per distinct canonical text: cls, canon, train,
@@ -236,13 +254,13 @@ def same_questions(reps: DataFrame, least: float = 0.75) -> DataFrame:
     a context that many words fill evenly in the corpus (names, places,
     goods); where one word prevails, another one there is an edit.
     """
-    counts, total = document_counts(reps)
-    found = stage(cosine_candidates(reps, counts, total, least), "pairs")
+    counts = document_counts(reps)
+    found = stage(cosine_candidates(reps, counts, least), "pairs")
     text = lambda k: reps.select(F.col("cls").alias(k), F.col("canon").alias(f"{k}_text"))
     pairs = found.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
-    close = stage(compared(pairs, counts, total, least), "close")
+    close = stage(compared(pairs, counts, least), "close")
     odd = close.select("a", "b", F.posexplode("odd").alias("word", "keys")).select("a", "b", "word", F.element_at("keys", 1).alias("side"), F.posexplode(F.slice("keys", 2, 5)).alias("kind", "ctx"))
-    odd = odd.join(context_counts(reps), "ctx", "left")
+    odd = odd.join(context_counts(reps, odd.select("ctx")), "ctx", "left")
     open_ = (F.col("n") >= SEEN) & (F.col("top") < 0.5 * F.col("n")) & (F.col("kinds") >= 5)
     at = lambda k, c: F.max(F.when(F.col("kind") == k, c))
     word = odd.groupBy("a", "b", "side", "word").agg(*(at(k, F.coalesce("n", F.lit(0))).alias(f"n{k}") for k in range(5)), *(at(k, F.coalesce(open_, F.lit(False))).alias(f"o{k}") for k in range(5)))
@@ -254,7 +272,16 @@ def same_questions(reps: DataFrame, least: float = 0.75) -> DataFrame:
     return close.select("a", "b").join(other, ["a", "b"], "left_anti")
 
 
-def cross_split_overlaps(records: DataFrame, least: float = 0.75) -> DataFrame:
+def matched_classes(records: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Rows with the class of their question, and the pairs (a, b) of train and evaluation classes that put the same one."""
+    rows = stage(questions(records).where(F.col("split_name").isin("train", *EVALUATION)), "questions")
+    train = F.col("split_name") == "train"
+    reps = stage(rows.groupBy("cls").agg(F.min("canon").alias("canon"), F.max(train).alias("train"), F.max(~train).alias("eval")), "classes")
+    pairs = same_questions(reps, least).unionByName(reps.where("train and eval").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+    return rows, pairs
+
+
+def cross_split_overlaps(records: DataFrame, least: float = LEAST) -> DataFrame:
     """train_row, eval_row, split_name, source: rows whose first user messages put the same question.
 
     Exact copies are joined as classes and expanded at the end, so a text that
@@ -262,16 +289,19 @@ def cross_split_overlaps(records: DataFrame, least: float = 0.75) -> DataFrame:
     of the evaluation row. Null or blank questions overlap with nothing;
     repeated rows are cases of their own; rows of other splits are ignored.
     """
-    q = questions(records).where(F.col("split_name").isin("train", *EVALUATION))
-    rows = stage(q, "questions")
-    train = F.col("split_name") == "train"
-    reps = stage(rows.groupBy("cls").agg(F.min("canon").alias("canon"), F.max(train).alias("train"), F.max(~train).alias("eval")), "classes")
-    pairs = same_questions(reps, least).unionByName(reps.where("train and eval").select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-    t = rows.where(train).select(F.col("cls").alias("a"), F.col("row_ord").alias("train_row"))
-    e = rows.where(~train).select(F.col("cls").alias("b"), F.col("row_ord").alias("eval_row"), "split_name", "source")
+    rows, pairs = matched_classes(records, least)
+    t = rows.where("split_name = 'train'").select(F.col("cls").alias("a"), F.col("row_ord").alias("train_row"))
+    e = rows.where("split_name <> 'train'").select(F.col("cls").alias("b"), F.col("row_ord").alias("eval_row"), "split_name", "source")
     return pairs.join(t, "a").join(e, "b").select("train_row", "eval_row", "split_name", "source")
 
 
-def overlap_counts(overlaps: DataFrame) -> DataFrame:
-    """split_name, source, n_pairs, n_rows: overlaps per evaluation split and source of the evaluation row."""
-    return overlaps.groupBy("split_name", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_row").alias("n_rows"))
+def overlap_counts(records: DataFrame, least: float = LEAST) -> DataFrame:
+    """split_name, source, n_pairs, n_rows: overlaps per evaluation split and source of the evaluation row.
+
+    Made of the classes' sizes; no pair of rows is formed.
+    """
+    rows, pairs = matched_classes(records, least)
+    t = rows.where("split_name = 'train'").groupBy(F.col("cls").alias("a")).agg(F.count("*").alias("n_train"))
+    e = rows.where("split_name <> 'train'").groupBy(F.col("cls").alias("b"), "split_name", "source").agg(F.count("*").alias("n_eval"))
+    by = pairs.join(t, "a").groupBy("b").agg(F.sum("n_train").alias("n_train")).join(e, "b")
+    return by.groupBy("split_name", "source").agg(F.sum(F.col("n_train") * F.col("n_eval")).alias("n_pairs"), F.sum("n_eval").alias("n_rows"))

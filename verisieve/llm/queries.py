@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.overlap_counts(overlaps.cross_split_overlaps(table(spark, d, "sft_records")))
+    return overlaps.overlap_counts(table(spark, d, "sft_records"))
 
 
 def _cut(spark: SparkSession, d: str) -> DataFrame:

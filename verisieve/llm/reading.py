@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage
-from .words import distinct_words, hashes, split
+from .words import Counts, distinct_words, hashes, split
 
 #: Share of documents from which on a word's own frequency counts; rarer words are all alike.
 COMMON = 1 / 2000
@@ -54,20 +54,6 @@ def plain(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(t, r"(?m)^.*\{.*\}.*$|^[#=>*\s-]+", " ")
 
 
-class Counts:
-    """Word hashes in order with the documents that have them, among ``total``."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, total: int):
-        order = np.argsort(keys)
-        self.keys, self.n, self.total = keys[order], n[order], total
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.n[at], 0).astype(float)
-
-
 class Text:
     """Words of a batch and what single words say."""
 

@@ -104,3 +104,17 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     start = words.offsets[:-1][owner] if n else np.zeros(0, np.int64)
     keep = (pos + width <= end) | (pos == start) & (end - start < width)
     return mix(out[keep]), owner[keep]
+
+
+class Counts:
+    """Hashes of words or terms in order with the texts that have them, among ``total``."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, total: int):
+        order = np.argsort(keys)
+        self.keys, self.n, self.total = keys[order], n[order], total
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0).astype(float)
