@@ -109,9 +109,44 @@ def test_settings(tmp_path):
     for bad in (lambda: settings.composed(tmp_path / "loop.json"), lambda: settings.overridden(c, ["l.x=1"]), lambda: settings.overridden(c, ["nothing"])):
         with pytest.raises(ContractError):
             bad()
-    assert settings.broken_rules({"track": "B", "phase": 2, "initialization": {"mode": "from_base"}}) == ["track_b_continues"]
+    assert settings.overridden({"x": None}, ["x.y={a: 1}"]) == {"x": {"y": {"a": 1}}}
+    assert settings.broken_rules({"track": "track_b_two_stage", "phase": "phase2_playworld", "lineage": {"initialization_mode": "from_base"}}) == ["second_phase_continues"]
+    assert settings.broken_rules({"track": "ablation", "runtime": {"environment_policy": "strict", "attention_backend": "flash"}, "model": {"revision": "main"}, "adapter": {"kind": "qlora"}}) == ["attention", "revision"]
+    assert settings.broken_rules({"lineage": {"initialization_mode": settings.CONTINUE}}) == ["parent_missing"]
+    assert settings.broken_rules({"lineage": {"parent_adapter": {"sha256": "x"}}}) == ["parent_unused"]
+    assert settings.broken_rules({"phase": "phase1_general", "objective": "sft", "lineage": {"initialization_mode": settings.CONTINUE, "parent_adapter": {}}}) == ["first_phase_from_base"]
     assert settings.moved("pending", "running") == "running"
     with pytest.raises(ContractError):
         settings.moved("completed", "running")
     assert settings.lacking(["metrics"]) and settings.environment("A100", 80, "a100", 40, True) == []
     assert settings.run_name("My Run!", 3).split("--")[1:3] == ["my-run", "s3"]
+
+
+def test_lines_of_a_file_in_several_blocks(spark, tmp_path):
+    """Line numbers hold across the blocks of a file, which several tasks read."""
+    from verisieve.sources import jsonl
+
+    text = [f'{{"id": "{i}", "x": "{"y" * (i % 90)}"}}' if i % 7 else "" for i in range(4000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(text))
+    (tmp_path / "b.jsonl").write_text('{"id": "z\u2028\r"}\n\n{"id": "q"}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        d = jsonl.lines(spark, str(tmp_path))
+        assert d.rdd.getNumPartitions() > 4
+        rows = d.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {(r.file[-7:], r.ord): r.line for r in rows}
+    assert got == {("a.jsonl", i + 1): t for i, t in enumerate(text) if t} | {("b.jsonl", 1): '{"id": "z\u2028\r"}', ("b.jsonl", 3): '{"id": "q"}'}
+
+
+def test_staged_tables_go_when_their_scope_ends(spark):
+    import os
+
+    from verisieve.sources import tables
+
+    with tables.staging(spark):
+        kept = tables.stage(spark.range(5).toDF("x"), "try")
+        folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert kept.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)

@@ -57,6 +57,23 @@ def test_fixed_episodes(spark):
     assert got["long"].legality.legal == 3
 
 
+def test_a_plan_without_actions_has_reached_a_goal_that_holds(spark):
+    rows = [(k, TWO, {"location": "loc_0", "energy": 1}, {"kind": "reach_location", "location": where}, "") for k, where in (("here", "loc_0"), ("away", "loc_1"))]
+    d = scenes(spark, rows).withColumn("actions", F.expr("cast(array() as array<struct<type string, target string, resource string>>)"))
+    assert {r.k: (r.episode.reached, r.episode.reason, r.episode.steps) for r in world.replay(d).collect()} == {"here": (True, "episode_ended", 0), "away": (False, "episode_ended", 0)}
+
+
+def test_scenarios_vary_in_what_they_should():
+    rng = random.Random(1)
+    made = [world.make_scenario(rng, ("movement", "collection", "deposit")) for _ in range(300)]
+    assert {r["collect_cost"] for w, _, _ in made for r in w["resources"]} == {1, 2}
+    assert {r["location_id"] for w, _, _ in made for r in w["resources"]} == {f"loc_{i}" for i in range(6)}
+    assert {len(w["edges"]) for w, _, _ in made} == {5, 6, 7} and {g["kind"] for _, _, g in made} == {"deposit_resources"}
+    w, s, g = made[0]
+    n = len(world.shortest_plan(w, s, g))
+    assert n and world.shortest_plan(w, s, g, max_states=1) is None
+
+
 def simulate(w, s, g, steps):
     """The same rules in plain Python."""
     loc, en, inv, dep = s["location"], s["energy"], {}, {}
@@ -72,10 +89,10 @@ def simulate(w, s, g, steps):
             loc, en = target, en - w["move_cost"]
         elif kind == "COLLECT":
             here = [r for r in w["resources"] if r["resource_id"] == res and r["location_id"] == loc]
-            why = "illegal_bad_arguments" if not res else "illegal_resource_absent" if not here else "illegal_inventory_full" if sum(inv.values()) >= w["inventory_capacity"] else "illegal_insufficient_energy" if en < 1 else None
+            why = "illegal_bad_arguments" if not res else "illegal_resource_absent" if not here else "illegal_inventory_full" if sum(inv.values()) >= w["inventory_capacity"] else "illegal_insufficient_energy" if en < here[0]["collect_cost"] else None
             if why:
                 return why, loc, en
-            inv[res], en = inv.get(res, 0) + 1, en - 1
+            inv[res], en = inv.get(res, 0) + 1, en - here[0]["collect_cost"]
         elif kind == "DEPOSIT":
             why = "illegal_bad_arguments" if not res else "illegal_not_at_deposit" if loc != w["deposit_location"] else "illegal_nothing_to_deposit" if not inv.get(res) else None
             if why:

@@ -9,7 +9,7 @@ from ..functions.text import strip
 
 #: Status moves that a run may make, and artifacts that a complete run holds (fixed values).
 MOVES = {"pending": ("running",), "running": ("completed", "failed", "aborted")}
-ARTIFACTS = ("resolved_config", "manifest", "run_card", "environment", "metrics", "lineage", "log", "summary")
+ARTIFACTS = ("resolved_config.yaml", "environment_manifest.json", "dataset_manifest.json", "git_state.json", "run_card.json", "metrics.json", "lineage.json", "checkpoint_pointer.json")
 
 
 class ContractError(ValueError):

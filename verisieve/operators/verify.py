@@ -85,14 +85,14 @@ def world_verdicts(df: DataFrame, prediction: str) -> DataFrame:
 def exact_answers(df: DataFrame, prediction: str, gold: str, out: str = "verdict") -> DataFrame:
     """Adds the verdict of a final answer against the gold one: as numbers where both are, else as squeezed text.
 
-    Skipped without gold; failed without an answer. The answer is found once,
-    in a projection of its own.
+    Skipped without gold; failed without an answer. The answer and what it comes
+    to are settled, so that filters on the verdict don't repeat them.
     """
-    d = df.withColumn("_found", text.final_answer(F.col(prediction)))
-    d = d.withColumn("_a", text.to_number(F.col("_found"))).withColumn("_b", text.to_number(F.col(gold)))
+    d = settled(df, _found=text.final_answer(F.col(prediction)))
+    d = settled(d, _a=text.to_number(F.col("_found")), _b=text.to_number(F.col(gold)))
     found, a, b = F.col("_found"), F.col("_a"), F.col("_b")
     same = F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) < 1e-6).otherwise(text.squeeze(found) == text.squeeze(F.col(gold)))
-    d = d.withColumn("_case", F.when(F.col(gold).isNull(), 0).when(found.isNull(), 1).when(same, 2).otherwise(3))
+    d = settled(d, _case=F.when(F.col(gold).isNull(), 0).when(found.isNull(), 1).when(same, 2).otherwise(3))
     case = F.col("_case")
     status = F.when(case == 0, "skipped").when(case == 2, "passed").otherwise("failed")
     reason = F.when(case == 0, "no_gold_answer").when(case == 1, "no_final_answer").when(case == 2, "answer_match").otherwise("answer_mismatch")

@@ -95,7 +95,7 @@ def replay(df: DataFrame) -> DataFrame:
 
     df: world, state0, goal and actions. The episode is one fold over the
     actions that stops at the step limit, the first illegal action or the first
-    state that satisfies the goal; the legality walk takes all actions and
+    state that satisfies the goal; a plan without actions has reached a goal that holds at the start. The legality walk takes all actions and
     knows neither limit nor goal. Rows without world, state, goal or actions
     get null.
     """
@@ -112,7 +112,7 @@ def replay(df: DataFrame) -> DataFrame:
         f"when r = 'step_limit_exceeded' then {keep(reason='r')} else {keep(reason='r', steps='x.steps + 1')} end)[0]"
     )
     start = acc.format(state="state0", done="false", reason="'episode_ended'", steps="0")
-    episode = f"aggregate(actions, {start}, (x, a) -> {step}, x -> named_struct('reached', x.reason = 'goal_reached', 'reason', x.reason, 'state', x.state, 'steps', x.steps))"
+    episode = f"aggregate(actions, {start}, (x, a) -> {step}, x -> named_struct('reached', x.reason = 'goal_reached' or (x.reason = 'episode_ended' and {satisfied_sql('x.state')}), 'reason', x.reason, 'state', x.state, 'steps', x.steps))"
     walk = "named_struct('state', {state}, 'legal', {legal}, 'reason', {reason})"
     first = walk.format(state="state0", legal="0", reason="'legal'")
     on = f"transform(array(case when x.reason <> 'legal' then 'done' else {reason_sql('x.state', 'a')} end), r -> case when r = 'done' then x when r = 'legal' then {walk.format(state='(' + next_sql('x.state', 'a') + ')', legal='x.legal + 1', reason='r')} else {walk.format(state='x.state', legal='x.legal', reason='r')} end)[0]"
@@ -151,7 +151,7 @@ PLANNED = "solvable boolean, n_actions int, actions array<struct<type string, ta
 def shortest_plan(world: dict, state: dict, goal: dict, max_states: int = 200_000) -> list[tuple[str, str | None, str | None]] | None:
     """The first shortest legal plan in a fixed order of actions; None where there is none within the limits.
 
-    Breadth first over (place, energy, held, put down); the turn doesn't count as part of a state.
+    Breadth first over (place, energy, held, put down); the turn doesn't count as part of a state. No more than ``max_states`` states are gone on from.
     """
     near: dict[str, list[str]] = {}
     for a, b in (e for e in world["edges"] if len(e) == 2):
@@ -179,7 +179,9 @@ def shortest_plan(world: dict, state: dict, goal: dict, max_states: int = 200_00
         return []
     came: dict[tuple, tuple | None] = {start: None}
     layer = deque([(start, 0)])
-    while layer and len(came) < max_states:
+    for _ in range(max_states):
+        if not layer:
+            break
         now, depth = layer.popleft()
         if depth >= goal["step_limit"]:
             continue
@@ -237,25 +239,36 @@ RULES = ("movement", "energy_budget", "collection", "capacity", "deposit")
 SCENARIO = f"suite string, family string, scenario_id string, world {WORLD}, state0 {STATE}, goal {GOAL}"
 
 
+#: Kinds of goals by the rules that they need, the most demanding first.
+GOALS = (({"collection", "deposit"}, "deposit_resources"), ({"collection"}, "collect_resources"), (set(), "reach_location"))
+
+
 def make_scenario(rng: random.Random, rules: tuple[str, ...], size: int = 6) -> tuple[dict, dict, dict]:
-    """A chain of places with some shortcuts, two goods and a depot as the rules ask."""
-    unknown = set(rules) - set(RULES)
-    if unknown:
-        raise ValueError(f"unknown rules: {sorted(unknown)}")
+    """A chain of places with some shortcuts, two goods and a depot as the rules ask.
+
+    Collecting costs one or two; goods lie anywhere, so that a good may be
+    where the depot is.
+    """
+    if not set(rules) <= set(RULES):
+        raise ValueError(f"unknown rules: {sorted(set(rules) - set(RULES))}")
     places = [f"loc_{i}" for i in range(size)]
-    edges = [[a, b] for a, b in zip(places, places[1:])]
-    for _ in range(max(1, size // 3)):
-        a, b = rng.sample(places, 2)
-        if [a, b] not in edges and [b, a] not in edges:
-            edges.append([a, b])
-    goods = [{"resource_id": f"res_{i}", "location_id": rng.choice(places[1:]), "collect_cost": 1} for i in range(2)] if "collection" in rules else []
-    depot = places[0] if "deposit" in rules else None
-    world = {"locations": places, "edges": edges, "resources": goods, "move_cost": 1, "rest_gain": 2, "max_energy": 10, "inventory_capacity": 2 if "capacity" in rules else 8, "deposit_location": depot}
-    state = {"location": rng.choice(places), "energy": rng.randint(5, 10), "inventory": {}, "deposited": {}, "turn": 0}
-    if goods:
-        goal = {"kind": "deposit_resources" if depot else "collect_resources", "location": None, "resources": {rng.choice(goods)["resource_id"]: 1}, "step_limit": 4 * size}
+    chain = {(i, i + 1) for i in range(size - 1)}
+    # Some of all pairs of places; those that are next to each other already add nothing.
+    drawn = rng.choices([(i, j) for j in range(size) for i in range(j)], k=max(1, size // 3))
+    links = sorted(chain) + [p for p in dict.fromkeys(drawn) if p not in chain]
+    goods = {f"res_{k}": (rng.choice(places), rng.choice((1, 2))) for k in range(2 * ("collection" in rules))}
+    here = rng.choice(places)
+    kind = next(k for need, k in GOALS if need <= set(rules))
+    world = {
+        "locations": places, "edges": [[places[a], places[b]] for a, b in links], "resources": [{"resource_id": r, "location_id": at, "collect_cost": cost} for r, (at, cost) in goods.items()],
+        "move_cost": 1, "rest_gain": 2, "max_energy": 10, "inventory_capacity": 2 if "capacity" in rules else 8, "deposit_location": places[0] if "deposit" in rules else None,
+    }
+    state = {"location": here, "energy": rng.randrange(5, world["max_energy"] + 1), "inventory": {}, "deposited": {}, "turn": 0}
+    goal = {"kind": kind, "location": None, "resources": {}, "step_limit": 4 * size}
+    if kind == "reach_location":
+        goal["location"] = rng.choice([p for p in places if p != here])
     else:
-        goal = {"kind": "reach_location", "location": rng.choice([p for p in places if p != state["location"]]), "resources": {}, "step_limit": 4 * size}
+        goal["resources"] = {rng.choice(sorted(goods)): 1}
     return world, state, goal
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,14 +31,30 @@ ALLOWED = {
 }
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """file, ord, line: non-blank lines, split at line feeds only; ``ord`` is the line's place in its file.
 
-    Files are read whole by one task each (line numbers need what comes
-    before); large sets come as many files.
+    Files are split like any text. A first pass counts the lines of each block
+    of a file, a second one adds up what comes before; only one number a block
+    goes to all tasks.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line")).where(F.trim("line") != "").select("file", (F.col("ord") + 1).alias("ord"), "line")
+    raw = spark.read.options(lineSep="\n", **options).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        n = 0
+        for b in batches:
+            out = []
+            for at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = n + 1 if at == last else 1
+                last = at
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], ["file", "block", "line", "n"])
+
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("size")).select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    placed = raw.mapInArrow(numbered, "file string, block long, line string, n long").join(F.broadcast(blocks), ["file", "block"])
+    return placed.where(F.trim("line") != "").select("file", (F.col("before") + F.col("n")).alias("ord"), "line")
 
 
 def _object(line: str) -> dict | None:
@@ -116,10 +133,8 @@ def load(spark: SparkSession, path: str, kind: str, expected: str | None = None,
 
 def read_tolerant(spark: SparkSession, folder: str, ddl: str, glob: str = "*.jsonl", needed: str = "prediction") -> DataFrame:
     """Rows of all matching files below a folder with ``file`` and ``ord``; lines that are no object or lack ``needed`` are skipped."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
-    raw = raw.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line"))
-    keys = parsed_keys(F.col("line"))
-    return raw.where(F.trim("line") != "").withColumn("keys", keys).where(F.array_contains("keys", needed)).select("file", "ord", F.from_json("line", ddl).alias("r")).select("file", "ord", "r.*")
+    raw = lines(spark, folder, recursiveFileLookup=True, pathGlobFilter=glob).withColumn("keys", parsed_keys(F.col("line")))
+    return raw.where(F.array_contains("keys", needed)).select("file", "ord", F.from_json("line", ddl).alias("r")).select("file", "ord", "r.*")
 
 
 def write_canonical(df: DataFrame, path: str, order: str | None = None, by: str | None = None) -> str | None:
