@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -150,3 +151,97 @@ def test_staged_tables_go_when_their_scope_ends(spark):
         folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
         assert kept.count() == 5 and os.path.isdir(folder)
     assert not os.path.exists(folder)
+
+
+def test_lineage(spark, tmp_path):
+    import hashlib
+    import json
+
+    from verisieve.operators import lineage
+    from verisieve.sources import files
+
+    for name, body in (("adapter_config.json", "{}"), ("adapter_model.safetensors", "weights"), ("notes.txt", "x")):
+        (tmp_path / name).write_text(body)
+    h = files.file_hashes(spark, str(tmp_path))
+    sha = lambda t: "sha256:" + hashlib.sha256(t.encode()).hexdigest()
+    want = json.dumps([["adapter_model.safetensors", sha("weights")], ["adapter_config.json", sha("{}")]], separators=(",", ":"))
+    assert lineage.adapter_fingerprint(h).first()[0] == sha(want)
+    with pytest.raises(ContractError):
+        lineage.adapter_fingerprint(h.where("path like '%txt'"))
+    runs = spark.createDataFrame([(1, "from_base", "p", None), (2, "c", None, None), (3, "c", "lost", None), (4, "c", "p", "bad"), (5, "c", "p", "h"), (6, "from_base", None, "x"), (7, "c", "p", None)], "run int, mode string, parent string, sha string")
+    known = spark.createDataFrame([("p", "h"), (None, "z")], "name string, hash string")
+    got = lineage.lineage_findings(runs, "run", F.col("mode"), F.col("parent"), F.col("sha"), known, "name", "hash")
+    assert {tuple(r) for r in got.collect()} == {(1, "parent_unused"), (2, "parent_missing"), (3, "parent_unknown"), (4, "hash_mismatch")}
+    a, b = ({"s": {"path": p, "episodes": 3}} for p in ("/x", "/y"))
+    assert lineage.manifest_fingerprint(a) == lineage.manifest_fingerprint(b) != lineage.manifest_fingerprint({"s": {"episodes": 4}})
+    shots = [{"prompt": "é", "completion": "b"}]
+    assert lineage.written_json(tmp_path / "deep" / "x.json", shots) == lineage.exemplar_digest(shots) == hashlib.sha256((tmp_path / "deep" / "x.json").read_bytes()).hexdigest()
+    first = lineage.registered(None, h, "checkpoint", dt.datetime(2024, 1, 1))
+    both = lineage.registered(first, h.where("path like '%txt'"), "log", dt.datetime(2024, 1, 2))
+    assert {r.name.rsplit("/", 1)[-1]: r.kind for r in both.collect()} == {"adapter_config.json": "checkpoint", "adapter_model.safetensors": "checkpoint", "notes.txt": "log"}
+    config = {"model": {"repo_id": "m", "revision": "r"}, "track": "ablation", "runtime": {"seed": 3}}
+    assert lineage.lineage_record("x", config)["initialization_mode"] == "from_base" and lineage.run_card("x", config, "pending", "a", "b")["seed"] == 3
+    f = spark.createDataFrame([("a", "a", "1", "1"), ("b", "c", "1", "1"), ("d", "d", "1", None)], "run string, want string, exp string, act string")
+    assert {tuple(r) for r in lineage.fetched_findings(f, "run", "want", "exp", "act").collect()} == {("b", "run_mismatch"), ("d", "integrity")}
+
+
+def test_fetching_a_run(tmp_path):
+    import json
+
+    from verisieve.operators.lineage import fetched
+
+    far, here = tmp_path / "far", tmp_path / "here"
+    with pytest.raises(ContractError):
+        fetched(here, far, "r1")
+    (far / "final_adapter").mkdir(parents=True)
+    with pytest.raises(ContractError):
+        fetched(here, far, "r1")
+    (far / "lineage.json").write_text(json.dumps({"run_id": "r1"}))
+    assert fetched(here, far, "r1") == here and (here / "lineage.json").exists()
+    with pytest.raises(ContractError):
+        fetched(here, far, "r2")
+
+
+def test_trainer_rows_and_records(spark):
+    from verisieve.operators import records
+
+    m = "array<struct<role string, content string>>"
+    p = spark.createDataFrame([([("user", "a"), ("user", "b")], "x", "y", "{}")], f"prompt {m}, chosen string, rejected string, scenario string").withColumn("messages", F.col("prompt"))
+    assert tuple(records.trainer_rows("dpo", p, "preference").first()) == ("a\nb", "x", "y")
+    assert records.trainer_rows("rloo", p, "evaluation").columns == ["prompt", "scenario"] and records.trainer_rows("sft", p, "sft").columns == ["messages"]
+    for bad in (("dpo", "sft"), ("none", "sft")):
+        with pytest.raises(ContractError):
+            records.trainer_rows(bad[0], p, bad[1])
+    s = spark.createDataFrame([(7, "q", "is 4\n#### 4"), (8, " ", "x"), (9, "q", None), (10, "q", "none")], "i int, question string, answer string")
+    got = {r.id: (r.metadata, r.messages[1].content) for r in records.supervised(records.adapted(s, "gsm8k", "i"), "gsm8k", "i", "src").collect()}
+    assert got == {"p1-gsm8k-000007": ({"gold_answer": "4", "source_index": "7"}, "is 4\n#### 4"), "p1-gsm8k-000010": ({"source_index": "10"}, "none")}
+    with pytest.raises(ContractError):
+        records.solved_worlds(spark, forbidden=("train-fam0",))
+
+
+def test_training_worlds_have_targets(spark):
+    import json
+
+    from verisieve.operators import records, world
+
+    s = records.solved_worlds(spark, per_family=20, families={"f": ("movement", "collection", "deposit")})
+    rows = s.collect()
+    assert len(rows) == 20 and all((r.target is not None) == r.solvable for r in rows)
+    r = next(r for r in rows if r.solvable and r.actions)
+    t = json.loads(r.target)
+    assert r.target == json.dumps(t, sort_keys=True) and len(t["actions"]) == len(r.actions)
+    lines = r.prompt.split("\n")
+    spec = json.loads(lines[1].split(": ", 1)[1])
+    assert spec["family_id"] == "f" and spec["resources"][0]["quantity"] == 1 and spec["deposit_location"] == "loc_0" and json.loads(lines[3].split(": ", 1)[1])["location"] is None
+    sft, prompts = records.training_records(s)
+    assert sft.count() == prompts.count() == sum(r.solvable for r in rows)
+    assert {len(world.SUITES), len(records.TRAINING)} == {5}
+
+
+def test_renamed_ids_and_renderings(spark):
+    from verisieve.functions import text
+
+    d = spark.createDataFrame([("p1-a-p1-b",), ("x",), (None,)], "i string")
+    assert [r[0] for r in d.select(text.id_renamed(F.col("i"), "p1-", "p1rs-")).collect()] == ["p1rs-a-p1-b", "x", None]
+    r = spark.createDataFrame([("abc", "ab"), ("abc", "ax"), ("a", "abc"), ("", "")], "a string, b string")
+    assert [x[0] for x in r.select(text.rendering_check(F.col("a"), F.col("b"))).collect()] == [None, 1, 1, None]

@@ -139,8 +139,40 @@ def test_exemplars_skip_incomplete_records(spark):
 def test_pareto_and_champion(spark):
     d = spark.createDataFrame([("a", 0.9, 10.0), ("b", 0.8, 5.0), ("c", 0.8, 6.0), ("d", 0.9, 10.0), ("e", None, 1.0)], "k string, up double, down double")
     assert {r.k for r in selection.pareto(d, "k", ["up"], ["down"]).collect()} == {"a", "b", "d"}
-    ci = spark.createDataFrame([("a", 0.9, 0.8, 0.95, 3.0), ("b", 0.88, 0.7, 0.92, 1.0), ("c", 0.5, 0.4, 0.6, 0.0)], "k string, m double, lo double, hi double, t double")
-    assert [r.k for r in selection.champion(ci, "k", "m", "lo", "hi", [F.asc("t")]).orderBy("rank").collect()] == ["b", "a", "c"]
+    runs = spark.createDataFrame([("a", 0.9, 3.0), ("b", 0.88, 1.0), ("c", 0.5, 0.0)], "k string, m double, t double")
+    tied = spark.createDataFrame([("a",), ("b",), ("b",)], "k string")
+    assert [(r.k, r.tied) for r in selection.champion(runs, "k", "m", tied, [F.asc("t")]).orderBy("rank").collect()] == [("b", True), ("a", True), ("c", False)]
+    assert [r.k for r in selection.champion(runs, "k", "m", tied.where("k = 'a'"), [F.asc("t")]).orderBy("rank").collect()] == ["a", "b", "c"]
+
+
+def test_rates_and_incidence(spark):
+    d = spark.createDataFrame([("a", 1, 2, True), ("a", 1, 4, False), ("a", None, 9, True), (None, 0, 0, None)], "k string, x int, n int, ok boolean")
+    assert {r.k: (r.part, r.whole, r.rate) for r in selection.pooled_rate(d, ["k"], F.col("x"), F.col("n")).collect()} == {"a": (2, 6, 0.333333), None: (0, 0, None)}
+    got = selection.incidence(d, ["k"], F.col("ok"), {"big": F.col("n") > 3, "one": F.col("x") == 1})
+    assert {r.k: (r.n, r.flagged) for r in got.collect()} == {"a": (3, 2), None: (1, 0)}
+    log = spark.createDataFrame([("a", float("nan"), 0.9, 0.1, 0.0), ("b", 1.0, 0.4, 1.0, 0.2), ("c", 1.0, 0.9, 1.0, 0.1), ("d", None, None, None, None)], "r string, loss double, v double, w double, h double")
+    rules = selection.protocol_rules(F.col("loss"), F.col("v"), F.col("w"), F.col("h"))
+    assert {tuple(r) for r in selection.stopped_runs(log, "r", rules).collect()} == {("a", "loss_diverged"), ("b", "low_validity"), ("b", "reward_hacking")}
+
+
+def test_summaries_with_intervals(spark):
+    v = "struct<status string, score double>"
+    rows = [(i, "s", ("passed" if i % 2 else "failed", 1.0 if i % 2 else None), 0.5 if i < 10 else None) for i in range(40)] + [(99, "t", ("skipped", None), None), (100, None, ("passed", 1.0), None)]
+    d = spark.createDataFrame(rows, f"k long, suite string, verdict {v}, legal double")
+    r = {x.suite: x for x in stats.suite_summary(d, ["suite"], legal="legal").collect()}
+    assert (r["s"].pass_rate, r["s"].legal_action_rate, r["t"].pass_rate, r["t"].eligible) == (0.5, 0.5, None, 0)
+    got = {(x.suite, x.metric): x for x in stats.suite_intervals(d, ["suite"], "k", legal="legal", resamples=400).collect()}
+    assert set(got) == {("s", "pass_rate"), ("s", "mean_score"), ("s", "legal_action_rate"), (None, "pass_rate"), (None, "mean_score")}
+    x = got["s", "pass_rate"]
+    assert x.n == 40 and x.ci_low < 0.5 < x.ci_high and x.ci_high - x.ci_low < 0.4 and got["s", "legal_action_rate"].ci_low == 0.5
+    assert stats.suite_intervals(d.limit(0), ["suite"], "k", resamples=10).isEmpty()
+
+
+def test_spearman_interval(spark):
+    rng = random.Random(4)
+    d = spark.createDataFrame([(i, x := rng.random(), x + rng.random() * 0.3) for i in range(200)], "k long, x double, y double")
+    r = stats.spearman(d, "x", "y", "k", 500).first()
+    assert r.ci_low < r.rho < r.ci_high and r.ci_high - r.ci_low < 0.2
 
 
 def test_contamination_matches_sets(spark):
@@ -150,8 +182,12 @@ def test_contamination_matches_sets(spark):
     docs = [(1, " ".join(["x"] * 9 + item)), (2, " ".join(rng.choice(words) for _ in range(60))), (3, None), (4, ""), (5, " ".join(item[:15]))]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("shared", F.lit(1))
     b = spark.createDataFrame([(7, " ".join(item)), (8, None)], "item_id long, item_text string")
-    r = selection.contamination(d, "doc_id", "text", b, "item_id", "item_text").collect()
+    r = selection.contamination(d, "doc_id", "text", b, "item_id", "item_text", by="containment").collect()
     assert [(x.doc_id, x.item_id, x.containment) for x in r] == [(1, 7, 1.0)]
+    far = spark.createDataFrame([(1, " ".join([f"x{i}" for i in range(9)] + item))], "doc_id long, text string")
+    assert selection.contamination(far, "doc_id", "text", b, "item_id", "item_text").isEmpty() and selection.contamination(far, "doc_id", "text", b, "item_id", "item_text", by="containment").count() == 1
+    near = spark.createDataFrame([(6, "x " + " ".join(item))], "doc_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in selection.contamination(near, "doc_id", "text", b, "item_id", "item_text").collect()] == [(6, 7)]
 
 
 def test_tensor_audits(spark):
@@ -162,6 +198,28 @@ def test_tensor_audits(spark):
     assert n == {"x": (5.0, False), "y": (0.0, True), "n": (None, None)}
 
 
+def test_run_audit_and_drift_edges(spark):
+    v = "struct<reason_code string>"
+    rows = [(1, "r", "s", "a", None, ("x",)), (2, "r", "s", "b", " " * 600, ("x",)), (3, "r", "s", "c", "loop " * 200, (None,)), (4, "r", "s", "c", "again", ("y",)), (5, None, None, None, "\u2003", None)]
+    t = spark.createDataFrame(rows, f"row_ord long, run_id string, suite string, id string, prediction string, verdict {v}").withColumn("copies", F.lit("clash"))
+    s = spark.createDataFrame([("r", 3)], "run_id string, truncated_outputs long")
+    got = {x.run_id: x for x in audit.run_audit(t.drop("copies"), summary=s).collect()}
+    x = got["r"]
+    assert (x.rows, x.duplicates, x.empty, x.runaway, x.truncation_rate, x.all_truncated) == (3, 1, 2, 1, 1.0, True) and got[None].empty == 1
+    assert {(y.reason_code, y.n, y.place) for y in audit.reason_counts(t, F.col("verdict.reason_code")).where("run_id = 'r'").collect()} == {("x", 2, 1), ("None", 1, 2)}
+    a = spark.createDataFrame([("Answer: 4\nthen 9", "4", True), ("answer: 5, then 9", "9", False), ("", "1", False), ("#### 7", None, False), ("7", "8", False), (None, "1", None)], "t string, gold string, ok boolean")
+    r = audit.answer_drift(a, [], "t", "gold", F.col("ok")).first()
+    assert (r.n, r.pass_rate, r.marker_rate, r.drifted, r.drift_failures) == (3, 0.3333, 0.6667, 2, 0)
+
+
+def test_label_mask_and_profile(spark):
+    d = spark.createDataFrame([(1, [4, 5, 9, 9], [-100, 5, -100, -100]), (2, [4, 7, 9], [4, -100, -100]), (3, [4, 7, 8], [4, -100, 8]), (4, [], []), (5, None, None), (6, [9], [-100])], "k int, ids array<int>, labels array<int>")
+    got = {r.k: r.m and (r.m.terminal, r.m.is_stop, r.m.masked) for r in d.select("k", audit.label_mask(F.col("ids"), F.col("labels"), 9, [7]).alias("m")).collect()}
+    assert got == {1: (1, False, False), 2: (1, True, True), 3: (2, False, True), 4: None, 5: None, 6: (0, False, False)}
+    p = spark.createDataFrame([([0.0, 1.0, 2.0, 4.0], [1, 2, -100, 3], [0, 3, 3, 3])], "n array<double>, l array<int>, i array<int>").select(audit.nll_profile(F.col("n"), F.col("l"), F.col("i"), 3).alias("p")).first().p
+    assert (p.supervised, p["mean"], p.p50, p.p90, p.stop_at, p.stop_nll) == (2, 2.5, 1.0, 1.0, 3, 4.0)
+
+
 def test_label_audits(spark):
     d = spark.createDataFrame([([-100, -100, 5, 6],)], "l array<int>")
     r = d.select(audit.masked(F.col("l")).alias("m"), audit.hits_cap(F.col("l"), 4, [9]).alias("cap"), audit.stop_rank(F.col("l"), F.lit(2)).alias("rank")).first()

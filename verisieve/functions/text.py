@@ -29,8 +29,7 @@ def _literal(marker: str) -> str:
 
 def final_answer(c: Column) -> Column:
     """The last boxed expression, else the first line after the last of the first marker that has one, else the last number; null without any."""
-    boxed = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{([^}]*)\}"), F.lit(1)), F.lit(-1))
-    tries = [F.when(boxed.isNotNull(), strip(boxed))]
+    tries = [last_boxed(c)]
     for m in MARKERS:
         tail = strip(F.regexp_extract(c, f"(?is)^.*{_literal(m)}(.*)$", 1))
         line = strip(F.regexp_extract(tail, r"^([^\n\r]*)", 1))
@@ -89,3 +88,19 @@ def joined_prompt(messages: Column) -> Column:
 def completion_text(messages: Column) -> Column:
     """Content of the last message; null for an empty conversation."""
     return F.try_element_at(messages, F.lit(-1))["content"]
+
+
+def last_boxed(c: Column) -> Column:
+    """The last boxed expression without braces in it; null without one."""
+    return strip(F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{([^}]*)\}"), F.lit(1)), F.lit(-1)))
+
+
+def id_renamed(c: Column, old: str, new: str) -> Column:
+    """The first occurrence of ``old`` replaced by ``new``."""
+    at = F.instr(c, old)
+    return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.lit(new), F.substr(c, at + len(old)))).otherwise(c)
+
+
+def rendering_check(whole: Column, prompt: Column) -> Column:
+    """The 0-based place where a rendered conversation leaves its rendered prompt; null where the prompt is its beginning."""
+    return F.when(~F.startswith(whole, prompt), first_divergence(whole, prompt))

@@ -13,7 +13,7 @@ DECISIONS = ("accepted", "no_passed_candidate", "insufficient_margin", "insuffic
 
 
 def mine(df: DataFrame, group: str, text: str, index: str, unique: str, verdict: str = "verdict", margin: float = 0.10, shorter: bool = True) -> DataFrame:
-    """group, decision, chosen, rejected (of ``unique``), chosen_text, rejected_text, score_margin: a row per group.
+    """group, decision, chosen, rejected (of ``unique``), chosen_text, rejected_text, chosen_verdict, rejected_verdict, score_margin: a row per group.
 
     Candidates rank by score (a null one as 0), then length if ``shorter``,
     then index, then ``unique``. Chosen is the best passed one, rejected the last eligible.
@@ -22,7 +22,7 @@ def mine(df: DataFrame, group: str, text: str, index: str, unique: str, verdict:
     v = F.col(verdict)
     score = F.coalesce(v["score"], F.lit(0.0))
     rank = F.struct((-score).alias("s"), (F.length(text) if shorter else F.lit(0)).alias("n"), F.col(index).alias("i"), F.col(unique).alias("u"))
-    row = F.struct(F.col(unique).alias("u"), F.col(text).alias("t"), score.alias("s"))
+    row = F.struct(F.col(unique).alias("u"), F.col(text).alias("t"), score.alias("s"), v["status"].alias("v"))
     d = df.select(group, eligible(v).alias("e"), (F.coalesce(v["status"] == "passed", F.lit(False))).alias("p"), rank.alias("rank"), row.alias("row"))
     g = d.groupBy(group).agg(
         F.count_if("e").alias("n"),
@@ -44,7 +44,7 @@ def mine(df: DataFrame, group: str, text: str, index: str, unique: str, verdict:
 def random_pairs(df: DataFrame, group: str, text: str, unique: str, verdict: str = "verdict", seed: int = 7) -> DataFrame:
     """The same columns for two eligible candidates by hash order, whatever their scores; the control of ``mine``."""
     v = F.col(verdict)
-    row = F.struct(F.col(unique).alias("u"), F.col(text).alias("t"), F.coalesce(v["score"], F.lit(0.0)).alias("s"))
+    row = F.struct(F.col(unique).alias("u"), F.col(text).alias("t"), F.coalesce(v["score"], F.lit(0.0)).alias("s"), v["status"].alias("v"))
     key = F.struct(order_key(seed, F.col(unique).cast("string")).alias("h"), F.col(unique).alias("u"))
     d = df.where(eligible(v)).select(group, key.alias("key"), row.alias("row"))
     first = d.groupBy(group).agg(F.count("*").alias("n"), F.min(F.struct("key", "row")).alias("a"))
@@ -58,7 +58,7 @@ def random_pairs(df: DataFrame, group: str, text: str, unique: str, verdict: str
 def _pairs(g: DataFrame, group: str, decision: Column, gap: Column) -> DataFrame:
     ok = F.col("decision") == "accepted"
     d = g.withColumn("decision", decision)
-    return d.select(group, "decision", *(F.when(ok, c).alias(n) for n, c in (("chosen", F.col("c.u")), ("rejected", F.col("r.u")), ("chosen_text", F.col("c.t")), ("rejected_text", F.col("r.t")), ("score_margin", F.round(gap, 6)))))
+    return d.select(group, "decision", *(F.when(ok, c).alias(n) for n, c in (("chosen", F.col("c.u")), ("rejected", F.col("r.u")), ("chosen_text", F.col("c.t")), ("rejected_text", F.col("r.t")), *((f"{n}_verdict", F.struct(F.col(f"{x}.v").alias("status"), F.col(f"{x}.s").alias("score"))) for n, x in (("chosen", "c"), ("rejected", "r"))), ("score_margin", F.round(gap, 6)))))
 
 
 def decision_counts(mined: DataFrame) -> DataFrame:

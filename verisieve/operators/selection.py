@@ -34,22 +34,42 @@ def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str]) ->
     return d.join(other, no_worse & better, "left_anti")
 
 
-def champion(df: DataFrame, key: str, primary: str, low: str, high: str, ties: list[Column]) -> DataFrame:
-    """key, rank, tied: by the primary metric; those whose interval reaches the leader's value are tied and ranked by ``ties``."""
+def champion(df: DataFrame, key: str, primary: str, tied: DataFrame, ties: list[Column]) -> DataFrame:
+    """key, rank, tied: by the primary metric; the leader and all in ``tied`` (a column of keys) come first, ranked by ``ties``.
+
+    Candidates are few: a frontier of at most CANDIDATES.
+    """
     from pyspark.sql import Window
 
-    best = df.agg(F.max(primary).alias("_best"))
-    d = df.crossJoin(F.broadcast(best)).withColumn("tied", F.coalesce((F.col(high) >= F.col("_best")) & (F.col(low) <= F.col("_best")), F.lit(False)))
+    d = df.join(F.broadcast(tied.select(key).distinct().withColumn("tied", F.lit(True))), key, "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
     order = [F.desc("tied"), F.when(~F.col("tied"), -F.col(primary)), *ties, F.col(key)]
     return d.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, "rank", "tied")
 
 
+def incidence(df: DataFrame, by: list[str], passed: Column, flags: dict[str, Column]) -> DataFrame:
+    """by, n, flagged, share: passed rows that any audit rule flags, among all rows."""
+    hit = F.coalesce(passed, F.lit(False)) & reduce(or_, (F.coalesce(c, F.lit(False)) for c in flags.values()))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("flagged"), F.round(F.count_if(hit) / F.count("*"), 6).alias("share"))
+
+
+def pooled_rate(df: DataFrame, by: list[str], part: Column, whole: Column) -> DataFrame:
+    """by, part, whole, rate: a ratio of sums, null over nothing; rows with a null on either side are left out."""
+    both = part.isNotNull() & whole.isNotNull()
+    a, b = F.sum(F.when(both, part)), F.sum(F.when(both, whole))
+    return df.groupBy(*by).agg(F.coalesce(a, F.lit(0)).alias("part"), F.coalesce(b, F.lit(0)).alias("whole"), F.round(a / F.nullif(b, F.lit(0)), 6).alias("rate"))
+
+
 def stopped_runs(log: DataFrame, run: str, rules: dict[str, Column]) -> DataFrame:
     """run, rule: runs in whose log any row meets a stopping rule."""
     hit = F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda x: x.isNotNull())).alias("rule")
     return log.select(run, hit).distinct()
 
 
+def protocol_rules(loss: Column, validity: Column, reward: Column, hacking: Column, ceiling: float = 0.999) -> dict[str, Column]:
+    """Why a run is to be stopped: its loss is no finite number, fewer than half of its outputs are valid, its reward is at the ceiling while a tenth of its episodes are hacked."""
+    return {"loss_diverged": F.isnan(loss) | (F.abs(loss) == F.lit(float("inf"))), "low_validity": validity < 0.5, "reward_hacking": (reward >= ceiling) & (hacking > 0.10)}
+
+
 def word_shingles(text: Column, width: int = 5) -> Column:
     """Distinct hashes of runs of ``width`` words, lower case; a shorter text has one of all its words, one without words none."""
     import numpy as np
@@ -67,8 +87,10 @@ def word_shingles(text: Column, width: int = 5) -> Column:
     return cut(text)
 
 
-def contamination(corpus: DataFrame, corpus_key: str, corpus_text: str, bench: DataFrame, bench_key: str, bench_text: str, least: float = 0.8, width: int = 5) -> DataFrame:
-    """corpus_key, bench_key, shared, jaccard, containment: documents that hold an item (containment) or equal it (jaccard) from ``least`` on.
+def contamination(corpus: DataFrame, corpus_key: str, corpus_text: str, bench: DataFrame, bench_key: str, bench_text: str, least: float = 0.8, width: int = 5, by: str = "jaccard") -> DataFrame:
+    """corpus_key, bench_key, shared, jaccard, containment: pairs whose measure ``by`` reaches ``least``.
+
+    jaccard tells near-copies, containment documents that hold an item.
 
     Documents are shingled where they are; only shingles that some item has
     are kept, by a join on the shingle, and counted by pair.
@@ -79,4 +101,4 @@ def contamination(corpus: DataFrame, corpus_key: str, corpus_text: str, bench: D
     bs = b.select("_b", F.size("_s").alias("_nb"), F.explode("_s").alias("s"))
     both = cs.join(bs, "s").groupBy("_c", "_b", "_nc", "_nb").agg(F.count("*").alias("shared"))
     jaccard, holds = F.col("shared") / (F.col("_nc") + F.col("_nb") - F.col("shared")), F.col("shared") / F.col("_nb")
-    return both.where(holds >= least).select(F.col("_c").alias(corpus_key), F.col("_b").alias(bench_key), "shared", F.round(jaccard, 6).alias("jaccard"), F.round(holds, 6).alias("containment"))
+    return both.where({"jaccard": jaccard, "containment": holds}[by] >= least).select(F.col("_c").alias(corpus_key), F.col("_b").alias(bench_key), "shared", F.round(jaccard, 6).alias("jaccard"), F.round(holds, 6).alias("containment"))

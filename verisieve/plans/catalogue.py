@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical, draws, text
 from ..operators import audit, contracts, corpus, ordering, pairs, selection, stats, verify, world
 from ..sources.tables import stage, table
+from . import world_sql
 from .shipping import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +72,9 @@ def _poisson(u: str) -> str:
     return "(" + " + ".join(f"({u} >= {c})::INT" for c in draws.POISSON) + ")"
 
 
+#: Resamples and sign flips.
+_B = 10_000
+
 _JUDGED = f"""
 gold AS (SELECT id, arg_min(metadata['gold_answer'], row_ord) FILTER (WHERE metadata['gold_answer'] IS NOT NULL) AS gold, arg_min(task_family, row_ord) AS task_family FROM sft_records GROUP BY id),
 found AS (SELECT c.row_ord, c.candidate_id, c.request_id, c.source_record_id, c.text, c.cand_index, c.model_id, g.gold, g.task_family, {_final("c.text")} AS answer FROM candidates c LEFT JOIN gold g ON c.source_record_id = g.id),
@@ -119,10 +123,10 @@ def leak_free_training(spark, d):
     return contracts.without_leaks(r.where("split_name = 'train'"), r.where("split_name <> 'train'"), "scenario_family_id").select("row_ord")
 
 
-@query("""SELECT scenario_family_id FROM sft_records WHERE split_name = 'train' AND scenario_family_id IS NOT NULL INTERSECT SELECT scenario_family_id FROM sft_records WHERE split_name = 'test'""")
+@query("""SELECT scenario_family_id FROM sft_records WHERE split_name = 'train' AND scenario_family_id IS NOT NULL INTERSECT SELECT scenario_family_id FROM sft_records WHERE split_name IN ('validation', 'holdout', 'test')""")
 def shared_families(spark, d):
     r = table(spark, d, "sft_records").select("scenario_family_id", "split_name")
-    return contracts.shared_keys(r.where("split_name = 'train'"), r.where("split_name = 'test'"), "scenario_family_id")
+    return contracts.shared_keys(r.where("split_name = 'train'"), r.where(F.col("split_name").isin("validation", "holdout", "test")), "scenario_family_id")
 
 
 @query("""WITH a AS (SELECT DISTINCT id FROM traces), b AS (SELECT DISTINCT id FROM eval_items)
@@ -151,28 +155,31 @@ def frozen_sizes(spark, d):
 
 # --- fingerprints ----------------------------------------------------------
 
-_ITEM = "'{\"gold_answer\":' || coalesce(to_json(gold_answer)::VARCHAR, 'null') || ',\"id\":' || to_json(id)::VARCHAR || ',\"item_id\":' || item_id || ',\"suite\":' || to_json(suite)::VARCHAR || '}'"
+_ITEM = "'{\"gold_answer\":' || coalesce(to_json(gold_answer)::VARCHAR, 'null') || ',\"id\":' || to_json(id)::VARCHAR || ',\"item_id\":' || item_id || ',\"item_text\":' || coalesce(to_json(item_text)::VARCHAR, 'null') || ',\"suite\":' || to_json(suite)::VARCHAR || '}'"
+
+
+_ITEM_COLUMNS = ["gold_answer", "id", "item_id", "item_text", "suite"]
 
 
 @query(f"SELECT item_id, 'sha256:' || sha256({_ITEM}) AS fingerprint FROM eval_items")
 def row_fingerprints(spark, d):
     e = table(spark, d, "eval_items")
-    return e.select("item_id", canonical.row_fingerprints(e, ["gold_answer", "id", "item_id", "suite"]).alias("fingerprint"))
+    return e.select("item_id", canonical.row_fingerprints(e, _ITEM_COLUMNS).alias("fingerprint"))
 
 
 @query(f"SELECT 'sha256:' || sha256('[' || string_agg({_ITEM}, ',' ORDER BY item_id) || ']') AS fingerprint FROM eval_items")
 def dataset_fingerprint(spark, d):
-    return canonical.list_fingerprint(table(spark, d, "eval_items"), "item_id", ["gold_answer", "id", "item_id", "suite"])
+    return canonical.list_fingerprint(table(spark, d, "eval_items"), "item_id", _ITEM_COLUMNS)
 
 
-_TREE = "SELECT doc_id AS k, sha256('{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}') AS h FROM documents"
+_TREE = "SELECT doc_id AS k, sha256('{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || ',\"text\":' || coalesce(to_json(text)::VARCHAR, 'null') || '}') AS h FROM documents"
 for _ in range(4):
     _TREE = f"SELECT floor(k / 4096.0)::BIGINT AS k, sha256(string_agg(h, ',' ORDER BY k)) AS h FROM ({_TREE}) GROUP BY 1"
 
 
 @query(f"SELECT 'sha256-tree:' || sha256(string_agg(h, ',' ORDER BY k)) AS fingerprint FROM ({_TREE})")
 def tree_fingerprint(spark, d):
-    return canonical.tree_fingerprint(table(spark, d, "documents"), "doc_id", ["doc_id", "n_chars"])
+    return canonical.tree_fingerprint(table(spark, d, "documents"), "doc_id", ["doc_id", "n_chars", "text"])
 
 
 # --- texts and answers -----------------------------------------------------
@@ -235,22 +242,22 @@ def _scenarios(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "candidates").select("row_ord", "source_record_id", "request_id", "cand_index", "text", "model_id")
+    c = table(spark, d, "candidates").select("row_ord", "source_record_id", "request_id", "cand_index", "text", "model_id", "completion_tokens")
     return verify.world_verdicts(c.join(_scenarios(spark, d), "source_record_id"), "text")
 
 
-@query()
+@query(world_sql.REPLAY)
 def world_replay(spark, d):
     v = _verdicts(spark, d)
     return v.select("row_ord", "parsed.reason", "episode.reached", F.col("episode.reason").alias("end"), "episode.steps", F.col("episode.state.energy").alias("energy"), F.col("legality.legal").alias("legal"))
 
 
-@query()
+@query(world_sql.VERDICT)
 def hybrid_verdict(spark, d):
     return _verdicts(spark, d).select("row_ord", "verdict.status", "verdict.reason_code", "verdict.score")
 
 
-@query()
+@query(world_sql.STEPS)
 def world_step_trace(spark, d):
     c = table(spark, d, "candidates").select("row_ord", "source_record_id", "text").join(_scenarios(spark, d), "source_record_id")
     from ..functions.actions import plan
@@ -258,7 +265,7 @@ def world_step_trace(spark, d):
     return world.step_trace(c.withColumn("actions", plan(F.col("text"))["actions"]), ["row_ord"])
 
 
-@query()
+@query(world_sql.LEGAL)
 def world_legal_actions(spark, d):
     return world.legal_actions(_scenarios(spark, d), ["source_record_id"])
 
@@ -284,7 +291,24 @@ def dedup_normalised(spark, d):
     return k.groupBy(F.md5("t").alias("t")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query()
+def _taken_in_turn(sources: int) -> str:
+    """Each source's quota in hash order without texts that sources before it took; the sources of the targets are few."""
+    steps, before = [], []
+    for k in range(sources):
+        seen = " UNION ALL ".join(f"SELECT t FROM t{j}" for j in before) or "SELECT NULL::VARCHAR AS t WHERE false"
+        steps.append(
+            f"t{k} AS (SELECT doc_id, source, t FROM (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS rank FROM (SELECT doc_id, source, t, h, row_number() OVER (PARTITION BY t ORDER BY h, doc_id) AS rn FROM docs WHERE place = {k + 1} AND t NOT IN ({seen})) WHERE rn = 1) "
+            f"WHERE rank <= (SELECT quota FROM quotas WHERE place = {k + 1}))"
+        )
+        before.append(k)
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT doc_id, source FROM t{k}" for k in before)
+
+
+_SEQUENTIAL = f"""WITH quotas AS (SELECT source, row_number() OVER (ORDER BY source) AS place, floor(((SELECT count(*) // 2 FROM documents) * target_share / (SELECT sum(target_share) FROM mix_targets))::DECIMAL(18, 6)) AS quota FROM mix_targets),
+docs AS (SELECT d.doc_id, d.source, q.place, {_squeeze("d.text")} AS t, md5('42-' || d.doc_id) AS h FROM documents d JOIN quotas q ON d.source = q.source WHERE {_squeeze("d.text")} <> ''), {_taken_in_turn(12)}"""
+
+
+@query(_SEQUENTIAL)
 def sequential_mixture(spark, d):
     docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     weights = {r[0]: r[1] for r in targets.orderBy("source").select("source", "target_share").collect()}
@@ -386,7 +410,7 @@ def random_pairing(spark, d):
 # --- summaries and comparisons ---------------------------------------------
 
 
-@query("SELECT suite, count(*) AS episodes, count(*) FILTER (WHERE verdict.status IN ('passed', 'failed')) AS eligible, round(avg((verdict.status = 'passed')::INT::DOUBLE) FILTER (WHERE verdict.status IN ('passed', 'failed')), 6) AS pass_rate, round(avg(coalesce(verdict.score, 0.0)) FILTER (WHERE verdict.status IN ('passed', 'failed')), 6) AS mean_score FROM traces GROUP BY suite")
+@query("SELECT suite, count(*) AS episodes, count(*) FILTER (WHERE verdict.status IN ('passed', 'failed')) AS eligible, round(avg((verdict.status = 'passed')::INT::DOUBLE) FILTER (WHERE verdict.status IN ('passed', 'failed')), 6) AS pass_rate, round(avg(coalesce(verdict.score, 0.0)) FILTER (WHERE verdict.status IN ('passed', 'failed')), 6) AS mean_score, NULL::DOUBLE AS legal_action_rate FROM traces GROUP BY suite")
 def suite_summary(spark, d):
     return stats.suite_summary(table(spark, d, "traces"), ["suite"])
 
@@ -401,10 +425,6 @@ def failure_taxonomy(spark, d):
     return stats.failure_taxonomy(table(spark, d, "traces"), ["suite"], "row_ord").withColumn("place", F.col("place").cast("long"))
 
 
-#: The reference's resamples and sign flips.
-_B = 10_000
-
-
 @query(f"""WITH v AS (SELECT suite, row_ord::VARCHAR AS k, (verdict.status = 'passed')::INT::DOUBLE AS v FROM traces WHERE verdict.status IN ('passed', 'failed')),
 r AS (SELECT suite, b, v, {_poisson(_uniform("'42'", 'b::VARCHAR', 'k'))} AS w FROM v, range({_B}) t(b)),
 m AS (SELECT suite, b, sum(w * v) / nullif(sum(w), 0) AS m FROM r GROUP BY 1, 2), s AS (SELECT suite, list(m ORDER BY m) AS s FROM m GROUP BY 1), p AS (SELECT suite, count(*) AS n, round(avg(v), 6) AS mean FROM v GROUP BY 1)
@@ -415,52 +435,78 @@ def bootstrap_ci(spark, d):
     return stats.poisson_bootstrap(t, ["suite"], F.col("v"), "row_ord", _B)
 
 
-_RUNS = """WITH e AS (SELECT run_id, suite, id, arg_max(coalesce((verdict.status = 'passed')::INT::DOUBLE, 0.0), row_ord) AS passed FROM traces GROUP BY 1, 2, 3), base AS (SELECT min(run_id) AS run_id FROM e),
-pr AS (SELECT a.run_id, a.suite || '/' || a.id AS k, a.passed AS a, b.passed AS b, a.passed - b.passed AS d FROM e a JOIN e b ON a.suite = b.suite AND a.id = b.id AND b.run_id = (SELECT run_id FROM base) WHERE a.run_id <> (SELECT run_id FROM base))"""
+_EPISODES = "e AS (SELECT run_id, suite, id, arg_max(coalesce((verdict.status = 'passed')::INT::DOUBLE, 0.0), row_ord) AS passed, arg_max(coalesce(verdict.score, 0.0), row_ord) AS score FROM traces GROUP BY 1, 2, 3)"
+_ENDS = "round({s}[floor(0.025 * len({s}))::INT + 1], 6) AS {low}, round({s}[least(floor(0.975 * len({s}))::INT, len({s}) - 1) + 1], 6) AS {high}"
+
+
+def _ends(s: str, low: str = "ci_low", high: str = "ci_high") -> str:
+    return _ENDS.format(s=s, low=low, high=high)
+
+
+_SIDES = ("ap", "bp", "dp", "as_", "bs", "ds")
+_COMPARED = f"""WITH {_EPISODES}, base AS (SELECT min(run_id) AS run_id FROM e),
+pr AS (SELECT a.run_id, a.suite, a.suite || '/' || a.id AS k, a.passed AS ap, b.passed AS bp, a.passed - b.passed AS dp, a.score AS as_, b.score AS bs, a.score - b.score AS ds FROM e a JOIN e b ON a.suite = b.suite AND a.id = b.id AND b.run_id = (SELECT run_id FROM base) WHERE a.run_id <> (SELECT run_id FROM base)),
+pt AS (SELECT run_id, suite, count(*) AS n, {", ".join(f"round(avg({x}), 6) AS m_{x}" for x in _SIDES)}, sum(dp) AS sp, sum(ds) AS ss FROM pr GROUP BY 1, 2),
+bo AS (SELECT run_id, suite, x, {", ".join(f"sum(w * {c}) / nullif(sum(w), 0) AS {c}" for c in _SIDES)} FROM (SELECT *, {_poisson(_uniform("'42'", "x::VARCHAR", "k"))} AS w FROM pr, range({_B}) t(x)) GROUP BY 1, 2, 3),
+so AS (SELECT run_id, suite, {", ".join(f"list({c} ORDER BY {c}) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _SIDES)} FROM bo GROUP BY 1, 2),
+fl AS (SELECT run_id, suite, x, sum(CASE WHEN h THEN dp ELSE -dp END) AS fp, sum(CASE WHEN h THEN ds ELSE -ds END) AS fs FROM (SELECT *, {_uniform("'flip42'", "x::VARCHAR", "k")} < 0.5 AS h FROM pr, range({_B}) t(x)) GROUP BY 1, 2, 3),
+hi AS (SELECT fl.run_id, fl.suite, count(*) FILTER (WHERE abs(fp) >= abs(sp) - 1e-9) AS hp, count(*) FILTER (WHERE abs(fs) >= abs(ss) - 1e-9) AS hs FROM fl JOIN pt ON fl.run_id = pt.run_id AND fl.suite = pt.suite GROUP BY 1, 2),
+long AS ({" UNION ALL ".join(f"SELECT pt.run_id, pt.suite, '{m}' AS metric, n, m_{a} AS mean_a, {_ends('so.' + a, 'low_a', 'high_a')}, m_{b} AS mean_b, {_ends('so.' + b, 'low_b', 'high_b')}, m_{c} AS delta, {_ends('so.' + c)}, round((1 + {h}) / {1 + _B}, 6) AS p_value FROM pt JOIN so ON pt.run_id = so.run_id AND pt.suite = so.suite JOIN hi ON pt.run_id = hi.run_id AND pt.suite = hi.suite" for m, a, b, c, h in (("pass_rate", "ap", "bp", "dp", "hp"), ("mean_score", "as_", "bs", "ds", "hs")))}),
+compared AS (SELECT *, NOT (ci_low <= 0 AND ci_high >= 0) AS significant FROM long)"""
 
 
-@query(f"""{_RUNS}, pt AS (SELECT run_id, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(d), 6) AS delta, sum(d) AS s FROM pr GROUP BY 1),
-bo AS (SELECT run_id, x, sum(w * d) / nullif(sum(w), 0) AS m FROM (SELECT run_id, x, d, {_poisson(_uniform("'42'", 'x::VARCHAR', 'k'))} AS w FROM pr, range({_B}) t(x)) GROUP BY 1, 2), so AS (SELECT run_id, list(m ORDER BY m) FILTER (WHERE m IS NOT NULL) AS s FROM bo GROUP BY 1),
-ci AS (SELECT run_id, round(s[floor(0.025 * len(s))::INT + 1], 6) AS ci_low, round(s[least(floor(0.975 * len(s))::INT, len(s) - 1) + 1], 6) AS ci_high FROM so),
-fl AS (SELECT run_id, x, sum(CASE WHEN {_uniform("'flip42'", 'x::VARCHAR', 'k')} < 0.5 THEN d ELSE -d END) AS f FROM pr, range({_B}) t(x) GROUP BY 1, 2),
-h AS (SELECT fl.run_id, count(*) FILTER (WHERE abs(f) >= abs(pt.s) - 1e-9) AS h FROM fl JOIN pt ON fl.run_id = pt.run_id GROUP BY 1)
-SELECT pt.run_id, n, mean_a, mean_b, delta, ci_low, ci_high, NOT (ci_low <= 0 AND ci_high >= 0) AS significant, round((1 + h) / {1 + _B}, 6) AS p_value FROM pt JOIN ci ON pt.run_id = ci.run_id JOIN h ON pt.run_id = h.run_id""")
+_DRAWN = _COMPARED + " SELECT run_id, suite, metric, CASE WHEN significant THEN 'YES' ELSE 'no' END AS sig FROM compared"
+
+
+@query(_COMPARED + " SELECT * FROM compared")
 def compare_runs(spark, d):
     return _compared(spark, d)
 
 
+def _episodes(spark: SparkSession, d: str) -> DataFrame:
+    return stage(stats.episode_scores(table(spark, d, "traces"), ["run_id", "suite", "id"], "row_ord"), "episodes")
+
+
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    """Every run against the first one, on the episodes that both have."""
-    e = stage(stats.episode_scores(table(spark, d, "traces"), ["run_id", "suite", "id"], "row_ord"), "episodes")
+    """Every run against the first one by suite, on the episodes that both have."""
+    e = _episodes(spark, d)
     base = e.agg(F.min("run_id").alias("base"))
     e = e.crossJoin(F.broadcast(base))
-    b = e.where("run_id = base").select("suite", "id", F.col("passed").alias("b"))
-    p = e.where("run_id <> base").join(b, ["suite", "id"]).select("run_id", F.concat_ws("/", "suite", "id").alias("k"), F.col("passed").alias("a"), "b")
-    return stats.paired_tests(p, ["run_id"], "a", "b", "k", _B)
+    b = e.where("run_id = base").select("suite", "id", F.col("passed").alias("bp"), F.col("score").alias("bs"))
+    p = e.where("run_id <> base").join(b, ["suite", "id"]).select("run_id", "suite", F.concat_ws("/", "suite", "id").alias("k"), "passed", "score", "bp", "bs")
+    return stats.compared_metrics(p, ["run_id", "suite"], {"pass_rate": (F.col("passed"), F.col("bp")), "mean_score": (F.col("score"), F.col("bs"))}, "k", _B)
 
 
-@query()
+@query(_COMPARED + """, t AS (SELECT run_id || '/' || suite AS test, p_value FROM compared WHERE metric = 'pass_rate'), r AS (SELECT *, row_number() OVER (ORDER BY p_value, test) AS i, count(*) OVER () AS m FROM t)
+SELECT test, p_value, round(max(least(1.0, (m - i + 1) * p_value)) OVER (ORDER BY i), 6) AS adjusted FROM r""")
 def holm_bonferroni(spark, d):
-    return stats.holm(stage(_compared(spark, d).select("run_id", "p_value"), "tests"), "p_value", "run_id")
+    t = _compared(spark, d).where("metric = 'pass_rate'").select(F.concat_ws("/", "run_id", "suite").alias("test"), "p_value")
+    return stats.holm(stage(t, "tests"), "p_value", "test")
+
+
+_FILLED = f"coalesce({_strip('prediction')} <> '', false)"
 
 
 @query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY run_id, suite, id ORDER BY row_ord) AS rn, count(*) OVER (PARTITION BY run_id, suite, id) AS copies FROM traces), f AS (SELECT * FROM d WHERE rn = 1)
-SELECT run_id, count(*) AS rows, (sum(copies) - count(*))::BIGINT AS duplicates, count(DISTINCT suite) AS suites, count(*) FILTER (WHERE trim(coalesce(prediction, '')) = '') AS empty, count(*) FILTER (WHERE coalesce({_REPEATS}, false)) AS runaway, round(avg(length(coalesce(prediction, ''))), 6) AS mean_chars, max(length(coalesce(prediction, '')))::BIGINT AS max_chars FROM f GROUP BY run_id""")
+SELECT run_id, count(*) AS rows, (sum(copies) - count(*))::BIGINT AS duplicates, count(DISTINCT suite) AS suites, count(*) FILTER (WHERE NOT {_FILLED}) AS empty, count(*) FILTER (WHERE {_FILLED} AND coalesce({_REPEATS}, false)) AS runaway, round(avg(({_FILLED} AND coalesce({_REPEATS}, false))::INT::DOUBLE), 4) AS runaway_rate, round(avg(length(coalesce(prediction, ''))), 6) AS mean_chars, max(length(coalesce(prediction, '')))::BIGINT AS max_chars FROM f GROUP BY run_id""")
 def run_audit(spark, d):
     return audit.run_audit(table(spark, d, "traces")).withColumn("max_chars", F.col("max_chars").cast("long"))
 
 
 def _plain(x: str) -> str:
-    return f"regexp_replace(replace(replace({x}, ',', ''), '$', ''), '\\.+$', '')"
+    return f"regexp_replace(replace({x}, ',', ''), '\\.+$', '')"
 
 
 _MARK = "coalesce(regexp_matches(lower(text), '####|answer:|정답:'), false)"
-_DRIFT = f"({_MARK} AND NOT coalesce({_plain('answer')} IS NOT DISTINCT FROM {_plain(_last_number('text'))}, true))"
+_AGAIN = _final("('#### ' || answer)")
+_ALONE = f"coalesce(CASE WHEN ({_number('again')}) IS NOT NULL AND ({_number('gold')}) IS NOT NULL THEN abs(({_number('again')}) - ({_number('gold')})) < 1e-6 ELSE {_squeeze('again')} = {_squeeze('gold')} END, false)"
 
 
-@query(f"WITH {_JUDGED} SELECT model_id, count(*) AS n, count(*) FILTER (WHERE {_MARK}) AS marked, count(*) FILTER (WHERE {_DRIFT}) AS drifted, count(*) FILTER (WHERE {_DRIFT} AND status <> 'passed') AS drift_failures FROM scored GROUP BY model_id")
+@query(f"""WITH {_JUDGED}, a AS (SELECT *, {_MARK} AS marked, {_AGAIN} AS again, {_last_number('text')} AS naive FROM scored WHERE text <> '' AND gold IS NOT NULL),
+b AS (SELECT *, coalesce(marked AND {_plain('answer')} <> {_plain('naive')}, false) AS drift FROM a)
+SELECT model_id, count(*) AS n, round(avg((status = 'passed')::INT::DOUBLE), 4) AS pass_rate, round(avg(marked::INT::DOUBLE), 4) AS marker_rate, count(*) FILTER (WHERE drift) AS drifted, count(*) FILTER (WHERE drift AND status <> 'passed' AND {_ALONE}) AS drift_failures FROM b GROUP BY model_id""")
 def answer_drift(spark, d):
-    return audit.answer_drift(_judged(spark, d), ["model_id"], "text", F.col("verdict.status") == "passed")
+    return audit.answer_drift(_judged(spark, d), ["model_id"], "text", "gold", F.col("verdict.status") == "passed")
 
 
 _QS = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)
@@ -533,9 +579,13 @@ def validity_rate(spark, d):
     return table(spark, d, "traces").groupBy("suite").agg(mean(r != "gate_failed:malformed_json").alias("valid_json"), mean(r.startswith("gate_failed:")).alias("gate_failures"))
 
 
-@query("WITH x AS (SELECT verdict.score AS a, verdict.latency_ms AS b FROM traces WHERE verdict.score IS NOT NULL AND verdict.latency_ms IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x) SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM r")
+@query(f"""WITH x AS (SELECT row_ord::VARCHAR AS k, verdict.score AS a, verdict.latency_ms AS b FROM traces WHERE verdict.score IS NOT NULL AND verdict.latency_ms IS NOT NULL), r AS (SELECT k, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x),
+u AS (SELECT k, ra / (SELECT avg(ra) FROM r) - 1 AS u, rb / (SELECT avg(ra) FROM r) - 1 AS v FROM r), w AS (SELECT *, {_poisson(_uniform("'42'", "x::VARCHAR", "k"))} AS w FROM u, range({_B}) t(x)),
+q AS (SELECT x, sum(w) AS n, sum(w * u) AS a, sum(w * v) AS b, sum(w * u * u) AS aa, sum(w * v * v) AS bb, sum(w * u * v) AS ab FROM w GROUP BY x), z AS (SELECT list((n * ab - a * b) / sqrt((n * aa - a * a) * (n * bb - b * b)) ORDER BY (n * ab - a * b) / sqrt((n * aa - a * a) * (n * bb - b * b))) AS s FROM q WHERE (n * aa - a * a) * (n * bb - b * b) > 1e-9)
+SELECT (SELECT count(*) FROM r) AS n, (SELECT round(corr(ra, rb), 6) FROM r) AS rho, {_ends("s")} FROM z""")
 def spearman(spark, d):
-    return stats.spearman(table(spark, d, "traces").select(F.col("verdict.score").alias("a"), F.col("verdict.latency_ms").alias("b")), "a", "b")
+    t = table(spark, d, "traces").select("row_ord", F.col("verdict.score").alias("a"), F.col("verdict.latency_ms").alias("b"))
+    return stats.spearman(t, "a", "b", "row_ord", _B)
 
 
 @query("WITH s AS (SELECT suite, run_id, avg((verdict.status = 'passed')::INT::DOUBLE) AS p FROM traces GROUP BY 1, 2) SELECT suite, count(*) AS runs, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS sd FROM s GROUP BY suite")
@@ -555,26 +605,29 @@ def _run_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_RUN_STATS} SELECT run_id, coalesce(validity >= 0.9 AND pass_rate >= 0.5, false) AS admitted FROM m")
-def hard_constraints(spark, d):
-    return selection.within_limits(_run_stats(spark, d), {"validity": (">=", 0.9), "pass_rate": (">=", 0.5)}).select("run_id", "admitted")
-
-
 @query(f"WITH {_RUN_STATS} SELECT run_id FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.pass_rate >= a.pass_rate AND b.validity >= a.validity AND b.mean_latency <= a.mean_latency AND b.mean_chars <= a.mean_chars AND (b.pass_rate > a.pass_rate OR b.validity > a.validity OR b.mean_latency < a.mean_latency OR b.mean_chars < a.mean_chars))")
 def pareto_frontier(spark, d):
     m = stage(_run_stats(spark, d), "runs")
     return selection.pareto(m, "run_id", ["pass_rate", "validity"], ["mean_latency", "mean_chars"]).select("run_id")
 
 
-@query()
+_BEATEN = "EXISTS (SELECT 1 FROM m b WHERE b.pass_rate >= a.pass_rate AND b.validity >= a.validity AND b.mean_latency <= a.mean_latency AND b.mean_chars <= a.mean_chars AND (b.pass_rate > a.pass_rate OR b.validity > a.validity OR b.mean_latency < a.mean_latency OR b.mean_chars < a.mean_chars))"
+
+
+@query(f"""WITH {_RUN_STATS}, front AS (SELECT * FROM m a WHERE NOT {_BEATEN}), {_EPISODES}, lead AS (SELECT run_id FROM front ORDER BY pass_rate DESC, run_id LIMIT 1),
+pr AS (SELECT a.run_id, a.suite || '/' || a.id AS k, a.passed - b.passed AS v FROM e a JOIN e b ON a.suite = b.suite AND a.id = b.id AND b.run_id = (SELECT run_id FROM lead) WHERE a.run_id IN (SELECT run_id FROM front)),
+bo AS (SELECT run_id, x, sum(w * v) / nullif(sum(w), 0) AS v FROM (SELECT *, {_poisson(_uniform("'42'", "x::VARCHAR", "k"))} AS w FROM pr, range({_B}) t(x)) GROUP BY 1, 2), so AS (SELECT run_id, list(v ORDER BY v) FILTER (WHERE v IS NOT NULL) AS s FROM bo GROUP BY 1), ci AS (SELECT run_id, {_ends("s")} FROM so),
+t AS (SELECT front.*, coalesce(ci_low <= 0 AND ci_high >= 0, false) OR front.run_id = (SELECT run_id FROM lead) AS tied FROM front LEFT JOIN ci ON front.run_id = ci.run_id)
+SELECT run_id, row_number() OVER (ORDER BY tied DESC, CASE WHEN NOT tied THEN -pass_rate END NULLS FIRST, validity DESC, mean_latency, run_id) AS rank, tied FROM t""")
 def champion(spark, d):
-    v = F.col("verdict")
-    t = table(spark, d, "traces").select("run_id", "row_ord", (v["status"] == "passed").cast("double").alias("v"))
-    ci = stage(stats.poisson_bootstrap(t, ["run_id"], F.col("v"), "row_ord", _B), "intervals")
-    m = stage(_run_stats(spark, d), "runs")
-    front = selection.pareto(m, "run_id", ["pass_rate", "validity"], ["mean_latency", "mean_chars"])
-    both = front.join(ci.select("run_id", "mean", "ci_low", "ci_high"), "run_id")
-    return selection.champion(both, "run_id", "mean", "ci_low", "ci_high", [F.desc("validity"), F.asc("mean_latency")])
+    """The best run of the frontier; runs whose paired interval of differences to it holds zero are tied with it."""
+    front = stage(selection.pareto(stage(_run_stats(spark, d), "runs"), "run_id", ["pass_rate", "validity"], ["mean_latency", "mean_chars"]), "front")
+    lead = front.orderBy(F.desc("pass_rate"), "run_id").limit(1).select(F.col("run_id").alias("lead"))
+    e = _episodes(spark, d)
+    b = e.join(F.broadcast(lead), e["run_id"] == lead["lead"]).select("suite", "id", F.col("passed").alias("b"))
+    p = e.join(F.broadcast(front.select("run_id")), "run_id", "left_semi").join(b, ["suite", "id"]).select("run_id", F.concat_ws("/", "suite", "id").alias("k"), F.col("passed").alias("a"), "b")
+    tied = stats.paired_tests(p, ["run_id"], "a", "b", "k", _B).where("not significant").select("run_id").unionByName(lead.select(F.col("lead").alias("run_id")))
+    return selection.champion(front, "run_id", "pass_rate", tied, [F.desc("validity"), F.asc("mean_latency")]).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("WITH s AS (SELECT run_id, task, avg(p) AS p FROM (SELECT run_id, suite AS task, (verdict.status = 'passed')::INT::DOUBLE AS p FROM traces) GROUP BY 1, 2), b AS (SELECT task, p FROM s WHERE run_id = (SELECT min(run_id) FROM traces)) SELECT s.run_id, s.task, round(b.p - s.p, 6) AS drop, b.p - s.p <= 0.03 AS retained FROM s JOIN b ON s.task = b.task")
@@ -586,11 +639,6 @@ def retention(spark, d):
     return s.join(b, "task").select("run_id", "task", F.round(F.col("b") - F.col("p"), 6).alias("drop"), (F.col("b") - F.col("p") <= 0.03).alias("retained"))
 
 
-@query(f"WITH {_RUN_STATS} SELECT run_id, 'low_validity' AS rule FROM m WHERE validity < 0.5 UNION ALL SELECT run_id, 'slow' FROM m WHERE mean_latency > 50")
-def stopping_rules(spark, d):
-    return selection.stopped_runs(_run_stats(spark, d), "run_id", {"low_validity": F.col("validity") < 0.5, "slow": F.col("mean_latency") > 50})
-
-
 _GRAMS = "CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END"
 
 
@@ -598,15 +646,23 @@ def _words(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), b AS (SELECT item_id, {_words('item_text')} AS w FROM eval_items),
+_SHARED = (f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), b AS (SELECT item_id, {_words('item_text')} AS w FROM eval_items),
 ds AS (SELECT doc_id, {_GRAMS} AS g FROM d), bs AS (SELECT item_id, {_GRAMS} AS g FROM b),
 de AS (SELECT doc_id, len(g) AS nd, unnest(g) AS s FROM ds), be AS (SELECT item_id, len(g) AS nb, unnest(g) AS s FROM bs),
 j AS (SELECT doc_id, item_id, nd, nb, count(*) AS shared FROM de JOIN be ON de.s = be.s GROUP BY 1, 2, 3, 4)
-SELECT doc_id, item_id, shared, round(shared / (nd + nb - shared), 6) AS jaccard, round(shared / nb, 6) AS containment FROM j WHERE shared / nb >= 0.8""")
+SELECT doc_id, item_id, shared, round(shared / (nd + nb - shared), 6) AS jaccard, round(shared / nb, 6) AS containment FROM j WHERE """)
+
+
+@query(_SHARED + "shared / (nd + nb - shared) >= 0.8")
 def contamination(spark, d):
     return selection.contamination(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
+@query(_SHARED + "shared / nb >= 0.8")
+def contained_items(spark, d):
+    return selection.contamination(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text", by="containment")
+
+
 @query("SELECT coalesce(model_id, '?') AS model_id, count(*) AS n, count(*) FILTER (WHERE lower(finish_reason) IN ('length', 'max_tokens')) AS at_limit, CASE WHEN avg((lower(coalesce(finish_reason, '')) IN ('length', 'max_tokens'))::INT::DOUBLE) >= 0.2 THEN 'budget_too_small' WHEN avg((lower(coalesce(finish_reason, '')) IN ('length', 'max_tokens'))::INT::DOUBLE) >= 0.05 THEN 'watch' ELSE 'fine' END AS finding FROM candidates GROUP BY 1")
 def limit_audit(spark, d):
     hit = F.lower("finish_reason").isin("length", "max_tokens")

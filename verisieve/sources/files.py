@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,11 @@ def file_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return d.select(F.substring_index("path", root, -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def folder_fingerprint(hashes: DataFrame) -> DataFrame:
-    """fingerprint: of the sorted [path, hash] pairs."""
+def folder_fingerprint(hashes: DataFrame, order: Column | None = None) -> DataFrame:
+    """fingerprint: of the [path, hash] pairs, sorted by path or, where it is given, by ``order`` first."""
     pair = F.concat(F.lit('["'), F.regexp_replace("path", r'(["\\])', r"\\$1"), F.lit('","sha256:'), "sha256", F.lit('"]'))
-    whole = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(pair)), ","), F.lit("]"))
+    rows = F.array_sort(F.collect_list(F.struct((F.lit(0) if order is None else order).alias("o"), F.col("path").alias("p"), pair.alias("t"))))
+    whole = F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["t"]), ","), F.lit("]"))
     return hashes.agg(F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("fingerprint"))
 
 
