@@ -77,7 +77,7 @@ def test_copies_meet_every_longer_text(spark):
         hubs = [" ".join([*words_[:53], f"other{k}", *words_[54:59], "xyz"[k] * (20 + k)]) for k in range(3)]
         rows += [(10 * i, whole), (10 * i + 1, copy), *((10 * i + 2 + k, h) for k, h in enumerate(hubs))]
         a = truncation.band_keys(pa.array([whole, copy]))
-        if (a[0] == a[1]).any() and truncation.near(copy, whole):
+        if (a[0] == a[1]).any() and truncation.aligned(copy, whole):
             want.add(10 * i + 1)
     assert len(want) > 30
     c = spark.createDataFrame(rows, "row_ord long, text string").withColumn("tab", F.lit("candidates")).select("tab", "row_ord", "text")
@@ -85,6 +85,47 @@ def test_copies_meet_every_longer_text(spark):
     assert got >= want and not got - {r[0] for r in rows if r[0] % 10 == 1}
 
 
+def test_copies_cut_early_meet_their_wholes(spark):
+    """A copy of any length from the shortest beginning on is looked for, also one that is a small part of its whole."""
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(60):
+        whole = " ".join(f"w{rng.randrange(1000, 9999)}" for _ in range(90))
+        copy = whole[: rng.randrange(45, len(whole) - 20)]
+        rows += [(10 * i, whole), (10 * i + 1, copy)]
+        if copy[-1] != " " and whole[len(copy)] != " ":
+            want.add(10 * i + 1)
+    # A band that many share: all begin alike, one of them is the whole.
+    opening = " ".join(f"o{k}" for k in range(20))
+    rows += [(5000 + k, f"{opening} z{k}z{k * 7} " + " ".join(f"y{k}x{j}" for j in range(30 + k % 5))) for k in range(300)]
+    rows += [(9000 + k, t[: t.index(" y") + 3]) for k, t in ((k, rows[-300 + k][1]) for k in (3, 100, 250))]
+    d = spark.createDataFrame(rows, "row_ord long, text string").withColumn("tab", F.lit("traces")).select("tab", "row_ord", "text")
+    got = {r.row_ord for r in truncation.cut_outputs(d).where("how = 'copy'").collect()}
+    assert got >= want and len(want) > 30 and {9003, 9100, 9250} <= got and not got & {r[0] for r in rows if r[0] % 10 == 0 and r[0] < 5000}
+
+
+def test_alignment():
+    whole = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    assert truncation.aligned(whole[:17], whole) == ("r", "five six seven eight nine ten eleven twelve thirteen fourteen")
+    assert truncation.aligned(whole[:13], whole) == ("", whole[14:]) and truncation.aligned(whole, whole) == ("", "")
+    long = " ".join(f"w{k}" for k in range(100))
+    edited = long.replace("w10 ", "x ")
+    assert truncation.aligned(edited[: edited.index("w75") + 2], long) == ("5", " ".join(f"w{k}" for k in range(76, 100)))
+    assert truncation.aligned(edited, long) == ("", "") and truncation.aligned(long[:-1] + " other", long) is None
+    assert truncation.aligned("a b c", "x y z a") is None
+
+
+def test_states_have_their_terminality(spark):
+    texts = ['{"a": 1, "b": 2, "c": [1, 2]}'] * 30 + ['{"a": 1, "b"', "```\nx y\n```", "```\nx y", "1. a\n2. b\n3.", "plain (so it is) text", None, ""]
+    ends, inside = endings.states(pa.array(texts))
+    assert ends.sum(1).tolist() == [1, 1, 1] and [np.flatnonzero(x).tolist() for x in ends] == [[30], [32], [33]]
+    assert inside.tolist() == [30 * 6 + 2 + 2, 4, 1]
+    p = endings.state_terminality(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(p, [1 / 185, 1 / 5, 1 / 2])
+    assert endings.state_terminality(spark.createDataFrame([], "text string")).tolist() == [1.0, 1.0, 1.0]
+    assert endings.broken_off(pa.array(["ta\ufffd", "and so\u2026", "La dis [...]", "Done.", None, "`` `x`"])).tolist() == [True, True, True, False, False, False]
+
+
 def test_bands_find_near_copies():
     rng = random.Random(3)
     base = [" ".join(str(rng.randrange(5000)) for _ in range(80)) for _ in range(60)]

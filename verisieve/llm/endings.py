@@ -77,6 +77,75 @@ def opened(texts: pa.Array) -> np.ndarray:
     return odd | ends.to_numpy(zero_copy_only=False).astype(bool) | alone.to_numpy(zero_copy_only=False).astype(bool)
 
 
+#: States that the closing words may stand in, besides none of them.
+STATES = ("bracket", "fence", "item")
+_ITEM = r"\n\s*(?:\d{1,4}[.)]|[-*])"
+
+
+def states(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of STATES: the texts that end in it, and how many words of all texts go on in it.
+
+    bracket: one that was opened is not closed yet; fence: a fence of three
+    ticks is open; item: a list mark stands alone on its line.
+    """
+    data, offsets = _bytes(texts)
+    n = len(texts)
+    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    step = np.zeros(256, np.int8)
+    step[[ord(c) for c in "{[("]] = 1
+    step[[ord(c) for c in "}])"]] = -1
+    space = (data == 32) | (data == 10)
+    tick = data == ord("`")
+    at = np.flatnonzero(step[data] != 0)
+    change = step[data[at]].astype(np.int64)
+    owner = np.searchsorted(offsets, at, "right") - 1
+    run = np.cumsum(change)
+    before = np.concatenate([[0], run])[np.searchsorted(at, offsets[:-1])] if len(at) else np.zeros(n, np.int64)
+    depth = run - before[owner] if len(at) else run
+    last = np.searchsorted(at, offsets[1:]) - 1
+    ends_open = np.zeros(n, bool)
+    some = np.bincount(owner, minlength=n) > 0 if len(at) else ends_open
+    ends_open[some] = depth[last[some]] > 0
+    # Words inside: the spaces between one bracket and the next while any is open.
+    spaces = np.cumsum(space)
+    upto = np.append(at[1:], len(data))
+    upto = np.minimum(upto, offsets[1:][owner]) if len(at) else upto[:0]
+    within = np.where(depth > 0, spaces[upto - 1] - spaces[at], 0).sum() if len(at) else 0
+    fence = np.zeros(n, bool)
+    fenced = 0
+    has = np.flatnonzero(np.bincount(np.searchsorted(offsets, np.flatnonzero(tick), "right") - 1, minlength=n)[:n] >= 3) if tick.any() else np.zeros(0, np.int64)
+    for k in has:
+        parts = t[int(k)].as_py().split("```")
+        fence[k] = len(parts) % 2 == 0
+        fenced += sum(len(x.split()) for x in parts[1::2])
+    strip = pc.utf8_rtrim_whitespace(t)
+    item = pc.match_substring_regex(pc.utf8_slice_codeunits(strip, -24), f"(?:{_ITEM}|^\\s*(?:\\d{{1,4}}[.)]|[-*]))$").to_numpy(zero_copy_only=False).astype(bool)
+    items = pc.sum(pc.count_substring_regex(t, _ITEM + r"\s+\S")).as_py() or 0
+    return np.stack([ends_open, fence, item]), np.array([within, fenced, items], np.int64)
+
+
+def broken_off(texts: pa.Array) -> np.ndarray:
+    """Texts that end in a broken character or in a mark that says that more followed."""
+    end = pc.utf8_slice_codeunits(pc.utf8_rtrim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")), -24)
+    return pc.match_substring_regex(end, r"(?:\x{FFFD}|\x{2026}|\.\.\.|\[\.\.\.\]|[^`]`{1,2})$").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def state_terminality(texts: DataFrame) -> np.ndarray:
+    """Of each of STATES how often a text ends in it, among all words that stand in it; 1 where none does. Counted over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * len(STATES), np.int64)
+        for b in batches:
+            ends, inside = states(b.column(0))
+            total += np.concatenate([ends.sum(1), inside])
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], [f"c{k}" for k in range(len(total))])
+
+    columns = [f"c{k}" for k in range(2 * len(STATES))]
+    row = texts.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in columns)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns)).first()
+    ends, inside = np.array(row[: len(STATES)], float), np.array(row[len(STATES) :], float)
+    return np.where(ends + inside > 0, ends / np.maximum(1, ends + inside), 1.0)
+
+
 def closed(texts: pa.Array) -> np.ndarray:
     """Texts whose last character closes a sentence or structure."""
     end = pc.utf8_slice_codeunits(pc.utf8_rtrim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")), -1)

@@ -32,8 +32,9 @@ FILTER = 24
 
 def canonical(text: Column) -> Column:
     """Lower-case words with single spaces; quoted names get the prefix ``qq``, the spec_id of a world is left out."""
-    t = F.regexp_replace(F.lower(text), r'"?spec_?id"?\s*:?\s*"?w\W{0,3}\d+"?', " ")
-    t = F.regexp_replace(F.regexp_replace(t, "_", ""), r'"(\w+)"', " qq$1 ")
+    t = F.translate(F.lower(text), "_", "")
+    t = F.when(F.contains(t, F.lit("spec")), F.regexp_replace(t, r'"?specid"?\s*:?\s*"?w\W{0,3}\d+"?', " ")).otherwise(t)
+    t = F.when(F.contains(t, F.lit('"')), F.regexp_replace(t, r'"(\w+)"', " qq$1 ")).otherwise(t)
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage
-from .endings import Terminality, closing_counts, emptied, opened, shortened_number
+from .endings import Terminality, broken_off, closing_counts, emptied, shortened_number, state_terminality, states
 from .words import Words, hashes, mix
 
 #: Words of a shingle, and the similarity from which two texts are near-copies.
 WIDTH, SIMILAR = 5, 0.8
-#: Bands of min-hash values: 6 bands of 3 find a pair of similarity 0.8 with probability 0.982.
-BANDS, ROWS = 6, 3
+#: Bands of min-hash values: 7 bands of 3 find a pair of similarity 0.8 with probability 0.993.
+BANDS, ROWS = 7, 3
+#: Lengths in words of the beginnings that have a band of their own, so that copies cut anywhere meet their wholes.
+LEVELS = tuple(int(8 * 1.6**k) for k in range(24))
+#: Last characters of a copy that must stand in its whole.
+TAIL = 12
+#: Bits that tell which words follow a beginning.
+AHEAD = 60
 #: Closing runs that end a text less often than this leave it open.
 OPEN = 0.15
 #: From here on an end between two words is sound even where a longer copy goes on.
@@ -33,11 +40,21 @@ def _plain_words(texts: pa.Array) -> Words:
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), coded.dictionary.to_pylist())
 
 
-def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's BANDS hashes of shingle minima, parity sketch and number of distinct shingles; texts of fewer than WIDTH words have one shingle.
+def _slots(level: int) -> tuple[int, int]:
+    """Words after a beginning that are told, up to the next one, and the bits of each."""
+    words = min(AHEAD, LEVELS[level + 1] - LEVELS[level] if level + 1 < len(LEVELS) else AHEAD)
+    return words, AHEAD // words
 
-    The sketch has a bit for the parity of the shingles that fall on it, so two
-    sketches differ in no more bits than the sets differ in shingles.
+
+def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's BANDS hashes of shingle minima, parity sketch and number of distinct shingles; then the hashes of its beginnings, what follows each, their offsets, and which bits of the last one's a copy must share.
+
+    Texts of fewer than WIDTH words have one shingle. The sketch has a bit for
+    the parity of the shingles that fall on it, so two sketches differ in no
+    more bits than the sets differ in shingles. A beginning is hashed at each of
+    LEVELS words that the text has before its last one, by the first band's minima over it; what
+    follows are some bits of each word up to the next level. A copy shares
+    those of all its words but the last, which may be cut.
     """
     w = _plain_words(texts)
     n = len(texts)
@@ -53,6 +70,8 @@ def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = starts + np.maximum(counts - WIDTH, 0)
     run = run[np.minimum(np.arange(total), last[owner])]
     out = np.empty((n, BANDS), np.uint64)
+    reach = [np.flatnonzero(counts > size) for size in LEVELS if n and counts.max() > size]
+    begin = [np.zeros(len(at), np.uint64) for at in reach]
     for b in range(BANDS):
         key = np.zeros(n, np.uint64)
         for r in range(ROWS):
@@ -60,6 +79,9 @@ def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 x = (run ^ np.uint64((0x9E3779B97F4A7C15 * (b * ROWS + r + 1)) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
                 x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
                 key = key * np.uint64(0x100000001B3) + mix(np.minimum.reduceat(x, starts)) if n else key
+                for k, at in enumerate(reach if b == 0 else []):
+                    ends = np.stack([starts[at], starts[at] + LEVELS[k] - WIDTH + 1], 1).ravel()
+                    begin[k] = begin[k] * np.uint64(0x100000001B3) + mix(np.minimum.reduceat(np.append(x, np.uint64(0)), ends)[::2])
         out[:, b] = mix(key, b)
     order = np.lexsort((run, owner))
     run, owner = run[order], owner[order]
@@ -68,7 +90,22 @@ def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     run, owner = run[new], owner[new]
     odd = np.bincount(owner * 64 + (mix(run, 77) % np.uint64(64)).astype(np.int64), minlength=n * 64) % 2
     sketch = np.packbits(odd.astype(bool).reshape(n, 64), axis=1).view(np.int64).ravel()
-    return out, sketch, np.bincount(owner, minlength=n)
+    whose = np.concatenate(reach) if reach else np.zeros(0, np.int64)
+    keys = np.concatenate([mix(x, 200 + k) for k, x in enumerate(begin)]) if reach else np.zeros(0, np.uint64)
+    follow, must = [], np.zeros(n, np.int64)
+    for k, at in enumerate(reach):
+        words, bits = _slots(k)
+        ahead = np.zeros(len(at), np.int64)
+        for i in range(words):
+            have = np.flatnonzero(counts[at] > LEVELS[k] + i)
+            ahead[have] |= (h[starts[at[have]] + LEVELS[k] + i] >> np.uint64(3)).astype(np.int64) % (1 << bits) << (i * bits)
+        follow.append(ahead)
+        shared = np.clip(counts[at] - 1 - LEVELS[k], 0, words) * bits
+        must[at] = (np.int64(1) << shared) - 1
+    follow = np.concatenate(follow) if reach else np.zeros(0, np.int64)
+    order = np.argsort(whose, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=n))]).astype(np.int32)
+    return out, sketch, np.bincount(owner, minlength=n), keys[order], follow[order], offsets, must
 
 
 def band_keys(texts: pa.Array) -> np.ndarray:
@@ -76,33 +113,47 @@ def band_keys(texts: pa.Array) -> np.ndarray:
     return signed(texts)[0]
 
 
+def _shingles(words: list[str]) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))}
+
+
 def jaccard(a: str, b: str) -> float:
     """Similarity of two texts' sets of word shingles."""
-    sets = []
-    for t in (a, b):
-        w = t.split()
-        sets.append({tuple(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))})
-    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
-
+    x, y = _shingles(a.split()), _shingles(b.split())
+    return len(x & y) / max(1, len(x | y))
 
-def near(copy: str, whole: str) -> bool:
-    """Their similarity is SIMILAR or more."""
-    if whole.startswith(copy.rstrip()[: -len(copy.split()[-1])]):
-        # A beginning of the whole: all shingles but the last are shared; repeated ones may change that near the limit.
-        a, b = (max(1, len(t.split()) - WIDTH + 1) for t in (copy, whole))
-        if abs(a / b - SIMILAR) > 0.1 and len(set(whole.split())) > 0.9 * len(whole.split()):
-            return a / b >= SIMILAR
-    return jaccard(copy, whole) >= SIMILAR
 
+def aligned(copy: str, whole: str) -> tuple[str, str] | None:
+    """What ``copy``'s last word lacks of the word that it is aligned with, and the words of ``whole`` after that; None where they are no near-copies up to there.
 
-def goes_on(copy: str, whole: str, tail: int = 24) -> str | None:
-    """What follows in ``whole`` after the place that the end of ``copy`` aligns with; None if there is none inside."""
+    The beginning of ``whole`` that ends where the copy's alignment ends must
+    have the similarity SIMILAR with the copy. A copy that is a beginning
+    itself is aligned as it stands; others by matching blocks of words, of
+    which the last must reach the copy's last or last but one word.
+    """
     copy, whole = copy.rstrip(), whole.rstrip()
-    end = copy[-tail:]
-    if not end or whole.endswith(end):
+    if whole.startswith(copy):
+        rest = whole[len(copy) :]
+        lacks = "" if not rest or rest[0].isspace() else rest.split(None, 1)[0]
+        return lacks, rest[len(lacks) :].strip()
+    a, b = copy.split(), whole.split()
+    blocks = [x for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
+    if not blocks:
+        return None
+    end = blocks[-1]
+    stop, at = end.a + end.size, end.b + end.size
+    if stop < len(a) - 1:
         return None
-    at = whole.rfind(end, 0, len(whole) - 1)
-    return whole[at + len(end) :] if at >= 0 else None
+    lacks = ""
+    if stop == len(a) - 1:
+        # The last word is cut: it begins the one that stands there in the whole.
+        if at >= len(b) or not b[at].startswith(a[-1]):
+            return None
+        lacks, at = b[at][len(a[-1]) :], at + 1
+    x, y = _shingles(a[:stop]), _shingles(b[: at - (1 if lacks else 0)])
+    if len(x & y) < SIMILAR * len(x | y):
+        return None
+    return lacks, " ".join(b[at:])
 
 
 def outputs(candidates: DataFrame, traces: DataFrame) -> DataFrame:
@@ -111,82 +162,140 @@ def outputs(candidates: DataFrame, traces: DataFrame) -> DataFrame:
     return c.unionByName(traces.select(F.lit("traces").alias("tab"), "row_ord", F.col("prediction").alias("text")))
 
 
-def cut_outputs(texts: DataFrame) -> DataFrame:
-    """tab, row_ord, how: the outputs that stop in the middle of a word, sentence or structure.
-
-    how is ``copy`` where a longer near-copy goes on in the middle of the last word or after an unlikely end, ``structure`` where a
-    bracket, fence or list number is left open or a character is broken,
-    ``word`` where the last word is the beginning of another, ``sentence``
-    where the closing words hardly ever end a text.
+def _hashed(texts: DataFrame, counts: list, ending: np.ndarray) -> DataFrame:
+    """tab, row_ord, cls, mark, sketch, how, bands, begins of all outputs that aren't empty.
 
-    Near-copies come from min-hash bands over five-word shingles. In each band
-    bucket every text whose end may be a cut meets all longer texts; equal
-    texts count once. Sketches drop the pairs that can't be similar enough
-    before any text is fetched. Null, blank and empty outputs are no cases;
-    repeated rows are cases of their own.
+    ``mark`` holds a text's length, its number of shingles, whether its end
+    closes it and whether it may be a copy, since what is shuffled here is most of all.
     """
-    spark = texts.sparkSession
-    texts = texts.where(F.col("text").isNotNull())
-    counts = closing_counts(texts)
-    sent = spark.sparkContext.broadcast(counts)
+    sent = texts.sparkSession.sparkContext.broadcast((counts, ending))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Terminality(sent.value)
+        counts, ending = sent.value
+        scorer = Terminality(counts)
         for b in batches:
             b = b.filter(pa.array(~emptied(b.column(2))))
             if not b.num_rows:
                 continue
             t = b.column(2)
-            structure = opened(t)
             score, fragment = scorer.score(t)
-            how = np.where(structure, 1, np.where(fragment, 2, np.where(score < OPEN, 3, 0)))
+            # The state that the end stands in has a terminality of its own.
+            in_state, _ = states(t)
+            score = np.minimum(score, np.where(in_state, ending[:, None], 1.0).min(0))
+            how = np.where(fragment, 2, np.where(score < OPEN, 3, np.where(broken_off(t), 1, 0)))
             strip = pc.utf8_rtrim_whitespace(t)
             digit = pc.match_substring_regex(strip, r"\d$").to_numpy(zero_copy_only=False).astype(bool) & (how == 0)
             for k in np.flatnonzero(digit):
                 if shortened_number(strip[int(k)].as_py()):
                     how[k] = 2
-            keys, sketch, n = signed(t)
+            keys, sketch, n, begins, follow, offsets, must = signed(t)
             closes = score >= CLOSED
             # Only a cut inside a word or an unlikely end can be a copy's; the others are wholes only.
-            asks = ~closes | np.fromiter((x.rstrip()[-1:].isalnum() for x in t.to_pylist()), bool, len(t))
+            asks = ~closes | pc.match_substring_regex(strip, r"[\pL\pN]$").to_numpy(zero_copy_only=False).astype(bool)
             mark = pc.utf8_length(t).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | n << 2 | closes * 2 | asks
-            cols = [b.column(0), b.column(1), b.column(3), pa.array(mark), pa.array(sketch), pa.array(how.astype(np.int8))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))], ["tab", "row_ord", "cls", "mark", "sketch", "how", "bands"])
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(mark), pa.array(sketch), pa.array(how.astype(np.int8)), bands, *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (begins.view(np.int64), follow)), pa.array(must)], ["tab", "row_ord", "cls", "mark", "sketch", "how", "bands", "begins", "follow", "must"])
 
     hashed = texts.select("tab", "row_ord", "text", F.xxhash64("text").alias("cls"))
-    rows = stage(hashed.mapInArrow(scan, "tab string, row_ord long, cls long, mark long, sketch long, how byte, bands array<long>"), "outputs")
-    # One row per distinct text; the bands of equal texts are equal.
-    # A text's size, its number of shingles, whether its end closes it and whether it may be a copy share a number, since what is shuffled here is most of all.
-    bands = rows.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("mark", "sketch", "bands"))).select("cls", "mark", "sketch", F.explode("bands").alias("key"))
-    copies = bands.where(F.col("mark") % 2 == 1)
-    wholes = bands.select("key", F.col("cls").alias("whole"), F.col("mark").alias("most"), F.col("sketch").alias("other"))
+    return hashed.mapInArrow(scan, "tab string, row_ord long, cls long, mark long, sketch long, how byte, bands array<long>, begins array<long>, follow array<long>, must long")
+
+
+def _meetings(each: DataFrame, done: DataFrame | None) -> DataFrame:
+    """cls, whole, closes: texts whose end may be a cut with longer texts that share a band.
+
+    First (``done`` is None) every text meets the longest one of each of its
+    bands only, which is one row a band; afterwards all others, but for the
+    texts that are done. Then bands of whole texts meet where a sketch of the
+    shingles doesn't rule out the similarity; the band of a beginning, where
+    the copy has no longer one and goes on with the same words up to its end.
+    """
+    asks = F.col("mark") % 2 == 1
     longer = F.shiftright("most", 32) > F.shiftright("mark", 32)
+    closes = (F.col("mark").bitwiseAND(2) == 2).alias("closes")
+    bands = each.select("cls", "mark", "sketch", F.explode("bands").alias("key"))
+    begins = each.select(F.col("cls").alias("whole"), F.col("mark").alias("most"), F.explode(F.arrays_zip("begins", "follow")).alias("b")).select("whole", "most", F.col("b.begins").alias("key"), "b.follow")
+    ask = bands.where(asks)
+    top = each.where(asks & (F.size("begins") > 0)).select("cls", "mark", "must", F.element_at("begins", -1).alias("key"), F.element_at("follow", -1).alias("mine"))
+    if done is None:
+        hub = lambda d, *c: d.groupBy("key").agg(F.max_by(F.struct("whole", *c), "most").alias("h"), F.max("most").alias("most")).select("key", "h.*", "most")
+        wholes = hub(bands.select("key", F.col("cls").alias("whole"), F.col("mark").alias("most"), F.col("sketch").alias("other")), "other")
+        begins = hub(begins, "follow")
+    else:
+        wholes = bands.select("key", F.col("cls").alias("whole"), F.col("mark").alias("most"), F.col("sketch").alias("other"))
+        ask, top = ask.join(done, "cls", "left_anti"), top.join(done, "cls", "left_anti")
     shingles = lambda c: F.shiftright(F.col(c).bitwiseAND((1 << 32) - 1), 2)
-    # Sets of a and b shingles that differ in d of them are SIMILAR up to 9 d = a + b; ``near`` lets two more pass for beginnings.
+    # Sets of a and b shingles that differ in d of them are SIMILAR up to 9 d = a + b; two more pass for a cut last word.
     differ = F.greatest(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other"))), F.abs(shingles("mark") - shingles("most")))
     alike = differ * 9 <= shingles("mark") + shingles("most") + 18
-    pairs = copies.join(wholes, "key").where(longer & alike).select("cls", "whole", (F.col("mark").bitwiseAND(2) == 2).alias("closes")).distinct()
-    pairs = stage(pairs, "near")
+    same = F.col("mine").bitwiseXOR(F.col("follow")).bitwiseAND(F.col("must")) == 0
+    whole = ask.join(wholes, "key").where(longer & alike).select("cls", "whole", closes)
+    begun = top.join(begins, "key").where(longer & same).select("cls", "whole", closes)
+    return whole.unionByName(begun).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """cls: copies of the pairs whose alignment ends early in a verified whole."""
     need = pairs.select("cls").union(pairs.select("whole")).distinct()
-    text = hashed.select("cls", "text").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
+    text = texts.select(F.xxhash64("text").alias("cls"), "text").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
     text = stage(text, "near-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[int] = set()  # one whole is enough
             for cls, x, y, closes in zip(*(b.column(j).to_pylist() for j in range(4))):
-                rest = None if cls in found else goes_on(x, y)
-                mid = bool(rest) and x.rstrip()[-1].isalnum() and rest[0].isalnum()
+                if cls in found:
+                    continue
+                got = aligned(x, y)
+                if got is None:
+                    continue
+                lacks, after = got
+                mid = lacks[:1].isalnum() and x.rstrip()[-1].isalnum()
                 # Between words, a longer copy may just have gone on after a sound end.
-                if rest and (mid or not closes) and near(x, y):
+                if mid or (not closes and (lacks or after)):
                     found.add(cls)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64())], ["cls"])
 
     whole = text.select(F.col("cls").alias("whole"), F.col("text").alias("whole_text"))
-    early = pairs.join(whole, "whole").join(text, "cls").select("cls", "text", "whole_text", "closes").mapInArrow(verify, "cls long")
-    early = early.distinct().withColumn("copy", F.lit(True))
+    # The copy's last characters stand in the whole, or nothing there is aligned with its end.
+    tail = F.right(F.regexp_replace("text", r"\s+$", ""), F.lit(TAIL))
+    both = pairs.join(whole, "whole").join(text.withColumn("tail", tail), "cls").where(F.contains("whole_text", "tail"))
+    return stage(both.select("cls", "text", "whole_text", "closes").mapInArrow(verify, "cls long").distinct(), "verified")
+
+
+def cut_copies(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """cls: hashes of texts that are near-copies of a longer text and end early in it.
+
+    One whole is enough. The longest text of each band is tried first; only
+    texts that it doesn't settle meet all others, so that a band that many
+    copies share costs one meeting a copy.
+    """
+    # One row per distinct text; the bands of equal texts are equal.
+    each = stage(rows.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("mark", "sketch", "bands", "begins", "follow", "must"))), "classes")
+    first = _verified(stage(_meetings(each, None), "near"), texts)
+    rest = stage(_meetings(each, first).join(first, "cls", "left_anti"), "near")
+    return first.unionByName(_verified(rest, texts))
+
+
+def cut_outputs(texts: DataFrame) -> DataFrame:
+    """tab, row_ord, how: the outputs that stop in the middle of a word, sentence or structure.
+
+    how is ``copy`` where a longer near-copy goes on in the middle of the last
+    word or after an unlikely end, ``word`` where the last word is the
+    beginning of another, ``sentence`` where the closing words, or the bracket,
+    fence or list mark that is open there, hardly ever end a text, ``mark``
+    where a character is broken or a mark says that more followed.
+
+    Near-copies come from min-hash bands over five-word shingles of whole texts
+    and of their beginnings, and are verified on the part that they are aligned
+    with. Equal texts count once. Null, blank and empty outputs are no cases;
+    repeated rows are cases of their own.
+    """
+    texts = texts.where(F.col("text").isNotNull())
+    counts, ending = closing_counts(texts), state_terminality(texts)
+    rows = stage(_hashed(texts, counts, ending), "outputs")
+    early = cut_copies(rows, texts).withColumn("copy", F.lit(True))
     out = rows.select("tab", "row_ord", "cls", "how").join(early, "cls", "left")
-    name = F.when(F.col("copy"), "copy").when(F.col("how") == 1, "structure").when(F.col("how") == 2, "word").when(F.col("how") == 3, "sentence")
+    name = F.when(F.col("copy"), "copy").when(F.col("how") == 1, "mark").when(F.col("how") == 2, "word").when(F.col("how") == 3, "sentence")
     return out.select("tab", "row_ord", name.alias("how")).where("how is not null")
 
 
