@@ -79,49 +79,41 @@ def opened(texts: pa.Array) -> np.ndarray:
 
 #: States that the closing words may stand in, besides none of them.
 STATES = ("bracket", "fence", "item")
+_STEP = np.zeros(256, np.int8)
+_STEP[[ord(c) for c in "{[("]] = 1
+_STEP[[ord(c) for c in "}])"]] = -1
 _ITEM = r"\n\s*(?:\d{1,4}[.)]|[-*])"
 
 
-def states(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of each of STATES: the texts that end in it, and how many words of all texts go on in it.
+def states(texts: pa.Array) -> np.ndarray:
+    """Of each of STATES, whether a text ends in it.
 
     bracket: one that was opened is not closed yet; fence: a fence of three
     ticks is open; item: a list mark stands alone on its line.
     """
     data, offsets = _bytes(texts)
-    n = len(texts)
+    step = _STEP[data]
+    sums = np.concatenate([[0], np.cumsum(step, dtype=np.int64)])
+    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    strip = pc.utf8_slice_codeunits(pc.utf8_rtrim_whitespace(t), -24)
+    fence = np.zeros(len(texts), bool)
+    ticks = pc.match_substring(t, "```").to_numpy(zero_copy_only=False).astype(bool)
+    fence[ticks] = pc.count_substring(t.filter(pa.array(ticks)), "```").to_numpy(zero_copy_only=False) % 2 == 1
+    item = pc.match_substring_regex(strip, f"(?:{_ITEM}|^\\s*(?:\\d{{1,4}}[.)]|[-*]))$").to_numpy(zero_copy_only=False).astype(bool)
+    return np.stack([sums[offsets[1:]] > sums[offsets[:-1]], fence, item])
+
+
+def words_in_states(texts: pa.Array) -> np.ndarray:
+    """How many words of all texts go on in each of STATES."""
+    data, offsets = _bytes(texts)
+    depth = np.cumsum(_STEP[data], dtype=np.int64)
+    size = np.diff(offsets)
+    depth -= np.repeat(np.concatenate([[0], depth])[offsets[:-1]], size)
+    within = int((((data == 32) | (data == 10)) & (depth > 0)).sum())
     t = pc.fill_null(texts.cast(pa.large_string()), "")
-    step = np.zeros(256, np.int8)
-    step[[ord(c) for c in "{[("]] = 1
-    step[[ord(c) for c in "}])"]] = -1
-    space = (data == 32) | (data == 10)
-    tick = data == ord("`")
-    at = np.flatnonzero(step[data] != 0)
-    change = step[data[at]].astype(np.int64)
-    owner = np.searchsorted(offsets, at, "right") - 1
-    run = np.cumsum(change)
-    before = np.concatenate([[0], run])[np.searchsorted(at, offsets[:-1])] if len(at) else np.zeros(n, np.int64)
-    depth = run - before[owner] if len(at) else run
-    last = np.searchsorted(at, offsets[1:]) - 1
-    ends_open = np.zeros(n, bool)
-    some = np.bincount(owner, minlength=n) > 0 if len(at) else ends_open
-    ends_open[some] = depth[last[some]] > 0
-    # Words inside: the spaces between one bracket and the next while any is open.
-    spaces = np.cumsum(space)
-    upto = np.append(at[1:], len(data))
-    upto = np.minimum(upto, offsets[1:][owner]) if len(at) else upto[:0]
-    within = np.where(depth > 0, spaces[upto - 1] - spaces[at], 0).sum() if len(at) else 0
-    fence = np.zeros(n, bool)
-    fenced = 0
-    has = np.flatnonzero(np.bincount(np.searchsorted(offsets, np.flatnonzero(tick), "right") - 1, minlength=n)[:n] >= 3) if tick.any() else np.zeros(0, np.int64)
-    for k in has:
-        parts = t[int(k)].as_py().split("```")
-        fence[k] = len(parts) % 2 == 0
-        fenced += sum(len(x.split()) for x in parts[1::2])
-    strip = pc.utf8_rtrim_whitespace(t)
-    item = pc.match_substring_regex(pc.utf8_slice_codeunits(strip, -24), f"(?:{_ITEM}|^\\s*(?:\\d{{1,4}}[.)]|[-*]))$").to_numpy(zero_copy_only=False).astype(bool)
+    fenced = sum(len(x.split()) for y in t.filter(pc.match_substring(t, "```")).to_pylist() for x in y.split("```")[1::2])
     items = pc.sum(pc.count_substring_regex(t, _ITEM + r"\s+\S")).as_py() or 0
-    return np.stack([ends_open, fence, item]), np.array([within, fenced, items], np.int64)
+    return np.array([within, fenced, items], np.int64)
 
 
 def broken_off(texts: pa.Array) -> np.ndarray:
@@ -130,22 +122,6 @@ def broken_off(texts: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(end, r"(?:\x{FFFD}|\x{2026}|\.\.\.|\[\.\.\.\]|[^`]`{1,2})$").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def state_terminality(texts: DataFrame) -> np.ndarray:
-    """Of each of STATES how often a text ends in it, among all words that stand in it; 1 where none does. Counted over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * len(STATES), np.int64)
-        for b in batches:
-            ends, inside = states(b.column(0))
-            total += np.concatenate([ends.sum(1), inside])
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], [f"c{k}" for k in range(len(total))])
-
-    columns = [f"c{k}" for k in range(2 * len(STATES))]
-    row = texts.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in columns)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns)).first()
-    ends, inside = np.array(row[: len(STATES)], float), np.array(row[len(STATES) :], float)
-    return np.where(ends + inside > 0, ends / np.maximum(1, ends + inside), 1.0)
-
-
 def closed(texts: pa.Array) -> np.ndarray:
     """Texts whose last character closes a sentence or structure."""
     end = pc.utf8_slice_codeunits(pc.utf8_rtrim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")), -1)
@@ -219,9 +195,12 @@ def _closing(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[str],
     return has, runs, last, np.stack(_extension_key(before, part)) if len(has) else np.zeros((2, 0), np.int64)
 
 
-def closing_counts(texts: DataFrame) -> list[np.ndarray | str]:
+def closing_counts(texts: DataFrame, with_states: bool = False) -> list[np.ndarray | str] | tuple[list[np.ndarray | str], np.ndarray]:
     """How often the closing runs of the column ``text`` end a text and how often they go on.
 
+    with_states: and the terminality of each of STATES, which is how often a
+    text ends in it among all words that stand in it; 1 where none does.
+
     The first pass gathers the closing runs, the second counts them inside all
     texts, whole texts as they are. Each part of the result has sorted keys and
     both counts as its rows and holds the keys of one remainder by the number
@@ -233,17 +212,26 @@ def closing_counts(texts: DataFrame) -> list[np.ndarray | str]:
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, int] = {}
+        in_state = np.zeros(2 * len(STATES), np.int64)
         for b in batches:
             t = b.column(0)
+            if with_states:
+                in_state += np.concatenate([states(t).sum(1), words_in_states(t)])
             t = t.filter(pa.array(~closed(t)))
             t = t.filter(pa.array(~opened(t) & ~emptied(t)))
             _, runs, _, ext = _closing(t)
             keys, n = np.unique(np.concatenate([*runs, *ext]), return_counts=True)
             for k, c in zip(keys.tolist(), n.tolist()):
                 kept[k] = kept.get(k, 0) + c
+        # States have keys below zero.
+        kept |= {-1 - k: int(n) for k, n in enumerate(in_state) if n}
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.int64())], ["key", "n"])
 
-    closing = stage(texts.select("text").mapInArrow(ends, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "closing")
+    counted = stage(texts.select("text").mapInArrow(ends, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "closing")
+    closing = counted.where("key >= 0")
+    of = {-1 - r["key"]: r["n"] for r in counted.where("key < 0").collect()}
+    stand = [(of.get(k, 0), of.get(k + len(STATES), 0)) for k in range(len(STATES))]
+    terminality = np.array([e / (e + i) if e + i else 1.0 for e, i in stand])
     parts = max(1, -(-closing.count() // KEYS))
     fold = lambda keys: (keys >> BITS) << 20 | (keys & ((1 << 20) - 1))
     # Words that end some text, of all parts.
@@ -263,7 +251,7 @@ def closing_counts(texts: DataFrame) -> list[np.ndarray | str]:
             spark.sparkContext.addFile(path)
             counted = path.rsplit("/", 1)[1]
         out.append(counted)
-    return out
+    return (out, terminality) if with_states else out
 
 
 def _inside(texts: DataFrame, keys: np.ndarray, sent_words: Broadcast, fold: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

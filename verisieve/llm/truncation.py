@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage
-from .endings import Terminality, broken_off, closing_counts, emptied, shortened_number, state_terminality, states
+from .endings import Terminality, broken_off, closing_counts, emptied, shortened_number, states
 from .words import Words, hashes, mix
 
 #: Words of a shingle, and the similarity from which two texts are near-copies.
@@ -20,7 +20,7 @@ WIDTH, SIMILAR = 5, 0.8
 #: Bands of min-hash values: 7 bands of 3 find a pair of similarity 0.8 with probability 0.993.
 BANDS, ROWS = 7, 3
 #: Lengths in words of the beginnings that have a band of their own, so that copies cut anywhere meet their wholes.
-LEVELS = tuple(int(8 * 1.6**k) for k in range(24))
+LEVELS = tuple(8 * 2**k for k in range(17))
 #: Last characters of a copy that must stand in its whole.
 TAIL = 12
 #: Bits that tell which words follow a beginning.
@@ -180,7 +180,7 @@ def _hashed(texts: DataFrame, counts: list, ending: np.ndarray) -> DataFrame:
             t = b.column(2)
             score, fragment = scorer.score(t)
             # The state that the end stands in has a terminality of its own.
-            in_state, _ = states(t)
+            in_state = states(t)
             score = np.minimum(score, np.where(in_state, ending[:, None], 1.0).min(0))
             how = np.where(fragment, 2, np.where(score < OPEN, 3, np.where(broken_off(t), 1, 0)))
             strip = pc.utf8_rtrim_whitespace(t)
@@ -203,34 +203,30 @@ def _hashed(texts: DataFrame, counts: list, ending: np.ndarray) -> DataFrame:
 def _meetings(each: DataFrame, done: DataFrame | None) -> DataFrame:
     """cls, whole, closes: texts whose end may be a cut with longer texts that share a band.
 
-    First (``done`` is None) every text meets the longest one of each of its
-    bands only, which is one row a band; afterwards all others, but for the
-    texts that are done. Then bands of whole texts meet where a sketch of the
-    shingles doesn't rule out the similarity; the band of a beginning, where
-    the copy has no longer one and goes on with the same words up to its end.
+    The band of a beginning meets where the copy has no longer one and goes on
+    with the same words up to its end; first (``done`` is None) one such text,
+    the longest, is kept for each copy, afterwards all of them, but for the
+    copies that are done. Bands of whole texts come with these; they meet where
+    a sketch of the shingles doesn't rule out the similarity.
     """
     asks = F.col("mark") % 2 == 1
     longer = F.shiftright("most", 32) > F.shiftright("mark", 32)
     closes = (F.col("mark").bitwiseAND(2) == 2).alias("closes")
-    bands = each.select("cls", "mark", "sketch", F.explode("bands").alias("key"))
-    begins = each.select(F.col("cls").alias("whole"), F.col("mark").alias("most"), F.explode(F.arrays_zip("begins", "follow")).alias("b")).select("whole", "most", F.col("b.begins").alias("key"), "b.follow")
-    ask = bands.where(asks)
+    same = F.col("mine").bitwiseXOR(F.col("follow")).bitwiseAND(F.col("must")) == 0
     top = each.where(asks & (F.size("begins") > 0)).select("cls", "mark", "must", F.element_at("begins", -1).alias("key"), F.element_at("follow", -1).alias("mine"))
+    begins = each.select(F.col("cls").alias("whole"), F.col("mark").alias("most"), F.explode(F.arrays_zip("begins", "follow")).alias("b")).select("whole", "most", F.col("b.begins").alias("key"), "b.follow")
+    begun = lambda top, begins: top.join(begins, "key").where(longer & same).select("cls", "whole", closes, "most")
     if done is None:
-        hub = lambda d, *c: d.groupBy("key").agg(F.max_by(F.struct("whole", *c), "most").alias("h"), F.max("most").alias("most")).select("key", "h.*", "most")
-        wholes = hub(bands.select("key", F.col("cls").alias("whole"), F.col("mark").alias("most"), F.col("sketch").alias("other")), "other")
-        begins = hub(begins, "follow")
-    else:
-        wholes = bands.select("key", F.col("cls").alias("whole"), F.col("mark").alias("most"), F.col("sketch").alias("other"))
-        ask, top = ask.join(done, "cls", "left_anti"), top.join(done, "cls", "left_anti")
+        return begun(top, begins).groupBy("cls", "closes").agg(F.max_by("whole", "most").alias("whole")).select("cls", "whole", "closes")
+    bands = each.select("cls", "mark", "sketch", F.explode("bands").alias("key"))
+    wholes = bands.select("key", F.col("cls").alias("whole"), F.col("mark").alias("most"), F.col("sketch").alias("other"))
     shingles = lambda c: F.shiftright(F.col(c).bitwiseAND((1 << 32) - 1), 2)
     # Sets of a and b shingles that differ in d of them are SIMILAR up to 9 d = a + b; two more pass for a cut last word.
     differ = F.greatest(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other"))), F.abs(shingles("mark") - shingles("most")))
     alike = differ * 9 <= shingles("mark") + shingles("most") + 18
-    same = F.col("mine").bitwiseXOR(F.col("follow")).bitwiseAND(F.col("must")) == 0
+    ask, top = bands.where(asks).join(done, "cls", "left_anti"), top.join(done, "cls", "left_anti")
     whole = ask.join(wholes, "key").where(longer & alike).select("cls", "whole", closes)
-    begun = top.join(begins, "key").where(longer & same).select("cls", "whole", closes)
-    return whole.unionByName(begun).distinct()
+    return whole.unionByName(begun(top, begins).drop("most")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -255,19 +251,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     found.add(cls)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64())], ["cls"])
 
+    # The copy's last characters stand in the whole, or nothing there is aligned with its end; only they travel to the wholes.
+    tail = text.select("cls", F.right(F.regexp_replace("text", r"\s+$", ""), F.lit(TAIL)).alias("tail"))
     whole = text.select(F.col("cls").alias("whole"), F.col("text").alias("whole_text"))
-    # The copy's last characters stand in the whole, or nothing there is aligned with its end.
-    tail = F.right(F.regexp_replace("text", r"\s+$", ""), F.lit(TAIL))
-    both = pairs.join(whole, "whole").join(text.withColumn("tail", tail), "cls").where(F.contains("whole_text", "tail"))
+    both = pairs.join(tail, "cls").join(whole, "whole").where(F.contains("whole_text", "tail")).join(text, "cls")
     return stage(both.select("cls", "text", "whole_text", "closes").mapInArrow(verify, "cls long").distinct(), "verified")
 
 
 def cut_copies(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """cls: hashes of texts that are near-copies of a longer text and end early in it.
 
-    One whole is enough. The longest text of each band is tried first; only
-    texts that it doesn't settle meet all others, so that a band that many
-    copies share costs one meeting a copy.
+    One whole is enough. The longest text that goes on as a copy does is tried
+    first; only copies that it doesn't settle meet all others, so that a band
+    that many copies share costs one alignment a copy.
     """
     # One row per distinct text; the bands of equal texts are equal.
     each = stage(rows.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("mark", "sketch", "bands", "begins", "follow", "must"))), "classes")
@@ -291,7 +287,7 @@ def cut_outputs(texts: DataFrame) -> DataFrame:
     repeated rows are cases of their own.
     """
     texts = texts.where(F.col("text").isNotNull())
-    counts, ending = closing_counts(texts), state_terminality(texts)
+    counts, ending = closing_counts(texts, with_states=True)
     rows = stage(_hashed(texts, counts, ending), "outputs")
     early = cut_copies(rows, texts).withColumn("copy", F.lit(True))
     out = rows.select("tab", "row_ord", "cls", "how").join(early, "cls", "left")
