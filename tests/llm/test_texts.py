@@ -123,7 +123,7 @@ def test_states_have_their_terminality(spark):
     _, p = endings.closing_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), with_states=True)
     assert np.allclose(p, [1 / 185, 1 / 5, 1 / 2])
     assert endings.closing_counts(spark.createDataFrame([], "text string"), with_states=True)[1].tolist() == [1.0, 1.0, 1.0]
-    assert endings.broken_off(pa.array(["ta\ufffd", "and so\u2026", "La dis [...]", "Done.", None, "`` `x`"])).tolist() == [True, True, True, False, False, False]
+    assert endings.broken_off(pa.array(["ta\ufffd", "and so\u2026", "La dis [...]", "Done.", None, ""])).tolist() == [True, True, True, False, False, False]
 
 
 def test_bands_find_near_copies():

@@ -93,23 +93,28 @@ def states(texts: pa.Array) -> np.ndarray:
     """
     data, offsets = _bytes(texts)
     step = _STEP[data]
-    sums = np.concatenate([[0], np.cumsum(step, dtype=np.int64)])
+    at = np.flatnonzero(step)
+    sums = np.concatenate([[0], np.cumsum(step[at], dtype=np.int64)])[np.searchsorted(at, offsets)]
     t = pc.fill_null(texts.cast(pa.large_string()), "")
     strip = pc.utf8_slice_codeunits(pc.utf8_rtrim_whitespace(t), -24)
     fence = np.zeros(len(texts), bool)
     ticks = pc.match_substring(t, "```").to_numpy(zero_copy_only=False).astype(bool)
     fence[ticks] = pc.count_substring(t.filter(pa.array(ticks)), "```").to_numpy(zero_copy_only=False) % 2 == 1
     item = pc.match_substring_regex(strip, f"(?:{_ITEM}|^\\s*(?:\\d{{1,4}}[.)]|[-*]))$").to_numpy(zero_copy_only=False).astype(bool)
-    return np.stack([sums[offsets[1:]] > sums[offsets[:-1]], fence, item])
+    return np.stack([sums[1:] > sums[:-1], fence, item])
 
 
 def words_in_states(texts: pa.Array) -> np.ndarray:
     """How many words of all texts go on in each of STATES."""
     data, offsets = _bytes(texts)
-    depth = np.cumsum(_STEP[data], dtype=np.int64)
-    size = np.diff(offsets)
-    depth -= np.repeat(np.concatenate([[0], depth])[offsets[:-1]], size)
-    within = int((((data == 32) | (data == 10)) & (depth > 0)).sum())
+    at = np.flatnonzero(_STEP[data])
+    run = np.concatenate([[0], np.cumsum(_STEP[data[at]], dtype=np.int64)])
+    begin = np.searchsorted(at, offsets)
+    owner = np.repeat(np.arange(len(texts)), np.diff(begin))
+    # From one bracket to the next, or to the text's end, spaces count where any is open.
+    until = np.minimum(np.append(at[1:], len(data)), offsets[1:][owner])
+    spaces = np.flatnonzero((data == 32) | (data == 10))
+    within = int(((np.searchsorted(spaces, until) - np.searchsorted(spaces, at)) * (run[1:] > run[begin[owner]])).sum())
     t = pc.fill_null(texts.cast(pa.large_string()), "")
     fenced = sum(len(x.split()) for y in t.filter(pc.match_substring(t, "```")).to_pylist() for x in y.split("```")[1::2])
     items = pc.sum(pc.count_substring_regex(t, _ITEM + r"\s+\S")).as_py() or 0

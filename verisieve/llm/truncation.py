@@ -23,6 +23,8 @@ BANDS, ROWS = 7, 3
 LEVELS = tuple(8 * 2**k for k in range(17))
 #: Last characters of a copy that must stand in its whole.
 TAIL = 12
+#: Hashes of texts that are sent to all tasks at most.
+SENT = 1_000_000
 #: Bits that tell which words follow a beginning.
 AHEAD = 60
 #: Closing runs that end a text less often than this leave it open.
@@ -69,6 +71,11 @@ def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     owner = w.owners()
     last = starts + np.maximum(counts - WIDTH, 0)
     run = run[np.minimum(np.arange(total), last[owner])]
+    # Each order of the shingles is a multiply-add of the halves of their hashes.
+    mixed = mix(run, 1)
+    low, high = mixed.astype(np.uint32), (mixed >> np.uint64(32)).astype(np.uint32)
+    odd = mix(np.arange(2 * BANDS * ROWS, dtype=np.uint64), 5).astype(np.uint32) | np.uint32(1)
+    x, y = np.empty(total, np.uint32), np.empty(total, np.uint32)
     out = np.empty((n, BANDS), np.uint64)
     reach = [np.flatnonzero(counts > size) for size in LEVELS if n and counts.max() > size]
     begin = [np.zeros(len(at), np.uint64) for at in reach]
@@ -76,20 +83,20 @@ def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         key = np.zeros(n, np.uint64)
         for r in range(ROWS):
             with np.errstate(over="ignore"):
-                x = (run ^ np.uint64((0x9E3779B97F4A7C15 * (b * ROWS + r + 1)) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
-                x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
-                key = key * np.uint64(0x100000001B3) + mix(np.minimum.reduceat(x, starts)) if n else key
+                np.multiply(low, odd[2 * (b * ROWS + r)], out=x)
+                np.multiply(high, odd[2 * (b * ROWS + r) + 1], out=y)
+                x += y
+                key = key * np.uint64(0x100000001B3) + mix(np.minimum.reduceat(x, starts).astype(np.uint64)) if n else key
                 for k, at in enumerate(reach if b == 0 else []):
                     ends = np.stack([starts[at], starts[at] + LEVELS[k] - WIDTH + 1], 1).ravel()
-                    begin[k] = begin[k] * np.uint64(0x100000001B3) + mix(np.minimum.reduceat(np.append(x, np.uint64(0)), ends)[::2])
+                    begin[k] = begin[k] * np.uint64(0x100000001B3) + mix(np.minimum.reduceat(x, np.minimum(ends, total - 1))[::2].astype(np.uint64))
         out[:, b] = mix(key, b)
-    order = np.lexsort((run, owner))
-    run, owner = run[order], owner[order]
-    new = np.ones(total, bool)
-    new[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
-    run, owner = run[new], owner[new]
-    odd = np.bincount(owner * 64 + (mix(run, 77) % np.uint64(64)).astype(np.int64), minlength=n * 64) % 2
-    sketch = np.packbits(odd.astype(bool).reshape(n, 64), axis=1).view(np.int64).ravel()
+    # Distinct shingles of each text: its number above 40 bits of the hash.
+    each = np.sort(owner.astype(np.uint64) << np.uint64(40) | mixed >> np.uint64(24))
+    each = each[np.append(True, each[1:] != each[:-1])] if total else each
+    owner = (each >> np.uint64(40)).astype(np.int64)
+    parity = np.bincount(owner * 64 + (each & np.uint64(63)).astype(np.int64), minlength=n * 64) % 2
+    sketch = np.packbits(parity.astype(bool).reshape(n, 64), axis=1).view(np.int64).ravel()
     whose = np.concatenate(reach) if reach else np.zeros(0, np.int64)
     keys = np.concatenate([mix(x, 200 + k) for k, x in enumerate(begin)]) if reach else np.zeros(0, np.uint64)
     follow, must = [], np.zeros(n, np.int64)
@@ -231,7 +238,10 @@ def _meetings(each: DataFrame, done: DataFrame | None) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """cls: copies of the pairs whose alignment ends early in a verified whole."""
-    need = pairs.select("cls").union(pairs.select("whole")).distinct()
+    need = stage(pairs.select("cls").union(pairs.select("whole")).distinct(), "need")
+    # A set of hashes of checked size goes to the texts; a larger one makes them come to it.
+    if need.count() <= SENT:
+        need = F.broadcast(need)
     text = texts.select(F.xxhash64("text").alias("cls"), "text").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
     text = stage(text, "near-texts")
 
