@@ -104,21 +104,20 @@ def states(texts: pa.Array) -> np.ndarray:
     return np.stack([sums[1:] > sums[:-1], fence, item])
 
 
-def words_in_states(texts: pa.Array) -> np.ndarray:
-    """How many words of all texts go on in each of STATES."""
+def goings_on(texts: pa.Array) -> np.ndarray:
+    """How often texts go on in each of STATES: brackets after which one is open, words in fences, list marks with words after them."""
     data, offsets = _bytes(texts)
     at = np.flatnonzero(_STEP[data])
     run = np.concatenate([[0], np.cumsum(_STEP[data[at]], dtype=np.int64)])
     begin = np.searchsorted(at, offsets)
-    owner = np.repeat(np.arange(len(texts)), np.diff(begin))
-    # From one bracket to the next, or to the text's end, spaces count where any is open.
-    until = np.minimum(np.append(at[1:], len(data)), offsets[1:][owner])
-    spaces = np.flatnonzero((data == 32) | (data == 10))
-    within = int(((np.searchsorted(spaces, until) - np.searchsorted(spaces, at)) * (run[1:] > run[begin[owner]])).sum())
+    held = (run[1:] > np.repeat(run[begin[:-1]], np.diff(begin))).sum()
+    # The last bracket of a text goes on nowhere.
+    last = begin[1:][np.diff(begin) > 0]
+    held -= (run[last] > run[begin[:-1][np.diff(begin) > 0]]).sum()
     t = pc.fill_null(texts.cast(pa.large_string()), "")
     fenced = sum(len(x.split()) for y in t.filter(pc.match_substring(t, "```")).to_pylist() for x in y.split("```")[1::2])
     items = pc.sum(pc.count_substring_regex(t, _ITEM + r"\s+\S")).as_py() or 0
-    return np.array([within, fenced, items], np.int64)
+    return np.array([held, fenced, items], np.int64)
 
 
 def broken_off(texts: pa.Array) -> np.ndarray:
@@ -200,11 +199,18 @@ def _closing(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[str],
     return has, runs, last, np.stack(_extension_key(before, part)) if len(has) else np.zeros((2, 0), np.int64)
 
 
+def _sorted(got: pa.Table) -> np.ndarray:
+    """Keys in order and their counts."""
+    keys, n = got.column(0).to_numpy(), got.column(1).to_numpy()
+    order = np.argsort(keys)
+    return np.stack([keys[order], n[order]])
+
+
 def closing_counts(texts: DataFrame, with_states: bool = False) -> list[np.ndarray | str] | tuple[list[np.ndarray | str], np.ndarray]:
     """How often the closing runs of the column ``text`` end a text and how often they go on.
 
     with_states: and the terminality of each of STATES, which is how often a
-    text ends in it among all words that stand in it; 1 where none does.
+    text ends in it among all that stand in it; 1 where none does.
 
     The first pass gathers the closing runs, the second counts them inside all
     texts, whole texts as they are. Each part of the result has sorted keys and
@@ -221,7 +227,7 @@ def closing_counts(texts: DataFrame, with_states: bool = False) -> list[np.ndarr
         for b in batches:
             t = b.column(0)
             if with_states:
-                in_state += np.concatenate([states(t).sum(1), words_in_states(t)])
+                in_state += np.concatenate([states(t).sum(1), goings_on(t)])
             t = t.filter(pa.array(~closed(t)))
             t = t.filter(pa.array(~opened(t) & ~emptied(t)))
             _, runs, _, ext = _closing(t)
@@ -234,28 +240,32 @@ def closing_counts(texts: DataFrame, with_states: bool = False) -> list[np.ndarr
 
     counted = stage(texts.select("text").mapInArrow(ends, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "closing")
     closing = counted.where("key >= 0")
-    of = {-1 - r["key"]: r["n"] for r in counted.where("key < 0").collect()}
+    parts = max(1, -(-counted.count() // KEYS))
+    # Where one part holds all, it is fetched once.
+    table = _sorted(counted.toArrow()) if parts == 1 else None
+    few = _sorted(counted.where("key < 0").toArrow()) if table is None else table[:, table[0] < 0]
+    of = {int(-1 - k): int(n) for k, n in few.T}
     stand = [(of.get(k, 0), of.get(k + len(STATES), 0)) for k in range(len(STATES))]
     terminality = np.array([e / (e + i) if e + i else 1.0 for e, i in stand])
-    parts = max(1, -(-closing.count() // KEYS))
     fold = lambda keys: (keys >> BITS) << 20 | (keys & ((1 << 20) - 1))
     # Words that end some text, of all parts.
     words = np.zeros(FAMILIES << 20, bool)
-    ends_with = closing.where(F.shiftright("key", BITS) == 3).select(F.col("key").bitwiseAND((1 << 20) - 1).alias("low")).distinct()
-    words[(3 << 20) + ends_with.toArrow().column(0).to_numpy()] = True
+    if table is None:
+        ends_with = closing.where(F.shiftright("key", BITS) == 3).select(F.col("key").bitwiseAND((1 << 20) - 1).alias("low")).distinct().toArrow().column(0).to_numpy()
+    else:
+        ends_with = table[0][table[0] >> BITS == 3] & ((1 << 20) - 1)
+    words[(3 << 20) + ends_with] = True
     sent_words = spark.sparkContext.broadcast(words)
     out: list[np.ndarray | str] = []
     for part in range(parts):
-        got = closing.where(F.pmod("key", F.lit(parts)) == part).toArrow()
-        keys, n_end = got.column(0).to_numpy(), got.column(1).to_numpy()
-        order = np.argsort(keys)
-        counted = np.stack([keys[order], n_end[order], _inside(texts, keys[order], sent_words, fold)])
+        keys, n_end = table[:, table[0] >= 0] if table is not None else _sorted(closing.where(F.pmod("key", F.lit(parts)) == part).toArrow())
+        done = np.stack([keys, n_end, _inside(texts, keys, sent_words, fold)])
         if parts > 1:
             path = f"{tempfile.mkdtemp(prefix='verisieve-')}/closing-{uuid.uuid4().hex}.npy"
-            np.save(path, counted)
+            np.save(path, done)
             spark.sparkContext.addFile(path)
-            counted = path.rsplit("/", 1)[1]
-        out.append(counted)
+            done = path.rsplit("/", 1)[1]
+        out.append(done)
     return (out, terminality) if with_states else out
 
 

@@ -22,7 +22,7 @@ BANDS, ROWS = 7, 3
 #: Lengths in words of the beginnings that have a band of their own, so that copies cut anywhere meet their wholes.
 LEVELS = tuple(8 * 2**k for k in range(17))
 #: Last characters of a copy that must stand in its whole.
-TAIL = 12
+TAIL = 16
 #: Hashes of texts that are sent to all tasks at most.
 SENT = 1_000_000
 #: Bits that tell which words follow a beginning.
@@ -144,6 +144,14 @@ def aligned(copy: str, whole: str) -> tuple[str, str] | None:
         lacks = "" if not rest or rest[0].isspace() else rest.split(None, 1)[0]
         return lacks, rest[len(lacks) :].strip()
     a, b = copy.split(), whole.split()
+    # Only where the copy's last characters stand after a part that is similar enough is it worth aligning.
+    mine, tail, at = _shingles(a[:-1]), copy[-TAIL:], -1
+    while (at := whole.find(tail, at + 1)) >= 0:
+        part = _shingles(whole[: at + len(tail)].split()[:-1])
+        if len(mine & part) >= SIMILAR * len(mine | part) - 2:
+            break
+    else:
+        return None
     blocks = [x for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
     if not blocks:
         return None
