@@ -163,16 +163,55 @@ def test_defective_pairs(spark):
     assert defects.defective_pairs(r.limit(0), c.limit(0)).isEmpty()
 
 
+def drawn_votes(rng, n):
+    """Kinds and votes of pairs that follow the starting probabilities."""
+    theta = defects.starting()
+    kind = rng.choice(len(defects.KINDS), n, p=[0.8, 0.08, 0.02, 0.04, 0.02, 0.02, 0.02])
+    u = rng.random((n, len(defects.FUNCTIONS)))
+    return kind, (u > theta[kind, :, 0]).astype(int) + (u > theta[kind, :, 0] + theta[kind, :, 1])
+
+
 def test_label_model_recovers_labels():
     rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.05
-    start = [(0.8, 0.02, 0.05, 0.7)] * 4
-    v = np.stack([np.where(y, rng.choice([0, 1, 2], 4000, p=[0.15, 0.8, 0.05]), rng.choice([0, 1, 2], 4000, p=[0.28, 0.02, 0.7])) for _ in range(4)], 1)
+    kind, v = drawn_votes(rng, 6000)
     p, back, n = np.unique(v, axis=0, return_inverse=True, return_counts=True)
-    post = defects.fit(p, n.astype(float), start)
-    flagged = post[back.ravel()] >= defects.cutoff(post, n.astype(float))
-    assert 2 * (flagged & y).sum() / (flagged.sum() + y.sum()) > 0.93
-    assert len(defects.fit(np.zeros((0, 4), int), np.zeros(0), start)) == 0
+    theta, prior = defects.fit(lambda a, b: defects.sufficient(p, n.astype(float), a, b))
+    post = defects.posteriors(p, theta, prior)[back.ravel()]
+    assert abs(prior[: defects.SOUND].sum() - 0.88) < 0.02
+    for k, d in enumerate(defects.DEFECTS, defects.SOUND):
+        y = kind == k
+        flagged = post[:, k] >= defects.cutoff(post[:3000, k], np.ones(3000), y[:3000].astype(float))
+        assert 2 * (flagged & y).sum() / (flagged.sum() + y.sum()) > (0.8 if d == "truncated" else 0.93), d
+    # Sums over parts are sums over all rows.
+    whole = defects.sufficient(p, n.astype(float), theta, prior)
+    parts = defects.sufficient(p[:50], n[:50].astype(float), theta, prior) + defects.sufficient(p[50:], n[50:].astype(float), theta, prior)
+    assert np.allclose(whole, parts)
+    none = defects.fit(lambda a, b: np.zeros((*a.shape[:2], 4)))
+    assert np.allclose(none[0], defects.starting()) and defects.cutoff(np.zeros(0), np.zeros(0), np.zeros(0)) == 0.5
+
+
+def test_defects_do_not_veto_each_other():
+    """An answer that repeats the question and stops in the middle draws votes for both, as does a refusal in another language."""
+
+    class Sound:
+        def score(self, texts):
+            return np.ones(len(texts)), np.zeros(len(texts), bool)
+
+    q = "Velk keeps the ledger of the mill (see the log) and counts each sack twice. Each trip brings 14 crates and 7 trips are made. How many crates arrive?"
+    answers = [q[:25] + q[25:60] + " [", "Es tut mir leid, aber ich kann das hier leider nicht beantworten.", "We get 98. The answer is 98."]
+    v = defects.votes(pa.array([q] * 3), pa.array(answers), pa.array([None] * 3, pa.string()), Sound())
+    votes_for = lambda d, k: int((v[d][k] == 1).sum())
+    assert votes_for("copied", 0) >= 2 and votes_for("truncated", 0) >= 1
+    assert votes_for("refusal", 1) >= 2 and votes_for("other_language", 1) >= 2
+    assert not any(votes_for(d, 2) for d in defects.DEFECTS)
+
+
+def test_two_labels_are_kept(spark, monkeypatch):
+    r, _ = pairs_of(spark)
+    monkeypatch.setattr(defects, "_validated", lambda *a: {d: 1e-12 for d in defects.DEFECTS})
+    none = spark.createDataFrame([], CAND)
+    got = defects.defective_pairs(r.where("row_ord = 205"), none).groupBy("row_ord").count().collect()
+    assert got[0]["count"] > 1
 
 
 def item(rng, i):

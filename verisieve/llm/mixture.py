@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from ..sources.tables import stage
 #: Undecided documents that one task settles at most.
 LANDING = 5_000
 TOLERANCE = 1e-9
+#: Rows that a task hands on at once.
+OUT = 20_000
 
 
 def default_vocabulary() -> str:
@@ -131,23 +134,32 @@ def balanced_mixture(sizes: DataFrame, rates: DataFrame, seed: int = 7) -> DataF
     s = s.select("doc_id", "source", "n_tokens", F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-        by: dict[str, list] = {}
-        base: dict[str, int] = {}
-        for b in batches:
-            for doc, source, n, whole, p in zip(*(c.to_pylist() for c in b.columns)):
-                by.setdefault(source, []).append((doc, n, p))
-                base[source] = whole
-        for source, units in by.items():
-            out = list(flight(iter(units), seed))
-            if last:
-                settled = [x for x in out if x[2] in (0, 1)]
-                out = settled + land([x for x in out if x[2] not in (0, 1)], seed)
-            doc, n, p = zip(*out)
-            k = len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([source] * k), pa.array(n, pa.int64()), pa.array([base[source]] * k, pa.int32()), pa.array([float(x) for x in p])], ["doc_id", "source", "n_tokens", "base", "p"])
+        # Rows come by source; a flight takes them one by one and holds no more than three.
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        done: list[tuple] = []
+
+        def flown() -> Iterator[tuple]:
+            for (source, base), units in groupby(rows, key=lambda r: (r[1], r[3])):
+                open_ = []
+                for doc, n, p in flight(((r[0], r[2], r[4]) for r in units), seed):
+                    if last and p not in (0, 1):
+                        open_.append((doc, n, p))
+                    else:
+                        yield doc, source, n, base, float(p)
+                for doc, n, p in land(open_, seed):
+                    yield doc, source, n, base, float(p)
+
+        for row in flown():
+            done.append(row)
+            if len(done) == OUT:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names)
+                done = []
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names)
 
     schema = "doc_id long, source string, n_tokens long, base int, p double"
-    decided, open_ = [], s
+    names, kinds = ["doc_id", "source", "n_tokens", "base", "p"], [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64()]
+    decided, open_ = [], s.sortWithinPartitions("source", "base", "doc_id")
     while True:
         flown = stage(open_.mapInArrow(lambda it: run(it, False), schema), "flown")
         decided.append(flown.where("p = 0 or p = 1"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from ..sources.tables import drop_stage, stage
 NO_AUTHOR = ["", "-", "--", "?", "n/a", "na", "none", "null", "nil", "nan", "unknown", "not known", "anonymous", "anon", "unbekannt", "anonym", "inconnu", "anonyme", "desconocido", "tbd"]
 
 
+#: Parts that a component's families are spread over where their pairs are formed.
+SHARES = 16
+
+
 def label_key(label: Column) -> Column:
     """One spelling of a family label: letters and digits only, numbers without leading zeros; null where nothing is left."""
     plain = F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]+", "")
@@ -50,6 +56,15 @@ def ties(records: DataFrame, families: DataFrame) -> DataFrame:
     return hub.unionByName(child).unionByName(fork).where("a is not null").distinct()
 
 
+def _numbers(nodes: DataFrame, tries: int = 8) -> Callable[[str], Column]:
+    """A 64-bit number of each node by hash; where two nodes would share one, with another salt."""
+    for salt in range(tries):
+        number = lambda c, salt=salt: F.xxhash64(F.col(c), F.lit(salt))
+        if nodes.groupBy(number("node").alias("v")).count().where("count > 1").isEmpty():
+            return number
+    raise RuntimeError(f"two nodes share a number under each of {tries} salts")
+
+
 def components(edges: DataFrame, rounds: int = 200, seed: int = 7) -> DataFrame:
     """node, root: connected components by random-mate contraction.
 
@@ -63,8 +78,9 @@ def components(edges: DataFrame, rounds: int = 200, seed: int = 7) -> DataFrame:
     """
     spark = edges.sparkSession
     name = edges.where("a is not null and b is not null").select("a", "b").distinct()
-    nodes = name.select(F.col("a").alias("node")).unionByName(name.select(F.col("b").alias("node"))).distinct()
-    live = stage(name.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    nodes = stage(name.select(F.col("a").alias("node")).unionByName(name.select(F.col("b").alias("node"))).distinct(), "nodes")
+    number = _numbers(nodes)
+    live = stage(name.select(number("a").alias("a"), number("b").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     merges: list[DataFrame] = []
     for k in range(rounds):
         if live.isEmpty():
@@ -100,7 +116,7 @@ def components(edges: DataFrame, rounds: int = 200, seed: int = 7) -> DataFrame:
             roots = roots.unionByName(step)
             if len(merges) > 4:
                 roots = stage(roots, "roots")
-    out = nodes.select("node", F.xxhash64("node").alias("v"))
+    out = nodes.select("node", number("node").alias("v"))
     if roots is None:
         return out.select("node", F.col("v").alias("root"))
     return out.join(roots, "v", "left").select("node", F.coalesce("root", "v").alias("root"))
@@ -118,8 +134,11 @@ def bound_families(records: DataFrame, families: DataFrame) -> DataFrame:
     c = stage(family_components(records, families), "families")
     many = c.groupBy("root").count().where("count > 1").select("root")
     c = c.join(many, "root", "left_semi")
-    a, b = c.select("root", F.col("family_key").alias("family_a")), c.select("root", F.col("family_key").alias("family_b"))
-    return a.join(b, "root").where("family_a < family_b").select("family_a", "family_b").distinct()
+    # Either side of a large component is spread over SHARES tasks, so that its pairs come from all of them.
+    share = F.pmod(F.xxhash64("family_key"), F.lit(SHARES)).alias("share")
+    a = c.select("root", share, F.col("family_key").alias("family_a")).distinct()
+    b = c.select("root", F.explode(F.expr(f"sequence(0L, {SHARES - 1}L)")).alias("share"), F.col("family_key").alias("family_b")).distinct()
+    return a.join(b, ["root", "share"]).where("family_a < family_b").select("family_a", "family_b")
 
 
 def assign_splits(records: DataFrame, families: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
