@@ -116,7 +116,8 @@ def goings_on(texts: pa.Array) -> np.ndarray:
     held -= (run[last] > run[begin[:-1][np.diff(begin) > 0]]).sum()
     t = pc.fill_null(texts.cast(pa.large_string()), "")
     fenced = sum(len(x.split()) for y in t.filter(pc.match_substring(t, "```")).to_pylist() for x in y.split("```")[1::2])
-    items = pc.sum(pc.count_substring_regex(t, _ITEM + r"\s+\S")).as_py() or 0
+    lines = t.filter(pc.match_substring(t, "\n"))
+    items = pc.sum(pc.count_substring_regex(lines, _ITEM + r"\s+\S")).as_py() or 0
     return np.array([held, fenced, items], np.int64)
 
 

@@ -130,6 +130,15 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / max(1, len(x | y))
 
 
+def _goes_on_inside_a_word(copy: str, whole: str) -> bool:
+    """The copy's last characters stand in the whole with a letter or digit after them."""
+    tail, at = copy.rstrip()[-TAIL:], -1
+    while (at := whole.find(tail, at + 1)) >= 0:
+        if whole[at + len(tail) : at + len(tail) + 1].isalnum():
+            return True
+    return False
+
+
 def aligned(copy: str, whole: str) -> tuple[str, str] | None:
     """What ``copy``'s last word lacks of the word that it is aligned with, and the words of ``whole`` after that; None where they are no near-copies up to there.
 
@@ -257,7 +266,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for b in batches:
             found: set[int] = set()  # one whole is enough
             for cls, x, y, closes in zip(*(b.column(j).to_pylist() for j in range(4))):
-                if cls in found:
+                if cls in found or (closes and not _goes_on_inside_a_word(x, y)):
                     continue
                 got = aligned(x, y)
                 if got is None:
