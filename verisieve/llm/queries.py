@@ -109,4 +109,19 @@ def p7_source_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: prepared(f) for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
-ORACLES: dict[str, str] = {}
+
+
+def _label(x: str) -> str:
+    plain = f"regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '(^|[^\\p{{N}}])0+(\\p{{N}})', '\\1\\2', 'g')"
+    return f"nullif({plain}, '')"
+
+
+_AUTHOR = "lower(regexp_replace(regexp_replace(metadata['author'], '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g'), '^@\\s*', ''))"
+_TIED = f"""WITH RECURSIVE r AS (SELECT 'rec:' || id AS rec, 'fam:' || coalesce({_label("scenario_family_id")}, nullif({_label("task_family")}, 'playworld')) AS fam, CASE WHEN {_AUTHOR} NOT IN ({", ".join(f"'{a}'" for a in splits.NO_AUTHOR)}) THEN 'author:' || {_AUTHOR} END AS author,
+'item:' || provenance.source_id || '|' || metadata['source_index'] AS item, 'rec:' || metadata['parent_id'] AS parent FROM sft_records),
+o AS (SELECT coalesce(fam, rec) AS a, rec AS b FROM r UNION SELECT coalesce(fam, rec), author FROM r UNION SELECT coalesce(fam, rec), item FROM r UNION SELECT coalesce(fam, rec), parent FROM r WHERE parent IN (SELECT rec FROM r) UNION SELECT 'fam:' || {_label("family_label")}, 'fam:' || {_label("forked_from")} FROM families),
+e AS (SELECT a, b FROM o WHERE a <> b UNION SELECT b, a FROM o WHERE a <> b), f AS (SELECT family_key, coalesce('fam:' || {_label("family_label")}, 'key:' || family_key) AS node FROM families WHERE family_key IS NOT NULL),
+reach AS (SELECT family_key, node FROM f UNION SELECT family_key, e.b FROM reach JOIN e ON e.a = reach.node)
+SELECT DISTINCT reach.family_key AS family_a, f.family_key AS family_b FROM reach JOIN f ON reach.node = f.node WHERE reach.family_key < f.family_key"""
+
+ORACLES: dict[str, str] = {"p4_found": _TIED}
