@@ -253,12 +253,15 @@ def _meetings(each: DataFrame, done: DataFrame | None) -> DataFrame:
     return whole.unionByName(begun(top, begins).drop("most")).distinct()
 
 
+def _sized(hashes: DataFrame, label: str) -> DataFrame:
+    """A set of hashes that goes to all tasks if it is of checked size; a larger one makes the rows come to it."""
+    hashes = stage(hashes, label)
+    return F.broadcast(hashes) if hashes.count() <= SENT else hashes
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """cls: copies of the pairs whose alignment ends early in a verified whole."""
-    need = stage(pairs.select("cls").union(pairs.select("whole")).distinct(), "need")
-    # A set of hashes of checked size goes to the texts; a larger one makes them come to it.
-    if need.count() <= SENT:
-        need = F.broadcast(need)
+    need = _sized(pairs.select("cls").union(pairs.select("whole")).distinct(), "need")
     text = texts.select(F.xxhash64("text").alias("cls"), "text").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
     text = stage(text, "near-texts")
 
@@ -292,8 +295,11 @@ def cut_copies(rows: DataFrame, texts: DataFrame) -> DataFrame:
     first; only copies that it doesn't settle meet all others, so that a band
     that many copies share costs one alignment a copy.
     """
-    # One row per distinct text; the bands of equal texts are equal.
-    each = stage(rows.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("mark", "sketch", "bands", "begins", "follow", "must"))), "classes")
+    # One row per distinct text, as the bands of equal texts are equal; only hashes are grouped and travel.
+    row = F.xxhash64("tab", "row_ord").alias("row")
+    kept = _sized(rows.select("cls", row).groupBy("cls").agg(F.min("row").alias("row")).select("row"), "kept")
+    each = rows.withColumn("row", row).join(kept, "row", "left_semi").select("cls", "mark", "sketch", "bands", "begins", "follow", "must")
+    each = stage(each, "classes")
     first = _verified(stage(_meetings(each, None), "near"), texts)
     rest = stage(_meetings(each, first).join(first, "cls", "left_anti"), "near")
     return first.unionByName(_verified(rest, texts))
