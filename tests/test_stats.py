@@ -145,6 +145,25 @@ def test_pareto_and_champion(spark):
     assert [r.k for r in selection.champion(runs, "k", "m", tied.where("k = 'a'"), [F.asc("t")]).orderBy("rank").collect()] == ["a", "b", "c"]
 
 
+def test_pareto_of_many_candidates_is_whole(spark, monkeypatch):
+    # More candidates and more points left than one pass compares; the frontier of all of them, in several passes.
+    monkeypatch.setattr(selection, "CANDIDATES", 50)
+    n = 400
+    rows = [(f"{kind}{i}", float(i), float(n - i - drop), i % 3) for kind, drop in (("front", 0), ("twin", 0), ("below", 1)) for i in range(n)]
+    d = spark.createDataFrame(rows, "k string, x double, y double, z int")
+    got = {r.k for r in selection.pareto(d.repartition(4), "k", ["x", "y"], []).collect()}
+    # (i, n - i - 1) is beaten by (i, n - i).
+    assert got == {f"{kind}{i}" for kind in ("front", "twin") for i in range(n)}
+    mixed = selection.pareto(d.withColumn("c", F.col("y").cast("decimal(10,2)")), "k", ["x", "z"], ["c"])
+    brute = {a[0] for a in rows if not any(b[1] >= a[1] and b[3] >= a[3] and b[2] <= a[2] and (b[1] > a[1] or b[3] > a[3] or b[2] < a[2]) for b in rows)}
+    assert {r.k for r in mixed.collect()} == brute
+    odd = spark.createDataFrame([("a", float("nan"), 0.0), ("b", 1.0, -0.0), ("c", 2.0, 0.0), ("d", float("inf"), 1.0), ("e", 3.0, float("nan"))], "k string, x double, y double")
+    # NaN is above all numbers, as in SQL: best where it is maximised, worst where it is minimised.
+    assert {r.k for r in selection.pareto(odd, "k", ["x"], ["y"]).collect()} == {"a"}
+    assert {r.k for r in selection.pareto(odd, "k", [], ["x", "y"]).collect()} == {"b"}
+    assert selection.pareto(d.limit(0), "k", ["x"], ["y"]).collect() == []
+
+
 def test_rates_and_incidence(spark):
     d = spark.createDataFrame([("a", 1, 2, True), ("a", 1, 4, False), ("a", None, 9, True), (None, 0, 0, None)], "k string, x int, n int, ok boolean")
     assert {r.k: (r.part, r.whole, r.rate) for r in selection.pooled_rate(d, ["k"], F.col("x"), F.col("n")).collect()} == {"a": (2, 6, 0.333333), None: (0, 0, None)}

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates of a champion selection at most; frontiers compare each two of them.
+from ..sources.tables import stage
+
+#: Points of a frontier that are sent to the tasks at once; more take more passes.
 CANDIDATES = 20_000
+#: Comparisons of two points that are held at once.
+COMPARED = 1 << 22
 
 
 def within_limits(df: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
@@ -19,19 +25,82 @@ def within_limits(df: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFr
     return df.withColumn("admitted", reduce(and_, (F.coalesce(ops[op](F.col(k), F.lit(x)), F.lit(False)) for k, (op, x) in limits.items()), F.lit(True)))
 
 
+def _places(columns: list[pa.ChunkedArray], up: list[bool]) -> np.ndarray:
+    """Rows by objectives: the values' places among each other, larger ones better; NaN is above all numbers, as in SQL."""
+    out = []
+    for c, rises in zip(columns, up):
+        plain = pa.types.is_floating(c.type) or pa.types.is_integer(c.type)
+        x = c.to_numpy() if plain else np.array([*c.to_pylist(), None], object)[:-1]
+        at = np.unique(x, return_inverse=True)[1].ravel().astype(np.int64)
+        out.append(at if rises else -at)
+    return np.stack(out, 1)
+
+
+def _beaten(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which points some of the others is at least as good as in all objectives and better in one."""
+    out = np.zeros(len(points), bool)
+    if not len(points):
+        return out
+    wide = max(1, COMPARED // len(points))
+    for k in range(0, len(by), wide):
+        other = by[k : k + wide]
+        no_worse, better = np.ones((len(points), len(other)), bool), np.zeros((len(points), len(other)), bool)
+        for j in range(points.shape[1]):
+            no_worse &= other[None, :, j] >= points[:, j, None]
+            better |= other[None, :, j] > points[:, j, None]
+        out |= (no_worse & better).any(1)
+    return out
+
+
+def _front(points: np.ndarray, block: int = 512) -> np.ndarray:
+    """Numbers of the points that no other one beats; a point is beaten only by one of a larger sum."""
+    order = np.argsort(-points.sum(1), kind="stable")
+    kept = order[:0]
+    for k in range(0, len(order), block):
+        new = order[k : k + block]
+        new = new[~_beaten(points[new], points[kept])]
+        kept = np.concatenate([kept, new[~_beaten(points[new], points[new])]])
+    return kept
+
+
 def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str]) -> DataFrame:
     """Rows that no other row is at least as good as in all objectives and better in one; rows with a null objective are left out.
 
-    Candidates are compared with all others; more than CANDIDATES are an error.
+    Rows of equal objectives are one point. Each task leaves out the points
+    that another one of its own beats; those left are compared with all others
+    that are left, CANDIDATES of them in each pass, whatever their number.
     """
-    signed = [(c, F.col(c)) for c in maximise] + [(c, -F.col(c)) for c in minimise]
-    d = df.where(reduce(and_, (F.col(c).isNotNull() for c, _ in signed)))
-    if d.limit(CANDIDATES + 1).count() > CANDIDATES:
-        raise ValueError(f"more than {CANDIDATES} candidates")
-    other = F.broadcast(d.select(*(x.alias(f"_{c}") for c, x in signed)))
-    no_worse = reduce(and_, (F.col(f"_{c}") >= x for c, x in signed))
-    better = reduce(or_, (F.col(f"_{c}") > x for c, x in signed))
-    return d.join(other, no_worse & better, "left_anti")
+    names = [*maximise, *minimise]
+    up = [True] * len(maximise) + [False] * len(minimise)
+    d = df.where(reduce(and_, (F.col(c).isNotNull() for c in names)))
+    points = d.select(*names).distinct()
+    spark = df.sparkSession
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if got:
+            t = pa.Table.from_batches(got)
+            yield from t.take(pa.array(_front(_places(t.columns, up)))).to_batches()
+
+    def against(sent) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            others = sent.value
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                all_of = _places([pa.chunked_array([*x.chunks, *y.cast(x.type).chunks]) for x, y in zip(t.columns, others.columns)], up)
+                yield b.filter(pa.array(~_beaten(all_of[: len(t)], all_of[len(t) :])))
+
+        return run
+
+    left = stage(points.mapInArrow(own, points.schema), "points")
+    passes = -(-left.count() // CANDIDATES)
+    front = left
+    if passes > 1:
+        left = stage(left.withColumn("_pass", F.pmod(F.xxhash64(*names), F.lit(passes))), "passes")
+    for k in range(passes):
+        part = (left.where(F.col("_pass") == k) if passes > 1 else left).select(*names).toArrow()
+        front = front.mapInArrow(against(spark.sparkContext.broadcast(part)), points.schema)
+    return d.join(front, names, "left_semi").select(*df.columns)
 
 
 def champion(df: DataFrame, key: str, primary: str, tied: DataFrame, ties: list[Column]) -> DataFrame:
@@ -72,7 +141,6 @@ def protocol_rules(loss: Column, validity: Column, reward: Column, hacking: Colu
 
 def word_shingles(text: Column, width: int = 5) -> Column:
     """Distinct hashes of runs of ``width`` words, lower case; a shorter text has one of all its words, one without words none."""
-    import numpy as np
     import xxhash
 
     @F.arrow_udf("array<long>")
