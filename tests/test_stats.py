@@ -164,6 +164,16 @@ def test_pareto_of_many_candidates_is_whole(spark, monkeypatch):
     assert selection.pareto(d.limit(0), "k", ["x"], ["y"]).collect() == []
 
 
+def test_champion_ranks_a_large_frontier_in_ranges(spark):
+    runs = spark.range(1000).select(F.format_string("r%04d", "id").alias("k"), (F.col("id") % 7 / 7).alias("m"), (F.col("id") % 11).alias("t"))
+    tied = runs.where("m > 0.8 or k = 'r0003'").select("k")
+    got = selection.champion(runs, "k", "m", tied, [F.asc("t")])
+    keys = {r.k for r in tied.collect()}
+    want = sorted(runs.collect(), key=lambda r: (r.k not in keys, 0 if r.k in keys else -r.m, r.t, r.k))
+    assert [(r.k, r.rank, r.tied) for r in got.orderBy("rank").collect()] == [(r.k, i + 1, r.k in keys) for i, r in enumerate(want)]
+    assert "Window [row_number" not in got._jdf.queryExecution().toString()
+
+
 def test_rates_and_incidence(spark):
     d = spark.createDataFrame([("a", 1, 2, True), ("a", 1, 4, False), ("a", None, 9, True), (None, 0, 0, None)], "k string, x int, n int, ok boolean")
     assert {r.k: (r.part, r.whole, r.rate) for r in selection.pooled_rate(d, ["k"], F.col("x"), F.col("n")).collect()} == {"a": (2, 6, 0.333333), None: (0, 0, None)}

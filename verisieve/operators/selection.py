@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage
+from .ordering import ranked
 
 #: Points of a frontier that are sent to the tasks at once; more take more passes.
 CANDIDATES = 20_000
@@ -104,15 +105,10 @@ def pareto(df: DataFrame, key: str, maximise: list[str], minimise: list[str]) ->
 
 
 def champion(df: DataFrame, key: str, primary: str, tied: DataFrame, ties: list[Column]) -> DataFrame:
-    """key, rank, tied: by the primary metric; the leader and all in ``tied`` (a column of keys) come first, ranked by ``ties``.
-
-    Candidates are few: a frontier of at most CANDIDATES.
-    """
-    from pyspark.sql import Window
-
-    d = df.join(F.broadcast(tied.select(key).distinct().withColumn("tied", F.lit(True))), key, "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
+    """key, rank, tied: by the primary metric; the leader and all in ``tied`` (a column of keys) come first, ranked by ``ties``."""
+    d = df.join(tied.select(key).distinct().withColumn("tied", F.lit(True)), key, "left").withColumn("tied", F.coalesce("tied", F.lit(False)))
     order = [F.desc("tied"), F.when(~F.col("tied"), -F.col(primary)), *ties, F.col(key)]
-    return d.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, "rank", "tied")
+    return ranked(d, order).select(key, "rank", "tied")
 
 
 def incidence(df: DataFrame, by: list[str], passed: Column, flags: dict[str, Column]) -> DataFrame:

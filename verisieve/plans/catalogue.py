@@ -625,7 +625,7 @@ def champion(spark, d):
     lead = front.orderBy(F.desc("pass_rate"), "run_id").limit(1).select(F.col("run_id").alias("lead"))
     e = _episodes(spark, d)
     b = e.join(F.broadcast(lead), e["run_id"] == lead["lead"]).select("suite", "id", F.col("passed").alias("b"))
-    p = e.join(F.broadcast(front.select("run_id")), "run_id", "left_semi").join(b, ["suite", "id"]).select("run_id", F.concat_ws("/", "suite", "id").alias("k"), F.col("passed").alias("a"), "b")
+    p = e.join(front.select("run_id"), "run_id", "left_semi").join(b, ["suite", "id"]).select("run_id", F.concat_ws("/", "suite", "id").alias("k"), F.col("passed").alias("a"), "b")
     tied = stats.paired_tests(p, ["run_id"], "a", "b", "k", _B).where("not significant").select("run_id").unionByName(lead.select(F.col("lead").alias("run_id")))
     return selection.champion(front, "run_id", "pass_rate", tied, [F.desc("validity"), F.asc("mean_latency")]).withColumn("rank", F.col("rank").cast("long"))
 
