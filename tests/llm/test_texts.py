@@ -289,6 +289,40 @@ def test_longest_matches_match_a_loop():
                 assert any((a - s, b - s) in found for s in range(40))
 
 
+def test_wording_that_all_items_share_is_looked_up(spark, monkeypatch):
+    """Every item shares most of its words with all others; matches in them count like any, in one run or many."""
+    shared = " ".join(f"s{k % 37} t{k}" for k in range(30))
+    items = [f"own{k} name{k} {shared} end{k}" for k in range(25)]
+    docs = [(1, "before " + shared + " after"), (2, items[4]), (3, " ".join(shared.split()[:12])), (4, "nothing of it"), (5, " ".join(f"own{k} s1 t1 s2 t2" for k in range(25)))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id long, item_text string")
+    got = sorted((r.doc_id, r.item_id) for r in leaks.evaluation_leaks(d, e).collect())
+    # The wording alone is a stretch of each item; a whole item is its own, with the wording of the others.
+    assert {x for x in got if x[0] == 1} == {(1, k) for k in range(25)} and (2, 4) in got
+    assert {x[0] for x in got} == {1, 2}
+    texts = pa.array([t for _, t in docs])
+    own = leaks.Items(list(range(25)), items)
+    whole = sorted(leaks.leaks_of(own, texts, 0.4))
+    monkeypatch.setattr(leaks, "MEETINGS", 100)
+    assert sorted(leaks.leaks_of(own, texts, 0.4)) == whole
+    # All matches of three words are inside one of those found.
+    seq = np.array([own.code_of.get(x, 0) for x in docs[0][1].split()] + [0])
+    i, j, n = leaks.longest_matches(own, seq)
+    inside = {(a + k, b + k) for a, b, m in zip(i.tolist(), j.tolist(), n.tolist()) for k in range(m - 2)}
+    a_keys, b_keys = leaks.gram_keys(own.seq), leaks.gram_keys(seq)
+    assert inside == {(a, b) for a in range(len(own.seq)) for b in range(len(seq)) if a_keys[a] >= 0 and a_keys[a] == b_keys[b]}
+
+
+def test_texts_passed_over_have_no_stretch():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        item, own = rng.integers(1, 9, 12), rng.random(9) < 0.4
+        text = rng.integers(0, 9, 15)
+        n, hit, miss = leaks.best_stretch(item, text, own)
+        if n >= 0.4 * 12 and hit >= 0.85 * (hit + miss):
+            assert leaks.can_hold(np.isin(item, text)[None, :], own[item], 0.4, 0.85).all()
+
+
 def test_flight_keeps_number_and_size():
     rng = random.Random(5)
     units = [(i, rng.randrange(1, 500), 0.3) for i in range(600)]

@@ -16,8 +16,10 @@ from .words import split
 ITEM_WORDS_A_PASS = 2_000_000
 #: Words of a verbatim match that the binary search starts from.
 SEED = 3
-#: A seed that occurs in a larger share of the items than this, and in more than a few, is stock wording; it is looked up with the seed after it.
-STOCK, FEW = 0.015, 6
+#: Share of its words that a stretch has to match.
+DENSE = 0.7
+#: Meetings of item and corpus positions that are held at once; texts are taken in runs of about so many.
+MEETINGS = 4_000_000
 
 
 class Items:
@@ -37,24 +39,10 @@ class Items:
         for x in self.words:
             have[np.unique(x)] += 1
         self.own = (have <= max(2, 0.25 * len(self.words))) & (have > 0)
+        # Every suffix is looked up, stock wording that many items share too.
         keys = gram_keys(self.seq)
-        good = np.flatnonzero(keys >= 0)
-        pairs = np.unique(np.stack([keys[good], self.item[good]], 1), axis=0) if len(good) else np.zeros((0, 2), np.int64)
-        grams, counts = np.unique(pairs[:, 0], return_counts=True)
-        few = max(FEW, STOCK * len(self.words))
-        rare = np.isin(keys[good], grams[counts <= few])
-        self.suffixes = good[rare]
+        self.suffixes = np.flatnonzero(keys >= 0)
         self.keys = keys[self.suffixes]
-        # Suffixes that begin with stock wording are looked up to twice the depth, where that is rare.
-        stock = good[~rare]
-        stock = stock[stock + SEED < len(keys)]
-        deeper = keys[stock + SEED]
-        stock, deeper = stock[deeper >= 0], deeper[deeper >= 0]
-        both, back = np.unique(np.stack([keys[stock], deeper], 1), axis=0, return_inverse=True) if len(stock) else (np.zeros((0, 2), np.int64), stock)
-        owners = np.unique(np.stack([back.ravel(), self.item[stock]], 1), axis=0)[:, 0] if len(stock) else stock
-        keep = (np.bincount(owners, minlength=len(both)) <= few)[back.ravel()] if len(stock) else np.zeros(0, bool)
-        self.deep = stock[keep]
-        self.deep_keys = np.stack([keys[self.deep], deeper[keep]])
 
 
 def gram_keys(seq: np.ndarray) -> np.ndarray:
@@ -69,8 +57,8 @@ def gram_keys(seq: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the corpus suffixes in the order of their words, the sorted seed keys, and those of the seeds after them.
+def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the corpus suffixes in the order of their words, and the sorted seed keys.
 
     Ordered to two seeds' depth; longer matches are told apart by extension.
     """
@@ -80,36 +68,27 @@ def suffix_array(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = at + SEED < len(seq)
     deeper[inside] = keys[at[inside] + SEED]
     order = np.lexsort((deeper, keys[at]))
-    return at[order], keys[at[order]], deeper[order]
+    return at[order], keys[at[order]]
 
 
 def longest_matches(items: Items, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item position, corpus position and length of each verbatim match that can't be extended to the left."""
-    where, keys, deeper = suffix_array(seq)
+    """Item position, corpus position and length of each verbatim match that can't be extended to the left; all of them, in no order."""
+    where, keys = suffix_array(seq)
     lo, hi = np.searchsorted(keys, items.keys, "left"), np.searchsorted(keys, items.keys, "right")
-    # Both seeds of a deep suffix as one number that keeps their order.
-    seconds = np.unique(items.deep_keys[1])
-    at = np.searchsorted(keys, items.deep_keys[0], "left"), np.searchsorted(keys, items.deep_keys[0], "right")
-    span = len(seconds) * 2 + 1
-    place = np.searchsorted(seconds, deeper, "left") + np.searchsorted(seconds, deeper, "right")
-    group = np.cumsum(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
-    order = group * span + place if len(keys) else keys
-    some = at[0] < at[1]
-    wanted = group[at[0][some]] * span + 2 * np.searchsorted(seconds, items.deep_keys[1][some]) + 1 if some.any() else np.zeros(0, np.int64)
-    suffixes = np.concatenate([items.suffixes, items.deep[some]])
-    lo, hi = np.concatenate([lo, np.searchsorted(order, wanted, "left")]), np.concatenate([hi, np.searchsorted(order, wanted, "right")])
     many = hi - lo
-    i = np.repeat(suffixes, many)
-    first = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(many) else lo, many)
-    j = where[first + np.arange(len(i))] if len(i) else np.zeros(0, np.int64)
-    before = (i > 0) & (j > 0)
-    same = np.zeros(len(i), bool)
-    same[before] = (items.seq[i[before] - 1] == seq[j[before] - 1]) & (items.seq[i[before] - 1] > 0)
-    # A start whose left neighbour matches too is inside a longer match, unless that one began with a stock seed.
-    has = np.zeros(len(items.seq), bool)
-    has[items.suffixes] = True
-    keep = ~(same & has[np.maximum(i - 1, 0)])
-    i, j = i[keep], j[keep]
+    # Most meetings go on to the left, so only so many are held before those are left out.
+    ends = np.cumsum(many)
+    cuts = np.searchsorted(ends, np.arange(MEETINGS, ends[-1] if len(ends) else 0, MEETINGS), "left") + 1
+    out = []
+    for part in np.split(np.arange(len(many)), np.unique(cuts)):
+        n = many[part]
+        i = np.repeat(items.suffixes[part], n)
+        j = where[np.repeat(lo[part] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(len(i))] if len(i) else np.zeros(0, np.int64)
+        before = (i > 0) & (j > 0)
+        same = np.zeros(len(i), bool)
+        same[before] = (items.seq[i[before] - 1] == seq[j[before] - 1]) & (items.seq[i[before] - 1] > 0)
+        out.append((i[~same], j[~same]))
+    i, j = (np.concatenate(x) for x in zip(*out))
     length = np.full(len(i), SEED, np.int64)
     live = np.arange(len(i))
     while len(live):
@@ -121,6 +100,22 @@ def longest_matches(items: Items, seq: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return i, j, length
 
 
+def can_hold(present: np.ndarray, own: np.ndarray, share: float, own_share: float) -> np.ndarray:
+    """Texts by item words: which texts have words enough for a stretch of ``share`` of the item.
+
+    ``best_stretch`` finds none in the others that counts: any stretch that long
+    has too few of its words, or of its own words, anywhere in the text.
+    """
+    n = present.shape[1]
+    least = max(1, int(np.ceil(share * n)))
+    out = np.ones(len(present), bool)
+    for gain in (present - DENSE, own * (present - own_share)):
+        sums = np.concatenate([np.zeros((len(present), 1)), np.cumsum(gain, axis=1)], axis=1)
+        # The best sum of a stretch that ends at each word and is long enough.
+        out &= (sums[:, least:] - np.minimum.accumulate(sums, axis=1)[:, : n + 1 - least] >= -1e-6).any(1)
+    return out
+
+
 def best_stretch(item: np.ndarray, text: np.ndarray, own: np.ndarray) -> tuple[int, int, int]:
     """Words of the longest stretch of ``item`` that ``text`` holds in order; own words matched and missed in it.
 
@@ -142,14 +137,14 @@ def best_stretch(item: np.ndarray, text: np.ndarray, own: np.ndarray) -> tuple[i
             runs.append([b])
     for run in runs:
         a, z = run[0].a, run[-1].a + run[-1].size
-        if z - a > best[0] and sum(b.size for b in run) >= 0.7 * (z - a):
+        if z - a > best[0] and sum(b.size for b in run) >= DENSE * (z - a):
             matched = sum(int(own[item[b.a : b.a + b.size]].sum()) for b in run)
             best = (z - a, matched, int(own[item[a:z]].sum()) - matched)
     return best
 
 
-def leaks_of(items: Items, texts: pa.Array, share: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, words held, own words matched, own words missed) of a shard of texts."""
+def leaks_of(items: Items, texts: pa.Array, share: float, own_share: float = 0.85) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, words held, own words matched, own words missed) of a shard of texts, of all pairs that can reach both shares."""
     w = split(texts)
     to = np.fromiter((items.code_of.get(x, 0) for x in w.vocab), np.int64, len(w.vocab))
     known = to[w.codes] if len(w.codes) else np.zeros(0, np.int64)
@@ -157,27 +152,55 @@ def leaks_of(items: Items, texts: pa.Array, share: float) -> Iterator[tuple[int,
     # One gap code after each text keeps matches inside a text.
     seq = np.zeros(len(known) + n, np.int64)
     seq[np.arange(len(known)) + owner] = known
-    text_at = np.repeat(np.arange(n), w.counts + 1)
+    # Texts are taken together as long as their words meet few item words.
+    keys, ordered = gram_keys(seq), np.sort(items.keys)
+    meet = np.searchsorted(ordered, keys, "right") - np.searchsorted(ordered, keys, "left")
+    starts = w.offsets[:-1] + np.arange(n)
+    total = np.concatenate([[0], np.cumsum(meet * (keys >= 0))])[np.append(starts, len(seq))]
+    a = 0
+    while a < n:
+        z = max(a + 1, int(np.searchsorted(total, total[a] + MEETINGS, "right")) - 1)
+        end = starts[z] if z < n else len(seq)
+        for t, *found in _leaks_of_run(items, seq[starts[a] : end], starts[a:z] - starts[a], share, own_share):
+            yield a + t, *found
+        a = z
+
+
+def _leaks_of_run(items: Items, seq: np.ndarray, starts: np.ndarray, share: float, own_share: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """``leaks_of`` for texts that are laid end to end, each with a gap code after it."""
     i, j, length = longest_matches(items, seq)
     if not len(i):
         return
-    pair = text_at[j] * len(items.ids) + items.item[i]
-    pairs, back = np.unique(pair, return_inverse=True)
-    total = np.bincount(back, weights=length)
+    bounds = np.append(starts, len(seq))
+    text_of = np.searchsorted(starts, j, "right") - 1
+    order = np.lexsort((j, text_of * len(items.ids) + items.item[i]))
+    j, pair = j[order], (text_of * len(items.ids) + items.item[i])[order]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    pairs, last = pair[first], np.append(first[1:], len(pair))
+    total = np.add.reduceat(length[order], first)
     size = np.array([len(x) for x in items.words])
-    for k in np.flatnonzero(total >= 0.5 * share * size[pairs % len(items.ids)]):
-        t, item = divmod(int(pairs[k]), len(items.ids))
-        at = j[back == k] - (w.offsets[t] + t)
-        span = len(items.words[item])
-        codes = known[w.offsets[t] : w.offsets[t + 1]]
-        found = (0, 0, 0)
-        # Windows around the matches; each is about the size of the item.
-        at.sort()
-        groups = np.split(at, np.flatnonzero(np.diff(at) > span) + 1)
-        for g in groups:
-            a, b = max(0, g[0] - span), min(len(codes), g[-1] + 2 * span)
-            found = max(found, best_stretch(items.words[item], codes[a:b], items.own))
-        yield t, item, *found
+    cand = np.flatnonzero(total >= 0.5 * share * size[pairs % len(items.ids)])
+    # Distinct known words of each text, as numbers in order.
+    width = len(items.own)
+    have = np.unique(np.repeat(np.arange(len(starts)), np.diff(bounds)) * width + seq)
+    cand = cand[np.argsort(pairs[cand] % len(items.ids), kind="stable")]
+    for of in np.split(cand, np.flatnonzero(np.diff(pairs[cand] % len(items.ids))) + 1) if len(cand) else []:
+        item = int(pairs[of[0]] % len(items.ids))
+        words, span = items.words[item], len(items.words[item])
+        step = max(1, MEETINGS // span)
+        for part in (of[k : k + step] for k in range(0, len(of), step)):
+            wanted = (pairs[part] // len(items.ids))[:, None] * width + words[None, :]
+            present = have[np.minimum(np.searchsorted(have, wanted), len(have) - 1)] == wanted
+            for k in part[can_hold(present, items.own[words], share, own_share)]:
+                t = int(pairs[k] // len(items.ids))
+                at = j[first[k] : last[k]] - starts[t]
+                codes = seq[starts[t] : bounds[t + 1] - 1]
+                found = (0, 0, 0)
+                # Windows around the matches; each is about the size of the item.
+                for g in np.split(at, np.flatnonzero(np.diff(at) > span) + 1):
+                    a, b = max(0, g[0] - span), min(len(codes), g[-1] + 2 * span)
+                    found = max(found, best_stretch(words, codes[a:b], items.own))
+                yield t, item, *found
 
 
 def evaluation_leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, own_share: float = 0.85) -> DataFrame:
@@ -205,7 +228,7 @@ def evaluation_leaks(documents: DataFrame, items: DataFrame, share: float = 0.4,
             own = Items(*sent.value)
             for batch in batches:
                 ids = batch.column(0)
-                got = [(ids[t].as_py(), int(own.ids[i]), n, hit, miss) for t, i, n, hit, miss in leaks_of(own, batch.column(1), share) if n >= share * len(own.words[i]) and hit >= own_share * (hit + miss)]
+                got = [(ids[t].as_py(), int(own.ids[i]), n, hit, miss) for t, i, n, hit, miss in leaks_of(own, batch.column(1), share, own_share) if n >= share * len(own.words[i]) and hit >= own_share * (hit + miss)]
                 cols = list(zip(*got)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])], ["doc_id", "item_id", "n_words", "own_hit", "own_miss"])
 
