@@ -16,6 +16,19 @@ def test_words_and_shingles():
     assert len(words.split(pa.array([], pa.string())).codes) == 0
 
 
+def test_words_are_runs_of_letters_numbers_and_marks():
+    rng = random.Random(4)
+    alphabet = [chr(c) for c in range(128)] + list("ÄÖßéè’“—\u2028\u0301\u0345\u212aİK№²½Ⅷ٣中文\ufffd…ǅΣς😀") + ["ab ", "X1"]
+    for _ in range(60):
+        t = [None if rng.random() < 0.1 else "".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(12))]
+        w = words.split(pa.array([None, *t], pa.string()).slice(1))
+        marked = pa.compute.replace_substring_regex(pa.compute.utf8_lower(pa.array([x or "" for x in t], pa.string())), r"[^\pL\pN\pM]+", " ").to_pylist()
+        want = [[y for y in x.split(" ") if y] for x in marked]
+        assert [[w.vocab[c] for c in w.codes[i:j]] for i, j in zip(w.offsets, w.offsets[1:])] == want
+        # Codes are numbered in the order in which words come.
+        assert w.vocab == list(dict.fromkeys(y for x in want for y in x))
+
+
 def test_empty_answers():
     bad = [None, "", "  \n", "​", "...", "####", "N/A", "null", "[no output]", "<answer></answer>", "```\n```", "Answer:", "-" * 500]
     good = ["42", "No.", "Die Antwort ist 4.", "x"]
@@ -206,6 +219,40 @@ def test_defects_do_not_veto_each_other():
     assert not any(votes_for(d, 2) for d in defects.DEFECTS)
 
 
+def test_votes_read_every_text_once(monkeypatch):
+    """A question beside several answers, and an answer that is a question, are split into words once, however many rows hold them."""
+
+    class Sound:
+        def score(self, texts):
+            return np.ones(len(texts)), np.zeros(len(texts), bool)
+
+    read = []
+    monkeypatch.setattr(defects, "split", lambda texts, *a: read.extend(x for x in texts.to_pylist() if x) or words.split(texts, *a))
+    q = ["Velk counts 14 crates. How many arrive?", "Wo ist der Weg zur Mühle und was kostet er?"]
+    rows = [(x, y) for x in q for y in (x, q[0], "We get 98 crates.", "Der Weg ist weit.")]
+    v = defects.votes(pa.array([x for x, _ in rows]), pa.array([y for _, y in rows]), pa.array([None] * len(rows), pa.string()), Sound())
+    assert len(read) == len(set(read)) == 4
+    assert [int(x) for x in v["copied"][:, 0]] == [1, 1, 2, 2, 1, 2, 2, 2]
+    # What a row draws doesn't rest on the rows beside it.
+    for k, (x, y) in enumerate(rows):
+        alone = defects.votes(pa.array([x]), pa.array([y]), pa.array([None], pa.string()), Sound())
+        assert all((alone[d][0] == v[d][k]).all() for d in defects.DEFECTS)
+
+
+def test_words_and_runs_are_looked_up_exactly(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(0, 7, rng.integers(0, 12)), rng.integers(0, 7, rng.integers(0, 30))) for _ in range(50)]
+    flat = lambda k: (np.concatenate([r[k] for r in rows]), np.concatenate([[0], np.cumsum([len(r[k]) for r in rows])]))
+    want = [x in set(by.tolist()) for mine, by in rows for x in mine.tolist()]
+    for cells in (1, 20, 1 << 22):
+        monkeypatch.setattr(defects, "CELLS", cells)
+        assert defects._held(*flat(0), *flat(1), 7).tolist() == want
+    share, total = defects._run_share(*flat(0), *flat(1))
+    runs = lambda x: [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+    assert total.tolist() == [len(runs(x)) for x, _ in rows]
+    assert share.tolist() == [sum(y in runs(by) for y in runs(x)) / max(1, len(runs(x))) for x, by in rows]
+
+
 def test_two_labels_are_kept(spark, monkeypatch):
     r, _ = pairs_of(spark)
     monkeypatch.setattr(defects, "_validated", lambda *a: {d: 1e-12 for d in defects.DEFECTS})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import stage
 from .endings import Terminality, closing_counts, emptied, opened, shortened_number
-from .words import mix, split
+from .words import Words, mix, split
 
 DEFECTS = ("empty", "truncated", "refusal", "copied", "other_language")
 
@@ -86,92 +86,157 @@ def _array(mask: pa.Array) -> np.ndarray:
     return mask.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _counts_by(words, table: np.ndarray, n: int, keep: np.ndarray | None = None) -> np.ndarray:
-    """Words of each text that are in each language's list."""
-    out = np.zeros((n, len(LANGS)))
-    owner = words.owners()
-    for k in range(len(LANGS)):
-        hit = table[words.codes, k] if len(words.codes) else np.zeros(0)
-        out[:, k] = np.bincount(owner, weights=hit if keep is None else hit * keep, minlength=n)
+#: Numbers of the function words, and their weights by language; one that several languages share says less.
+FUNCTION_WORD = {x: i for i, x in enumerate(sorted({x for v in FUNCTION_WORDS.values() for x in v.split()}))}
+WEIGHTS = np.array([[x in v for v in (set(v.split()) for v in FUNCTION_WORDS.values())] for x in FUNCTION_WORD], float)
+WEIGHTS[WEIGHTS.sum(1) > 1] *= 0.3
+#: Places of the table in which words of questions are marked at once.
+CELLS = 1 << 22
+
+
+def _matches(texts: pa.Array, pattern: str, where: np.ndarray) -> np.ndarray:
+    """Texts that match, among those at ``where``; only these are read."""
+    out = np.zeros(len(texts), bool)
+    at = np.flatnonzero(where)
+    if len(at):
+        out[at] = _array(pc.match_substring_regex(texts.take(pa.array(at)), pattern))
     return out
 
 
+def _replaced(texts: pa.Array, pattern: str, where: np.ndarray) -> pa.Array:
+    """Texts with matches as a blank; only those at ``where`` can match."""
+    if not where.any():
+        return texts
+    return pc.replace_with_mask(texts, pa.array(where), pc.replace_substring_regex(texts.filter(pa.array(where)), pattern, " "))
+
+
+def _of(words: Words, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of some texts, one text after the other, and where each begins."""
+    count = words.counts[texts]
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    return words.codes[np.repeat(words.offsets[texts] - offsets[:-1], count) + np.arange(offsets[-1])], offsets
+
+
+def _held(codes: np.ndarray, offsets: np.ndarray, by: np.ndarray, by_offsets: np.ndarray, size: int) -> np.ndarray:
+    """Whether each code of a row is among the codes ``by`` of the same row; codes are below ``size``.
+
+    They are marked in a table of about CELLS places, some rows at a time.
+    """
+    n, step = len(offsets) - 1, max(1, CELLS // max(1, size))
+    out = np.zeros(len(codes), bool)
+    seen = np.zeros(min(n, step) * size, bool)
+    for a in range(0, n, step):
+        z = min(n, a + step)
+        mine, theirs = slice(offsets[a], offsets[z]), slice(by_offsets[a], by_offsets[z])
+        base = np.arange(z - a) * size
+        marks = np.repeat(base, np.diff(by_offsets[a : z + 1])) + by[theirs]
+        seen[marks] = True
+        out[mine] = seen[np.repeat(base, np.diff(offsets[a : z + 1])) + codes[mine]]
+        seen[marks] = False
+    return out
+
+
+def _run_share(codes: np.ndarray, offsets: np.ndarray, by: np.ndarray, by_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each row's runs of five codes that are among those of ``by``, and how many runs it has."""
+
+    def keys(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = np.maximum(np.diff(offsets) - 4, 0)
+        owner = np.repeat(np.arange(len(count)), count)
+        at = np.repeat(offsets[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        run = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(5):
+                run = run * np.uint64(1_000_003) + codes[at + k].astype(np.uint64)
+            return mix(run) + mix(owner.astype(np.uint64), 5), owner
+
+    mine, owner = keys(codes, offsets)
+    total = np.bincount(owner, minlength=len(offsets) - 1)
+    return np.bincount(owner, weights=np.isin(mine, keys(by, by_offsets)[0]), minlength=len(offsets) - 1) / np.maximum(1, total), total
+
+
+def _only(words: Words, number: np.ndarray) -> Words:
+    """Those words whose code has a number, by their numbers."""
+    code = number[words.codes] if len(words.codes) else words.codes
+    kept = code >= 0
+    return Words(code[kept], np.concatenate([[0], np.cumsum(kept)])[words.offsets], [])
+
+
+def _weights(codes: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """Weights of each text's function words by language."""
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    hit = WEIGHTS[codes] if keep is None else WEIGHTS[codes] * keep[:, None]
+    return np.stack([np.bincount(owner, weights=x, minlength=n) for x in hit.T], 1)
+
+
 def votes(question: pa.Array, answer: pa.Array, finish: pa.Array, scorer: Terminality) -> dict[str, np.ndarray]:
     """Votes of all labelling functions by defect: 1 for it, 2 against it, 0 neither; a row per pair."""
     n = len(answer)
     q = pc.fill_null(question.cast(pa.large_string()), "")
     a = pc.fill_null(answer.cast(pa.large_string()), "")
-    low = pc.utf8_lower(a)
     empty = emptied(answer)
     size = pc.utf8_length(a).to_numpy(zero_copy_only=False)
-    has_json = _array(pc.match_substring(a, '{"')) & _array(pc.match_substring(low, '"actions"'))
+    braces = _array(pc.match_substring(a, "{"))
+    has_json = braces & _array(pc.match_substring(a, '{"'))
+    has_json[has_json] = _array(pc.match_substring(pc.utf8_lower(a.filter(pa.array(has_json))), '"actions"'))
     # Plans are told from prose; what is left is read as language.
-    own_text = pc.replace_substring_regex(pc.replace_substring_regex(a, r"(?s)\{.*", " "), ACTION_LINE, " ")
-    has_plan = has_json | _array(pc.match_substring_regex(a, ACTION_LINE))
-    asks = pc.replace_substring_regex(q, r"(?s)\{[^\n]*\}", " ")
-    both = pa.concat_arrays([asks, own_text])
-    w = split(both)
-    owner = w.owners()
-    lists = np.array([[x in s for s in (set(v.split()) for v in FUNCTION_WORDS.values())] for x in w.vocab], float).reshape(len(w.vocab), len(LANGS))
-    shared = lists.sum(1, keepdims=True)
-    lists = np.where(shared > 1, lists * 0.3, lists)
+    acts = _array(pc.match_substring_regex(a, ACTION_LINE))
+    own_text = a
+    if braces.any():
+        own_text = pc.replace_with_mask(a, pa.array(braces), pa.array([x.partition("{")[0] + " " for x in a.filter(pa.array(braces)).to_pylist()], pa.large_string()))
+    own_text = _replaced(own_text, ACTION_LINE, acts)
+    has_plan = has_json | acts
+    # Texts are read once: a question stands beside several answers, a copy is its question.
+    asking = pc.dictionary_encode(q)
+    asks = _replaced(asking.dictionary, r"(?s)\{[^\n]*\}", _array(pc.match_substring(asking.dictionary, "{")))
+    q_of = asking.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # An answer that holds a structured plan isn't a copy; its words needn't be compared.
+    plain = pc.if_else(pa.array(has_json), pa.scalar("", pa.large_string()), a)
+    bank = pc.dictionary_encode(pa.concat_arrays([asking.dictionary, asks, plain, own_text]))
+    of_q, of_asks, of_a, of_own = np.split(bank.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([len(asks), len(asks), n]))
+    of_q, of_asks = of_q[q_of], of_asks[q_of]
+    w = split(bank.dictionary)
+    functions = _only(w, np.array([FUNCTION_WORD.get(x, -1) for x in w.vocab], np.int64))
     # Words of the answer that the question has too say nothing about its own language.
-    is_answer = owner >= n
-    key = (owner % n) * max(1, len(w.vocab)) + w.codes if n else owner
-    new = np.ones(len(key), bool)
-    new[is_answer] = ~np.isin(key[is_answer], key[~is_answer])
-    counts = _counts_by(w, lists, 2 * n, np.where(is_answer, new, True).astype(float))
-    qc, ac = counts[:n], counts[n:]
+    said, said_at = _of(functions, of_own)
+    new = ~_held(said, said_at, *_of(functions, of_asks), len(WEIGHTS))
+    qc, ac = _weights(functions.codes, functions.offsets)[of_asks], _weights(said, said_at, new)
     q_lang = np.where(qc.max(1) > 0, qc.argmax(1), -1) if n else np.zeros(0, np.int64)
     best = ac.argmax(1) if n else np.zeros(0, np.int64)
     order = np.sort(ac, axis=1) if n else np.zeros((0, 4))
-    q_low = pc.utf8_lower(asks)
-    asked = np.stack([_array(pc.match_substring_regex(q_low, ASKED[k])) for k in LANGS], 1) if n else np.zeros((0, 4), bool)
+    asks = pc.utf8_lower(asks)
+    any_asked = _array(pc.match_substring_regex(asks, "|".join(ASKED.values())))
+    asked = np.stack([_matches(asks, ASKED[k], any_asked) for k in LANGS], 1)[q_of]
     expected = asked.copy()
     expected[np.arange(n), np.maximum(q_lang, 0)] |= q_lang >= 0
     known = (q_lang >= 0) | asked.any(1)
     clear = (order[:, -1] >= 2) & (order[:, -1] >= 2 * order[:, -2])
     off = ~expected[np.arange(n), best] & known
 
-    number = _array(pc.match_substring_regex(own_text, r"\d"))
     # Copies: words of the whole answer that the question holds, runs of five, new numbers.
-    # An answer that holds a structured plan isn't a copy; its words needn't be compared.
-    blank = pa.array([""] * n, pa.large_string())
-    full = split(pa.concat_arrays([pc.if_else(pa.array(~has_json), q, blank), pc.if_else(pa.array(~has_json), a, blank)])) if n else split(q)
-    fo = full.owners()
-    fa = fo >= n
-    fkey = (fo % n) * max(1, len(full.vocab)) + full.codes if n else fo
-    inside = np.isin(fkey, fkey[~fa]) if n else np.zeros(0, bool)
-    n_words = np.bincount(fo[fa] - n, minlength=n)
-    held = np.bincount(fo[fa] - n, weights=inside[fa], minlength=n) / np.maximum(1, n_words)
-    digit = np.array([x[0].isdigit() for x in full.vocab], bool)
-    fresh = np.bincount(fo[fa] - n, weights=(~inside & digit[full.codes])[fa] if len(full.codes) else None, minlength=n) > 0
+    digit = np.array([x[0].isdigit() for x in w.vocab], bool)
+    q_words, n_words = w.counts[of_q], w.counts[of_a]
+    same = of_q == of_a
+    held = np.where(same, n_words, 0) / np.maximum(1, n_words)
+    fresh = np.zeros(n, bool)
+    total_runs = np.where(same, np.maximum(n_words - 4, 0), 0)
+    run_share = (total_runs > 0).astype(float)
+    at = np.flatnonzero(~same & (n_words > 0))
+    theirs, ours = _of(w, of_q[at]), _of(w, of_a[at])
+    inside = _held(*ours, *theirs, len(w.vocab))
+    owner = np.repeat(np.arange(len(at)), np.diff(ours[1]))
+    held[at] = np.bincount(owner, weights=inside, minlength=len(at)) / np.maximum(1, n_words[at])
+    fresh[at] = np.bincount(owner, weights=~inside & digit[ours[0]], minlength=len(at)) > 0
+    # Runs say nothing where there is a new number.
+    at = at[~fresh[at]]
+    run_share[at], total_runs[at] = _run_share(*_of(w, of_a[at]), *_of(w, of_q[at]))
     solved = fresh | has_plan
     # An answer with a plan or a number that its question lacks declines nothing; only the others are read for it.
-    unsolved = np.flatnonzero(~solved)
-
-    def says(pattern: str) -> np.ndarray:
-        out = np.zeros(n, bool)
-        if len(unsolved):
-            out[unsolved] = _array(pc.match_substring_regex(a.take(pa.array(unsolved)), pattern))
-        return out
-
-    refuses = says(REFUSES.pattern)
-    run = np.zeros(len(full.codes), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(5):
-            run = run * np.uint64(1_000_003) + np.append(full.codes[k:], np.zeros(min(k, len(full.codes)), np.int64)).astype(np.uint64)
-    whole_run = np.arange(len(run)) + 5 <= full.offsets[1:][fo] if len(run) else np.zeros(0, bool)
-    with np.errstate(over="ignore"):
-        rkey = mix(run) + mix((fo % max(1, n)).astype(np.uint64), 5)
-    runs_in = np.isin(rkey[fa & whole_run], rkey[~fa & whole_run])
-    total_runs = np.bincount(fo[fa & whole_run] - n, minlength=n)
-    run_share = np.bincount(fo[fa & whole_run] - n, weights=runs_in, minlength=n) / np.maximum(1, total_runs)
-    q_words = np.bincount(fo[~fa], minlength=n)
+    refuses, regrets, turns_away = (_matches(a, x.pattern, ~solved) for x in (REFUSES, REGRETS, TURNS_AWAY))
     copy_like = (held >= 0.85) & ~fresh & ~has_json & (n_words >= 4)
-    ends_with = np.zeros(n, bool)  # a copy that ends where the question, a line or a sentence of it does
+    ends_with = copy_like & same  # a copy that ends where the question, a line or a sentence of it does
     stopped = np.zeros(n, bool)
-    for k in np.flatnonzero(copy_like):
+    for k in np.flatnonzero(copy_like & ~same):
         x, y = q[int(k)].as_py().lower(), a[int(k)].as_py().lower()
         qw, aw = re.findall(r"[^\W_]+", x), re.findall(r"[^\W_]+", y)
         tail = aw[-3:]
@@ -183,23 +248,28 @@ def votes(question: pa.Array, answer: pa.Array, finish: pa.Array, scorer: Termin
     score, fragment = scorer.score(answer)
     cut_number = np.zeros(n, bool)
     strip = pc.utf8_rtrim_whitespace(a)
-    for k in np.flatnonzero(_array(pc.match_substring_regex(strip, r"\d$"))):
+    for k in np.flatnonzero(_array(pc.match_substring_regex(pc.utf8_slice_codeunits(strip, -1), r"\d"))):
         cut_number[k] = shortened_number(strip[int(k)].as_py())
     fin = pc.fill_null(finish.cast(pa.large_string()), "")
     ended = _array(pc.is_in(fin, value_set=pa.array(["stop", "eos", "end", "complete"], pa.large_string())))
     limited = _array(pc.is_in(fin, value_set=pa.array(["length", "max_tokens", "abort", "limit"], pa.large_string())))
+
     def vote(yes: np.ndarray, no: np.ndarray | bool = False) -> np.ndarray:
         return np.where(yes, 1, np.where(no, 2, 0)).astype(np.int64)
 
     some = ~empty
     accents = np.zeros(n, bool)
-    plain = pc.utf8_lower(own_text)
+    # All marks are other characters than ASCII.
+    marked = np.flatnonzero(~_array(pc.string_is_ascii(own_text)))
+    lowered = pc.utf8_lower(own_text.take(pa.array(marked)))
     for k, marks in MARKS.items():
-        accents |= _array(pc.match_substring_regex(plain, f"[{marks}]")) & ~expected[:, LANGS.index(k)]
+        accents[marked] |= _array(pc.match_substring_regex(lowered, f"[{marks}]")) & ~expected[marked, LANGS.index(k)]
+    short = size < 24
+    wordless = ~_matches(own_text, r"\d", short) & ~_matches(pc.utf8_lower(pc.utf8_slice_codeunits(a, 0, 24)), r"\pL{3,}\PL+\pL{2,}", short)
     ratio = order[:, -1] / np.maximum(1, order.sum(1))
     # Every defect is voted on by what it looks at alone; what defects have to do with each other is the label model's to find.
     out = {
-        "empty": [vote(empty, some), vote((size < 24) & ~number & ~_array(pc.match_substring_regex(low, r"\pL{3,}\PL+\pL{2,}")), size >= 24), vote((n_words <= 2) & ~has_json, (n_words > 3) | has_json)],
+        "empty": [vote(empty, some), vote(short & wordless, ~short), vote((n_words <= 2) & ~has_json, (n_words > 3) | has_json)],
         "truncated": [
             vote(structure),
             vote((fragment | cut_number) & some),
@@ -207,7 +277,7 @@ def votes(question: pa.Array, answer: pa.Array, finish: pa.Array, scorer: Termin
             vote(limited, ended),
             vote(stopped & some & (fragment | structure)),
         ],
-        "refusal": [vote(refuses, ~refuses), vote(says(REGRETS.pattern)), vote(says(TURNS_AWAY.pattern)), vote(~solved & (n_words <= 45) & ~copy_like & some, solved)],
+        "refusal": [vote(refuses, ~refuses), vote(regrets), vote(turns_away), vote(~solved & (n_words <= 45) & ~copy_like & some, solved)],
         "copied": [vote(copy_like, (held < 0.8) | has_json), vote((run_share >= 0.6) & (total_runs > 0) & ~fresh, (run_share < 0.5) | fresh | has_json), vote(~fresh & ~has_plan & some & (n_words >= 4), fresh | has_json), vote(ends_with & (n_words >= 0.3 * q_words), fresh | stopped)],
         "other_language": [vote(clear & off & some, (ac.max(1) >= 2) & ~off), vote(accents & some, clear & ~off), vote(off & clear & (ratio >= 0.75) & some, ~off | ~clear)],
     }
@@ -399,8 +469,13 @@ def beside_others(sound: DataFrame, n: int) -> DataFrame:
     Pairs are laid out by hash in groups of about AROUND of the n, so that no task holds all of them.
     """
     key = ["tab", "row_ord", "msg_pos"]
-    lang = F.when(F.lower("question").rlike(r"\b(?:der|die|und|ist)\b"), "de").when(F.lower("question").rlike(r"\b(?:les|des|est|dans)\b"), "fr").when(F.lower("question").rlike(r"\b(?:el|los|que|por)\b"), "es").otherwise("en")
-    d = sound.select(*key, "question", "answer", "finish", lang.alias("lang"), F.xxhash64(*key).alias("h")).withColumn("group", F.pmod("h", F.lit(-(-n // AROUND) or 1)))
+    few = {"de": "der|die|und|ist", "fr": "les|des|est|dans", "es": "el|los|que|por"}
+    has = lambda x: F.col("low").rlike(rf"\b(?:{x})\b")
+    # Most questions have none of these words, which one look tells.
+    lang = F.when(~has("|".join(few.values())), "en")
+    for k, x in few.items():
+        lang = lang.when(has(x), k)
+    d = sound.withColumn("low", F.lower("question")).select(*key, "question", "answer", "finish", lang.alias("lang"), F.xxhash64(*key).alias("h")).withColumn("group", F.pmod("h", F.lit(-(-n // AROUND) or 1)))
     w = Window.partitionBy("group").orderBy("h", *key)
     tried = [F.when(at("lang", k).over(w) != F.col("lang"), at("answer", k).over(w)) for k in (7, 3, 1) for at in (F.lead, F.lag)]
     return d.withColumn("other", F.coalesce(*tried)).select("question", "answer", "finish", "other")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage
-from .words import Words, hashes, mix, split
+from .words import Words, hashes, mix, split, text_bytes
 
 #: Stand-ins for a missing value, letters and digits only (fixed values).
 STAND_INS = frozenset(
@@ -48,25 +48,19 @@ def emptied(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes, end to end, and where each begins; null texts are empty."""
-    t = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
-    offsets = np.frombuffer(t.buffers()[1], np.int64, len(t) + 1, t.offset * 8)
-    data = np.frombuffer(t.buffers()[2], np.uint8) if t.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+#: Numbers of the marks that come in pairs, each opening one before its closing one, and of ticks.
+_PAIRED = bytes(max(0, "{}[]()`".find(chr(b)) + 1) for b in range(256))
 
 
 def opened(texts: pa.Array) -> np.ndarray:
     """Texts with a bracket, fence or list number that nothing closes, a broken character or an ellipsis at the end."""
-    data, offsets = _bytes(texts)
+    data, offsets = text_bytes(texts)
     n = len(texts)
-
-    def count(char: str) -> np.ndarray:
-        at = np.flatnonzero(data == ord(char))
-        return np.bincount(np.searchsorted(offsets, at, "right") - 1, minlength=n)[:n] if len(at) else np.zeros(n, np.int64)
-
-    odd = (count("{") > count("}")) | (count("[") > count("]")) | (count("(") > count(")"))
-    ticks = np.flatnonzero(count("`"))
+    kind = np.frombuffer(data.tobytes().translate(_PAIRED), np.uint8)
+    at = np.flatnonzero(kind)
+    count = np.bincount((np.searchsorted(offsets, at, "right") - 1) * 8 + kind[at], minlength=8 * n).reshape(n, 8)
+    odd = (count[:, 1:6:2] > count[:, 2:7:2]).any(1)
+    ticks = np.flatnonzero(count[:, 7])
     t = pc.fill_null(texts.cast(pa.large_string()), "")
     if len(ticks):
         odd[ticks] |= pc.count_substring(t.take(pa.array(ticks)), "```").to_numpy(zero_copy_only=False) % 2 == 1
@@ -91,7 +85,7 @@ def states(texts: pa.Array) -> np.ndarray:
     bracket: one that was opened is not closed yet; fence: a fence of three
     ticks is open; item: a list mark stands alone on its line.
     """
-    data, offsets = _bytes(texts)
+    data, offsets = text_bytes(texts)
     step = _STEP[data]
     at = np.flatnonzero(step)
     sums = np.concatenate([[0], np.cumsum(step[at], dtype=np.int64)])[np.searchsorted(at, offsets)]
@@ -106,7 +100,7 @@ def states(texts: pa.Array) -> np.ndarray:
 
 def goings_on(texts: pa.Array) -> np.ndarray:
     """How often texts go on in each of STATES: brackets after which one is open, words in fences, list marks with words after them."""
-    data, offsets = _bytes(texts)
+    data, offsets = text_bytes(texts)
     at = np.flatnonzero(_STEP[data])
     run = np.concatenate([[0], np.cumsum(_STEP[data[at]], dtype=np.int64)])
     begin = np.searchsorted(at, offsets)

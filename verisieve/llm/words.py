@@ -29,29 +29,73 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, end to end, and where each begins; null texts are empty."""
+    t = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
+    offsets = np.frombuffer(t.buffers()[1], np.int64, len(t) + 1, t.offset * 8)
+    data = np.frombuffer(t.buffers()[2], np.uint8) if t.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: ASCII between words, and marks among it; bytes of other characters stand as they are, and "_" belongs to words where marks are kept.
+_BLANKS = [b for b in range(128) if chr(b).isspace()]
+_MARKS = [b for b in range(128) if not chr(b).isalnum() and b not in _BLANKS and chr(b) != "_"]
+_LOWER = [b if b >= 128 else ord(chr(b).lower()) for b in range(256)]
+_WITH_MARKS = bytes(32 if b in _BLANKS else _LOWER[b] for b in range(256))
+_WORDS_ALONE = bytes(32 if b in _BLANKS or b in _MARKS or b == ord("_") else _LOWER[b] for b in range(256))
+_IN_WORD = bytes(b not in _BLANKS and b not in _MARKS for b in range(256))
+
+
 def split(texts: pa.Array, keep_marks: bool = False) -> Words:
     """Lower-cased words of each text; a null text has none.
 
     keep_marks: punctuation marks count as words of their own.
+
+    Words are told apart by bytes; only distinct ones with other characters
+    than ASCII are read by the classes of their characters.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    t = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    if keep_marks:
-        t = pc.replace_substring_regex(t, r"([^\pL\pN\pM\s_])", r" \1 ")
-    else:
-        t = pc.replace_substring_regex(t, r"[^\pL\pN\pM]+", " ")
-    parts = pc.utf8_split_whitespace(t)
-    flat = pc.list_flatten(parts).cast(pa.large_string())
-    owner = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
-    full = pc.greater(pc.binary_length(flat), 0)
-    keep = full.to_numpy(zero_copy_only=False).astype(bool)
-    coded = pc.dictionary_encode(flat.filter(full))
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    counts = np.bincount(owner[keep], minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary.to_pylist())
+    data, bounds = text_bytes(texts)
+    mapped = data.tobytes().translate(_WITH_MARKS if keep_marks else _WORDS_ALONE)
+    letters = np.frombuffer(mapped.translate(None, b" "), np.uint8)
+    inside = np.frombuffer(mapped, np.uint8) != 32
+    of_word = np.frombuffer(mapped.translate(_IN_WORD), bool) if keep_marks else inside
+    # Whether a word goes on with the next byte.
+    on = of_word[:-1] & of_word[1:]
+    begins = bounds[(bounds > 0) & (bounds < len(data))]
+    on[begins - 1] = False
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~on
+    last[:-1] &= ~on
+    start = np.flatnonzero(first)
+    offsets = np.searchsorted(start, bounds).astype(np.int64)
+    # Where each word begins among the letters alone.
+    spans = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - start)]).astype(np.int64)
+    coded = pc.dictionary_encode(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(spans), pa.py_buffer(letters)]))
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    found = coded.dictionary.cast(pa.large_string())
+    vocab = found.to_pylist()
+    other = np.flatnonzero(~pc.string_is_ascii(found).to_numpy(zero_copy_only=False).astype(bool))
+    if not len(other):
+        return Words(codes, offsets, vocab)
+    odd = pc.utf8_lower(found.take(pa.array(other)))
+    odd = pc.replace_substring_regex(odd, r"([^\pL\pN\pM\s_])", r" \1 ") if keep_marks else pc.replace_substring_regex(odd, r"[^\pL\pN\pM]+", " ")
+    count, flat, done = np.ones(len(vocab), np.int64), [], 0
+    for k, x in zip(other.tolist(), odd.to_pylist()):
+        parts = x.split()
+        flat += [*vocab[done:k], *parts]
+        count[k], done = len(parts), k + 1
+    flat += vocab[done:]
+    # Words are numbered in the order in which they come first.
+    code_of = {x: i for i, x in enumerate(dict.fromkeys(flat))}
+    code = np.fromiter((code_of[x] for x in flat), np.int64, len(flat))
+    if (count == 1).all():
+        return Words(code[codes], offsets, list(code_of))
+    times = count[codes]
+    ends = np.cumsum(times)
+    where = np.repeat((np.cumsum(count) - count)[codes] - (ends - times), times) + np.arange(times.sum())
+    return Words(code[where], np.concatenate([[0], ends])[offsets], list(code_of))
 
 
 def distinct_words(words: Words, cells: int = 1 << 25) -> tuple[np.ndarray, np.ndarray]:
