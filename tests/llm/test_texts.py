@@ -117,6 +117,38 @@ def test_copies_cut_early_meet_their_wholes(spark):
     assert got >= want and len(want) > 30 and {9003, 9100, 9250} <= got and not got & {r[0] for r in rows if r[0] % 10 == 0 and r[0] < 5000}
 
 
+def test_equal_outputs_are_read_once(spark, monkeypatch):
+    """What is staged about texts has a row for each distinct one, and rows that are there again change nothing, also where texts come to their hashes."""
+    staged, stage = [], truncation.stage
+    monkeypatch.setattr(truncation, "stage", lambda df, label: staged.append(stage(df, label)) or staged[-1])
+    whole = [t for k, t in enumerate(outputs()) if k < 60]
+    texts = whole + [t[: t.index("story") + 2] for t in whole[:20]]
+    rows = [("traces", 1000 * k + i, t) for k in range(5) for i, t in enumerate(texts)]
+    rows += [("traces", 7, texts[7])] * 3 + [("traces", 7, texts[70]), ("traces", None, texts[71]), ("traces", None, texts[71]), ("traces", None, None)]
+    d = spark.createDataFrame(rows, "tab string, row_ord long, text string")
+    got = sorted((x.row_ord or -1, x.how) for x in truncation.cut_outputs(d).collect())
+    distinct = len(set(texts))
+    assert all(x.count() <= distinct for x in staged if {"mark", "text"} & {*x.columns})
+    assert sorted(k for k, _ in got) == sorted([1000 * k + i for k in range(5) for i in range(60, 80)] + [7, -1, -1])
+    # The terminality of texts that are there more than once is that of all their rows.
+    (want,), p = endings.closing_counts(d.where("text is not null"), with_states=True)
+    (have,), q = endings.closing_counts(d.where("text is not null").groupBy("text").agg(F.count("*").alias("k")), with_states=True, times="k")
+    assert (want == have).all() and (p == q).all() and want[1].max() > 5
+    monkeypatch.setattr(truncation, "SENT", 0)
+    assert sorted((x.row_ord or -1, x.how) for x in truncation.cut_outputs(d).collect()) == got
+
+
+def test_copies_with_blank_ends_meet_their_wholes(spark):
+    """Any white space after a copy is no part of it."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(20):
+        whole = " ".join(f"wörd{rng.randrange(1000, 9999)}" for _ in range(60))
+        rows += [(10 * i, whole), (10 * i + 1, whole[: whole.index(" ", 200) - 2] + "\u00a0\u3000 \n"[i % 4] * (1 + i))]
+    d = spark.createDataFrame(rows, "row_ord long, text string").withColumn("tab", F.lit("traces")).select("tab", "row_ord", "text")
+    assert {r.row_ord for r in truncation.cut_outputs(d).where("how = 'copy'").collect()} == {10 * i + 1 for i in range(20)}
+
+
 def test_alignment():
     whole = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     assert truncation.aligned(whole[:17], whole) == ("r", "five six seven eight nine ten eleven twelve thirteen fourteen")

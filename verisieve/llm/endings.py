@@ -76,9 +76,23 @@ STATES = ("bracket", "fence", "item")
 _STEP = np.zeros(256, np.int8)
 _STEP[[ord(c) for c in "{[("]] = 1
 _STEP[[ord(c) for c in "}])"]] = -1
+_BRACKET = (_STEP != 0).tobytes()
 _ITEM = r"\n\s*(?:\d{1,4}[.)]|[-*])"
 
 
+def _brackets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where brackets stand in the bytes, and 1 for each that opens, -1 for each that closes."""
+    at = np.flatnonzero(np.frombuffer(data.tobytes().translate(_BRACKET), bool))
+    return at, _STEP[data[at]]
+
+
+def _having(data: np.ndarray, offsets: np.ndarray, byte: str) -> np.ndarray:
+    """Texts that have an ASCII character."""
+    at = np.flatnonzero(data == ord(byte))
+    whose = np.searchsorted(offsets, at, "right") - 1
+    return whose[np.append(True, whose[1:] != whose[:-1])] if len(at) else whose
+
+
 def states(texts: pa.Array) -> np.ndarray:
     """Of each of STATES, whether a text ends in it.
 
@@ -86,33 +100,38 @@ def states(texts: pa.Array) -> np.ndarray:
     ticks is open; item: a list mark stands alone on its line.
     """
     data, offsets = text_bytes(texts)
-    step = _STEP[data]
-    at = np.flatnonzero(step)
-    sums = np.concatenate([[0], np.cumsum(step[at], dtype=np.int64)])[np.searchsorted(at, offsets)]
+    at, step = _brackets(data)
+    sums = np.concatenate([[0], np.cumsum(step, dtype=np.int64)])[np.searchsorted(at, offsets)]
     t = pc.fill_null(texts.cast(pa.large_string()), "")
     strip = pc.utf8_slice_codeunits(pc.utf8_rtrim_whitespace(t), -24)
     fence = np.zeros(len(texts), bool)
-    ticks = pc.match_substring(t, "```").to_numpy(zero_copy_only=False).astype(bool)
-    fence[ticks] = pc.count_substring(t.filter(pa.array(ticks)), "```").to_numpy(zero_copy_only=False) % 2 == 1
+    ticks = _having(data, offsets, "`")
+    fence[ticks] = pc.count_substring(t.take(pa.array(ticks)), "```").to_numpy(zero_copy_only=False) % 2 == 1
     item = pc.match_substring_regex(strip, f"(?:{_ITEM}|^\\s*(?:\\d{{1,4}}[.)]|[-*]))$").to_numpy(zero_copy_only=False).astype(bool)
     return np.stack([sums[1:] > sums[:-1], fence, item])
 
 
-def goings_on(texts: pa.Array) -> np.ndarray:
-    """How often texts go on in each of STATES: brackets after which one is open, words in fences, list marks with words after them."""
+def goings_on(texts: pa.Array, n: np.ndarray | None = None) -> np.ndarray:
+    """How often texts go on in each of STATES: brackets after which one is open, words in fences, list marks with words after them.
+
+    n: how many texts each stands for, one each without it.
+    """
+    n = np.ones(len(texts), np.int64) if n is None else n
     data, offsets = text_bytes(texts)
-    at = np.flatnonzero(_STEP[data])
-    run = np.concatenate([[0], np.cumsum(_STEP[data[at]], dtype=np.int64)])
+    at, step = _brackets(data)
+    run = np.concatenate([[0], np.cumsum(step, dtype=np.int64)])
     begin = np.searchsorted(at, offsets)
-    held = (run[1:] > np.repeat(run[begin[:-1]], np.diff(begin))).sum()
+    brackets, some = np.diff(begin), begin[1:] > begin[:-1]
+    open_after = np.concatenate([[0], np.cumsum(run[1:] > np.repeat(run[begin[:-1]], brackets))])
+    held = np.diff(open_after[begin])
     # The last bracket of a text goes on nowhere.
-    last = begin[1:][np.diff(begin) > 0]
-    held -= (run[last] > run[begin[:-1][np.diff(begin) > 0]]).sum()
+    held -= some & (run[begin[1:]] > run[begin[:-1]])
     t = pc.fill_null(texts.cast(pa.large_string()), "")
-    fenced = sum(len(x.split()) for y in t.filter(pc.match_substring(t, "```")).to_pylist() for x in y.split("```")[1::2])
-    lines = t.filter(pc.match_substring(t, "\n"))
-    items = pc.sum(pc.count_substring_regex(lines, _ITEM + r"\s+\S")).as_py() or 0
-    return np.array([held, fenced, items], np.int64)
+    ticks = _having(data, offsets, "`")
+    fenced = sum(k * len(x.split()) for y, k in zip(t.take(pa.array(ticks)).to_pylist(), n[ticks].tolist()) for x in y.split("```")[1::2])
+    lines = _having(data, offsets, "\n")
+    items = pc.count_substring_regex(t.take(pa.array(lines)), _ITEM + r"\s+\S").to_numpy(zero_copy_only=False)
+    return np.array([held @ n, fenced, items @ n[lines]], np.int64)
 
 
 def broken_off(texts: pa.Array) -> np.ndarray:
@@ -172,6 +191,11 @@ def _runs(h: np.ndarray, owner: np.ndarray, at: np.ndarray, masked_only: bool =
     return [(mix(x, 20 + k) & low).astype(np.int64) + (k << BITS) for k, x in enumerate(keys)]
 
 
+def _single(h: np.ndarray) -> np.ndarray:
+    """Buckets of the words as runs of their own."""
+    return (mix(mix(h, 1), 23) & np.uint64((1 << BITS) - 1)).astype(np.int64) + (3 << BITS)
+
+
 def _extension_key(before: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64((1 << BITS) - 1)
     with np.errstate(over="ignore"):
@@ -201,12 +225,14 @@ def _sorted(got: pa.Table) -> np.ndarray:
     return np.stack([keys[order], n[order]])
 
 
-def closing_counts(texts: DataFrame, with_states: bool = False) -> list[np.ndarray | str] | tuple[list[np.ndarray | str], np.ndarray]:
+def closing_counts(texts: DataFrame, with_states: bool = False, times: str | None = None) -> list[np.ndarray | str] | tuple[list[np.ndarray | str], np.ndarray]:
     """How often the closing runs of the column ``text`` end a text and how often they go on.
 
     with_states: and the terminality of each of STATES, which is how often a
     text ends in it among all that stand in it; 1 where none does.
 
+    times: a column that tells how many equal texts a row stands for.
+
     The first pass gathers the closing runs, the second counts them inside all
     texts, whole texts as they are. Each part of the result has sorted keys and
     both counts as its rows and holds the keys of one remainder by the number
@@ -215,25 +241,29 @@ def closing_counts(texts: DataFrame, with_states: bool = False) -> list[np.ndarr
     task holds more than one part.
     """
     spark = texts.sparkSession
+    texts = texts.select("text", (F.lit(1) if times is None else F.col(times)).cast("long").alias("n"))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, int] = {}
         in_state = np.zeros(2 * len(STATES), np.int64)
         for b in batches:
-            t = b.column(0)
+            t, n = b.column(0), b.column(1).to_numpy()
             if with_states:
-                in_state += np.concatenate([states(t).sum(1), goings_on(t)])
-            t = t.filter(pa.array(~closed(t)))
-            t = t.filter(pa.array(~opened(t) & ~emptied(t)))
-            _, runs, _, ext = _closing(t)
-            keys, n = np.unique(np.concatenate([*runs, *ext]), return_counts=True)
-            for k, c in zip(keys.tolist(), n.tolist()):
+                in_state += np.concatenate([states(t) @ n, goings_on(t, n)])
+            left = ~closed(t)
+            t, n = t.filter(pa.array(left)), n[left]
+            left = ~opened(t) & ~emptied(t)
+            t, n = t.filter(pa.array(left)), n[left]
+            has, runs, _, ext = _closing(t)
+            keys, where = np.unique(np.concatenate([*runs, *ext]), return_inverse=True)
+            sums = np.bincount(where, weights=np.tile(n[has], len(runs) + len(ext)), minlength=len(keys)).astype(np.int64)
+            for k, c in zip(keys.tolist(), sums.tolist()):
                 kept[k] = kept.get(k, 0) + c
         # States have keys below zero.
         kept |= {-1 - k: int(n) for k, n in enumerate(in_state) if n}
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.int64())], ["key", "n"])
 
-    counted = stage(texts.select("text").mapInArrow(ends, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "closing")
+    counted = stage(texts.mapInArrow(ends, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "closing")
     closing = counted.where("key >= 0")
     parts = max(1, -(-counted.count() // KEYS))
     # Where one part holds all, it is fetched once.
@@ -265,7 +295,7 @@ def closing_counts(texts: DataFrame, with_states: bool = False) -> list[np.ndarr
 
 
 def _inside(texts: DataFrame, keys: np.ndarray, sent_words: Broadcast, fold: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """How often each of the sorted keys goes on inside the texts."""
+    """How often each of the sorted keys goes on inside the texts, of which each row has ``n`` equal ones."""
     sent = texts.sparkSession.sparkContext.broadcast(keys)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,50 +303,56 @@ def _inside(texts: DataFrame, keys: np.ndarray, sent_words: Broadcast, fold: Cal
         wanted[fold(sent.value)] = True
         sums = np.zeros(len(sent.value), np.int64)
 
-        def add(buckets: np.ndarray, weight: np.ndarray | None = None) -> None:
+        def add(buckets: np.ndarray, weight: np.ndarray) -> None:
             ok = np.flatnonzero(wanted[fold(buckets)])
             at = np.minimum(np.searchsorted(sent.value, buckets[ok]), len(sums) - 1)
             hit = sent.value[at] == buckets[ok]
-            sums[:] += np.bincount(at[hit], weights=None if weight is None else weight[ok[hit]], minlength=len(sums)).astype(np.int64)
+            sums[:] += np.bincount(at[hit], weights=weight[ok[hit]], minlength=len(sums)).astype(np.int64)
 
         for b in batches:
             w, h = _coded(prose(b.column(0)))
             if not len(h):
                 continue
             owner = w.owners()
+            n = b.column(1).to_numpy()[owner]
             at = np.arange(len(h))
             last = np.zeros(len(h), bool)
             last[w.offsets[1:][w.counts > 0] - 1] = True
             # Runs that end with a word that ends no text are none of those wanted.
-            single = (mix(mix(h, 1), 23) & np.uint64((1 << BITS) - 1)).astype(np.int64) + (3 << BITS)
-            ends_some = sent_words.value[fold(single)] & ~last
+            ends_some = sent_words.value[fold(_single(h))] & ~last
             for k, x in enumerate(_runs(h, owner, at[ends_some])):
                 if k < 4:
-                    add(x)
-            add(_runs(h, owner, at[~last], masked_only=True)[0])
+                    add(x, n[ends_some])
+            add(_runs(h, owner, at[~last], masked_only=True)[0], n[~last])
             # Beginnings of longer words, after the word before; words at an end may be cut themselves.
             size = len(w.vocab)
             before = np.zeros(len(h), np.int64)  # the word before, 0 for none
             same = np.flatnonzero(owner[1:] == owner[:-1]) + 1
             before[same] = w.codes[same - 1] + 1
-            pair, n = np.unique((before * size + w.codes)[~last], return_counts=True)
             of = np.concatenate([np.zeros(1, np.uint64), hashes(["#" if x[0].isdigit() else x for x in w.vocab])])
             begin = [[x[:k] for k in range(1, len(x))] if x[0].isalpha() and len(x) < 40 else [] for x in w.vocab]
             flat = hashes([p for ps in begin for p in ps]) if any(begin) else np.zeros(0, np.uint64)
-            count = np.array([len(ps) for ps in begin], np.int64)
-            start = np.concatenate([[0], np.cumsum(count)])[:-1]
+            whose = np.repeat(np.arange(size), [len(ps) for ps in begin])
+            # Of the beginnings, those that end some text as words.
+            ends_one = sent_words.value[fold(_single(flat))]
+            flat, whose = flat[ends_one], whose[ends_one]
+            count = np.bincount(whose, minlength=size)
+            start = np.cumsum(count) - count
+            mine = np.flatnonzero(~last & (count[w.codes] > 0))
+            pair, which = np.unique((before * size + w.codes)[mine], return_inverse=True)
+            sums_of = np.bincount(which, weights=n[mine], minlength=len(pair))
             c = pair % size
             times = count[c]
-            where = np.repeat(start[c] - np.concatenate([[0], np.cumsum(times)[:-1]]) if len(c) else start[c], times) + np.arange(times.sum())
-            e2, e1 = _extension_key(np.repeat(of[pair // size], times), flat[where] if len(where) else np.zeros(0, np.uint64))
-            add(e2, np.repeat(n, times))
-            add(e1, np.repeat(n, times))
+            where = np.repeat(start[c] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            e2, e1 = _extension_key(np.repeat(of[pair // size], times), flat[where])
+            add(e2, np.repeat(sums_of, times))
+            add(e1, np.repeat(sums_of, times))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
 
     n_in = np.zeros(len(keys), np.int64)
     if len(keys):
-        got = texts.select("text").mapInArrow(inside, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        got = texts.mapInArrow(inside, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         n_in[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return n_in
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -19,6 +20,7 @@ from .words import Words, hashes, mix
 WIDTH, SIMILAR = 5, 0.8
 #: Bands of min-hash values: 7 bands of 3 find a pair of similarity 0.8 with probability 0.993.
 BANDS, ROWS = 7, 3
+_BANDS = [f"band{k}" for k in range(BANDS)]
 #: Lengths in words of the beginnings that have a band of their own, so that copies cut anywhere meet their wholes.
 LEVELS = tuple(8 * 2**k for k in range(17))
 #: Last characters of a copy that must stand in its whole.
@@ -27,6 +29,8 @@ TAIL = 16
 SENT = 1_000_000
 #: Bits that tell which words follow a beginning.
 AHEAD = 60
+#: White space.
+SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: Closing runs that end a text less often than this leave it open.
 OPEN = 0.15
 #: From here on an end between two words is sound even where a longer copy goes on.
@@ -121,7 +125,33 @@ def band_keys(texts: pa.Array) -> np.ndarray:
 
 
 def _shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))}
+    return set(zip(*(words[i:] for i in range(WIDTH)))) if len(words) >= WIDTH else {tuple(words)}
+
+
+@functools.lru_cache(maxsize=16)
+def _copied(copy: str) -> tuple[list[str], set[tuple[str, ...]]]:
+    """Words of a copy, and the shingles of all but its last one."""
+    words = copy.split()
+    return words, _shingles(words[:-1])
+
+
+def _stands_alike(copy: str, whole: str, words: list[str], mine: set[tuple[str, ...]]) -> bool:
+    """The copy's last characters stand in ``whole``, whose words are given, after a part that may be similar enough."""
+    tail, at, part, shared, done = copy[-TAIL:], -1, set(), 0, 0
+    while (at := whole.find(tail, at + 1)) >= 0:
+        before = len(whole[: at + len(tail)].split()) - 1
+        if before < WIDTH:
+            own = _shingles(words[:before])
+            both, size = len(mine & own), len(own)
+        else:
+            # Each part holds the one before it.
+            new = set(zip(*(words[done + i : before - WIDTH + 1 + i] for i in range(WIDTH)))) - part
+            part |= new
+            shared, done = shared + len(new & mine), before - WIDTH + 1
+            both, size = shared, len(part)
+        if both >= SIMILAR * (len(mine) + size - both) - 2:
+            return True
+    return False
 
 
 def jaccard(a: str, b: str) -> float:
@@ -152,14 +182,9 @@ def aligned(copy: str, whole: str) -> tuple[str, str] | None:
         rest = whole[len(copy) :]
         lacks = "" if not rest or rest[0].isspace() else rest.split(None, 1)[0]
         return lacks, rest[len(lacks) :].strip()
-    a, b = copy.split(), whole.split()
+    (a, mine), b = _copied(copy), whole.split()
     # Only where the copy's last characters stand after a part that is similar enough is it worth aligning.
-    mine, tail, at = _shingles(a[:-1]), copy[-TAIL:], -1
-    while (at := whole.find(tail, at + 1)) >= 0:
-        part = _shingles(whole[: at + len(tail)].split()[:-1])
-        if len(mine & part) >= SIMILAR * len(mine | part) - 2:
-            break
-    else:
+    if not _stands_alike(copy, whole, b, mine):
         return None
     blocks = [x for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
     if not blocks:
@@ -186,22 +211,37 @@ def outputs(candidates: DataFrame, traces: DataFrame) -> DataFrame:
     return c.unionByName(traces.select(F.lit("traces").alias("tab"), "row_ord", F.col("prediction").alias("text")))
 
 
-def _hashed(texts: DataFrame, counts: list, ending: np.ndarray) -> DataFrame:
-    """tab, row_ord, cls, mark, sketch, how, bands, begins of all outputs that aren't empty.
+def _distinct(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """cls, n, text of each distinct text and how many rows have it.
+
+    rows: tab, row_ord, cls. Only hashes are grouped and travel; one row of each
+    text brings it along.
+    """
+    row = lambda cls: F.xxhash64("tab", "row_ord", cls)
+    kept = stage(rows.groupBy("cls").agg(F.min(row("cls")).alias("row"), F.count("*").cast("int").alias("n")).select("row", "n"), "kept")
+    size = kept.count()
+    each = texts.select(row(F.xxhash64("text")).alias("row"), "text").join(F.broadcast(kept) if size <= SENT else kept, "row").select(F.xxhash64("text").alias("cls"), "n", "text")
+    each = stage(each, "texts")
+    # A row that is there more than once brings its text more than once.
+    return each if each.count() == size else stage(each.groupBy("cls").agg(F.first("n").alias("n"), F.min("text").alias("text")), "texts")
+
+
+def _hashed(each: DataFrame, counts: list, ending: np.ndarray) -> DataFrame:
+    """cls, mark, sketch, how, band0 and further bands, begins, follow, must of all distinct texts that aren't empty.
 
     ``mark`` holds a text's length, its number of shingles, whether its end
     closes it and whether it may be a copy, since what is shuffled here is most of all.
     """
-    sent = texts.sparkSession.sparkContext.broadcast((counts, ending))
+    sent = each.sparkSession.sparkContext.broadcast((counts, ending))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, ending = sent.value
         scorer = Terminality(counts)
         for b in batches:
-            b = b.filter(pa.array(~emptied(b.column(2))))
+            b = b.filter(pa.array(~emptied(b.column(1))))
             if not b.num_rows:
                 continue
-            t = b.column(2)
+            t = b.column(1)
             score, fragment = scorer.score(t)
             # The state that the end stands in has a terminality of its own.
             in_state = states(t)
@@ -217,11 +257,12 @@ def _hashed(texts: DataFrame, counts: list, ending: np.ndarray) -> DataFrame:
             # Only a cut inside a word or an unlikely end can be a copy's; the others are wholes only.
             asks = ~closes | pc.match_substring_regex(strip, r"[\pL\pN]$").to_numpy(zero_copy_only=False).astype(bool)
             mark = pc.utf8_length(t).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | n << 2 | closes * 2 | asks
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(mark), pa.array(sketch), pa.array(how.astype(np.int8)), bands, *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (begins.view(np.int64), follow)), pa.array(must)], ["tab", "row_ord", "cls", "mark", "sketch", "how", "bands", "begins", "follow", "must"])
+            lists = (pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (begins.view(np.int64), follow))
+            bands = (pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in range(BANDS))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mark), pa.array(sketch), pa.array(how.astype(np.int8)), *bands, *lists, pa.array(must)], ["cls", "mark", "sketch", "how", *_BANDS, "begins", "follow", "must"])
 
-    hashed = texts.select("tab", "row_ord", "text", F.xxhash64("text").alias("cls"))
-    return hashed.mapInArrow(scan, "tab string, row_ord long, cls long, mark long, sketch long, how byte, bands array<long>, begins array<long>, follow array<long>, must long")
+    schema = f"cls long, mark long, sketch long, how byte, {', '.join(f'{x} long' for x in _BANDS)}, begins array<long>, follow array<long>, must long"
+    return each.select("cls", "text").mapInArrow(scan, schema)
 
 
 def _meetings(each: DataFrame, done: DataFrame | None) -> DataFrame:
@@ -242,7 +283,7 @@ def _meetings(each: DataFrame, done: DataFrame | None) -> DataFrame:
     begun = lambda top, begins: top.join(begins, "key").where(longer & same).select("cls", "whole", closes, "most")
     if done is None:
         return begun(top, begins).groupBy("cls", "closes").agg(F.max_by("whole", "most").alias("whole")).select("cls", "whole", "closes")
-    bands = each.select("cls", "mark", "sketch", F.explode("bands").alias("key"))
+    bands = each.select("cls", "mark", "sketch", F.explode(F.array(*_BANDS)).alias("key"))
     wholes = bands.select("key", F.col("cls").alias("whole"), F.col("mark").alias("most"), F.col("sketch").alias("other"))
     shingles = lambda c: F.shiftright(F.col(c).bitwiseAND((1 << 32) - 1), 2)
     # Sets of a and b shingles that differ in d of them are SIMILAR up to 9 d = a + b; two more pass for a cut last word.
@@ -262,8 +303,7 @@ def _sized(hashes: DataFrame, label: str) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """cls: copies of the pairs whose alignment ends early in a verified whole."""
     need = _sized(pairs.select("cls").union(pairs.select("whole")).distinct(), "need")
-    text = texts.select(F.xxhash64("text").alias("cls"), "text").join(need, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
-    text = stage(text, "near-texts")
+    text = stage(texts.select("cls", "text").join(need, "cls", "left_semi"), "near-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,26 +322,24 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64())], ["cls"])
 
     # The copy's last characters stand in the whole, or nothing there is aligned with its end; only they travel to the wholes.
-    tail = text.select("cls", F.right(F.regexp_replace("text", r"\s+$", ""), F.lit(TAIL)).alias("tail"))
+    # As many last bytes are told without counting the text's characters, and no more than those characters.
+    tail = F.substring(F.rtrim("text", F.lit(SPACE)).cast("binary"), -TAIL, TAIL).cast("string")
+    tail = text.select("cls", tail.alias("tail"))
     whole = text.select(F.col("cls").alias("whole"), F.col("text").alias("whole_text"))
     both = pairs.join(tail, "cls").join(whole, "whole").where(F.contains("whole_text", "tail")).join(text, "cls")
     return stage(both.select("cls", "text", "whole_text", "closes").mapInArrow(verify, "cls long").distinct(), "verified")
 
 
-def cut_copies(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def cut_copies(each: DataFrame, texts: DataFrame) -> DataFrame:
     """cls: hashes of texts that are near-copies of a longer text and end early in it.
 
-    One whole is enough. The longest text that goes on as a copy does is tried
-    first; only copies that it doesn't settle meet all others, so that a band
-    that many copies share costs one alignment a copy.
+    each: what ``_hashed`` tells of the distinct ``texts``. One whole is enough.
+    The longest text that goes on as a copy does is tried first; only copies
+    that it doesn't settle meet all others, so that a band that many copies
+    share costs one alignment a copy.
     """
-    # One row per distinct text, as the bands of equal texts are equal; only hashes are grouped and travel.
-    row = F.xxhash64("tab", "row_ord").alias("row")
-    kept = _sized(rows.select("cls", row).groupBy("cls").agg(F.min("row").alias("row")).select("row"), "kept")
-    each = rows.withColumn("row", row).join(kept, "row", "left_semi").select("cls", "mark", "sketch", "bands", "begins", "follow", "must")
-    each = stage(each, "classes")
     first = _verified(stage(_meetings(each, None), "near"), texts)
-    rest = stage(_meetings(each, first).join(first, "cls", "left_anti"), "near")
+    rest = stage(_meetings(each, first), "near")
     return first.unionByName(_verified(rest, texts))
 
 
@@ -316,16 +354,18 @@ def cut_outputs(texts: DataFrame) -> DataFrame:
 
     Near-copies come from min-hash bands over five-word shingles of whole texts
     and of their beginnings, and are verified on the part that they are aligned
-    with. Equal texts count once. Null, blank and empty outputs are no cases;
+    with. Equal texts are read once and count as often as they are there. Null, blank and empty outputs are no cases;
     repeated rows are cases of their own.
     """
     texts = texts.where(F.col("text").isNotNull())
-    counts, ending = closing_counts(texts, with_states=True)
-    rows = stage(_hashed(texts, counts, ending), "outputs")
-    early = cut_copies(rows, texts).withColumn("copy", F.lit(True))
-    out = rows.select("tab", "row_ord", "cls", "how").join(early, "cls", "left")
+    rows = stage(texts.select("tab", "row_ord", F.xxhash64("text").alias("cls")), "outputs")
+    texts = _distinct(rows, texts)
+    counts, ending = closing_counts(texts, with_states=True, times="n")
+    each = stage(_hashed(texts, counts, ending), "classes")
+    early = cut_copies(each, texts).withColumn("copy", F.lit(True))
     name = F.when(F.col("copy"), "copy").when(F.col("how") == 1, "mark").when(F.col("how") == 2, "word").when(F.col("how") == 3, "sentence")
-    return out.select("tab", "row_ord", name.alias("how")).where("how is not null")
+    cut = each.select("cls", "how").join(early, "cls", "left").select("cls", name.alias("how")).where("how is not null")
+    return rows.join(_sized(cut, "cut"), "cls").select("tab", "row_ord", "how")
 
 
 def cut_rates(cut: DataFrame, candidates: DataFrame, traces: DataFrame) -> DataFrame:
